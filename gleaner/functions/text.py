@@ -105,7 +105,7 @@ def escape_href(c: Column) -> Column:
                 p.rlike(r"^(%[0-9A-Fa-f]{2}|[A-Za-z0-9!#$&*+,/:;=?@\[\]._~-]+)$"), p
             )
             .when(p == " ", "%20")
-            .otherwise(F.url_encode(p)),
+            .otherwise(F.lower(F.url_encode(p))),
         ),
         "",
     )

@@ -7,7 +7,6 @@ from pyspark.sql import Column, functions as F
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 # scheme, authority and path of a URL reference
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)"
-_BAD_HOST = r'[\s<>"^`{}|\\]|%(?![0-9A-Fa-f]{2})|:[^\]]*[^0-9\]]|:$^'
 
 
 def scheme(url: Column) -> Column:

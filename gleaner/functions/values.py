@@ -105,12 +105,10 @@ ERR_SCHEDULE_HOUR = "cannot convert the hour of a notification schedule into an
 # Wording and layout of the digest bodies.
 NO_LINKS = "We could not find any links for this site. "
 HTML_HEAD = "<html>\n<head>\n</head>\n<body>\n\t<p>Your link digest found the following links.</p>\n\t"
-HTML_SECTION = "\n\t\t<h2>%s</h2>\n\t\t<p>%s</p>\n\t\t<ul>\n\t\t"
-HTML_ITEM = '\n\t\t\t<li>%s (<a href="%s">here</a>)</li>\n\t\t'
-HTML_SECTION_END = "\n\t\t</ul>\n\t"
-HTML_TAIL = "\n</body>\n</html>"
-TEXT_SECTION = "\n%s\n\n%s\n"
-TEXT_ITEM = "\n- %s\n  %s\n\n"
-TEXT_SECTION_END = "\n"
-TEXT_TAIL = "\n"
+HTML_SECTION = "\t\t<h2>%s</h2>\n\t\t<p>%s</p>\n\t\t<ul>\n\t\t"
+HTML_ITEM = '\t\t\t<li>%s (<a href="%s">here</a>)</li>\n\t\t'
+HTML_SECTION_END = "\t\t</ul>\n\t"
+HTML_TAIL = "</body>\n</html>"
+TEXT_SECTION = "%s\n\n%s\n"
+TEXT_ITEM = "- %s\n  %s\n\n"
 ITEM_IN_BODY = r'(<li>.*\(<a href=".*">.*</a>\)</li>)'

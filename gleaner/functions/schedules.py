@@ -40,7 +40,7 @@ def day_numbers(weekdays: Column) -> Column:
     """Days in a bitmap, Monday = 0 first."""
     return F.filter(
         F.sequence(F.lit(0), F.lit(6)),
-        lambda d: F.get_bit(weekdays, d) == 1,
+        lambda d: F.getbit(weekdays, d) == 1,
     )
 
 

@@ -70,9 +70,9 @@ def due_ticks(spark, sf):
 @query(
     "due_ticks_by_arrival",
     """WITH arrived AS (
-         SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN ts - INTERVAL 2 HOUR ELSE ts END AS at
+         SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN ts - INTERVAL 2 HOUR ELSE ts END AS due
          FROM events),
-       m AS (SELECT event_id, at AS ts, date_trunc('hour', at) AS h FROM arrived)
+       m AS (SELECT event_id, due AS ts, date_trunc('hour', due) AS h FROM arrived)
        SELECT event_id, ts, CAST(ts AS DATE) AS date, CAST(isodow(ts) - 1 AS INTEGER) AS day,
               CAST(hour(ts) AS INTEGER) AS hour
        FROM (SELECT *, lag(h) OVER (ORDER BY event_id) AS before FROM m)

@@ -28,17 +28,24 @@ def merge_in_tasks(df: DataFrame, keys: list[str]) -> DataFrame:
 
 @contextmanager
 def state_store(spark: SparkSession, provider: str = ROCKSDB):
-    """Start queries inside with a state store that spills to disk."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, provider)
+    """Start queries inside with a state store that spills to disk, and without
+    empty batches: with processing-time state Spark would otherwise run them
+    without end, also once all available input is done."""
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": provider,
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def write_all(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.functions import urls, values as v
@@ -26,30 +28,33 @@ def inside(nodes: Column, items: Column, matches: Column) -> Column:
     )
 
 
+@cache
+def _inside(matches: str) -> Column:
+    return inside(F.col("nodes"), F.col("m_items"), F.col(matches))
+
+
+@cache
+def _matches() -> Column:
+    return F.transform(
+        "m_items",
+        lambda item, i: F.struct(
+            i.alias("pos"),
+            item.alias("item_nid"),
+            F.get("in_links", i).n.alias("n_links"),
+            F.get("in_links", i).nid.alias("link_nid"),
+            F.get("in_captions", i).n.alias("n_captions"),
+            F.get("in_captions", i).nid.alias("caption_nid"),
+        ),
+    )
+
+
 def with_matches(df: DataFrame, items: Column, links: Column, captions: Column) -> DataFrame:
     """Add `matches`: ARRAY<STRUCT<pos, item_nid, n_links, link_nid, n_captions,
     caption_nid>>, one entry per list item, in document order."""
-    c = F.col
     return (
-        df.withColumn("m_items", items)
-        .withColumn("m_links", links)
-        .withColumn("m_captions", captions)
-        .withColumn("in_links", inside(c("nodes"), c("m_items"), c("m_links")))
-        .withColumn("in_captions", inside(c("nodes"), c("m_items"), c("m_captions")))
-        .withColumn(
-            "matches",
-            F.transform(
-                "m_items",
-                lambda item, i: F.struct(
-                    i.alias("pos"),
-                    item.alias("item_nid"),
-                    F.get("in_links", i).n.alias("n_links"),
-                    F.get("in_links", i).nid.alias("link_nid"),
-                    F.get("in_captions", i).n.alias("n_captions"),
-                    F.get("in_captions", i).nid.alias("caption_nid"),
-                ),
-            ),
-        )
+        df.withColumns({"m_items": items, "m_links": links, "m_captions": captions})
+        .withColumns({"in_links": _inside("m_links"), "in_captions": _inside("m_captions")})
+        .withColumn("matches", _matches())
         .drop("m_items", "m_links", "m_captions", "in_links", "in_captions")
     )
 
@@ -83,27 +88,39 @@ def read_item(nodes: Column, match: Column, scheme: Column, host: Column) -> Col
     )
 
 
-def with_manual(df: DataFrame, items: Column, links: Column, captions: Column) -> DataFrame:
-    """Add `manual`: STRUCT<items, messages>. The first faulty item ends the
-    list, the items before it stay. NULL nids skip the page."""
-    c = F.col
-    scheme, host = urls.scheme(c("url")), urls.host(c("url"))
-    rows = with_matches(df, items, links, captions).withColumn(
-        "rows", F.transform("matches", lambda m: read_item(c("nodes"), m, scheme, host))
-    )
+@cache
+def _rows() -> Column:
+    scheme, host = urls.scheme(F.col("url")), urls.host(F.col("url"))
+    return F.transform("matches", lambda m: read_item(F.col("nodes"), m, scheme, host))
+
+
+@cache
+def _n_good() -> Column:
     failed = F.array_position(F.transform("rows", lambda r: r.error.isNotNull()), True)
-    rows = rows.withColumn(
-        "n_good", F.when(failed == 0, F.size("rows")).otherwise(failed - 1).cast("int")
-    )
+    return F.when(failed == 0, F.size("rows")).otherwise(failed - 1).cast("int")
+
+
+@cache
+def _found() -> Column:
+    n = F.col("n_good")
     found = F.struct(
         F.transform(
-            F.slice("rows", F.lit(1), c("n_good")),
+            F.slice("rows", F.lit(1), n),
             lambda r: F.struct(
                 r.pos.alias("ord"), r.link_url.alias("link_url"), r.caption.alias("caption")
             ),
         ).alias("items"),
-        F.transform(F.slice("rows", c("n_good") + 1, F.lit(1)), lambda r: r.error).alias("messages"),
+        F.transform(F.slice("rows", n + 1, F.lit(1)), lambda r: r.error).alias("messages"),
     )
-    return rows.withColumn("manual", F.when(c("rows").isNotNull(), found)).drop(
-        "matches", "rows", "n_good"
+    return F.when(F.col("rows").isNotNull(), found)
+
+
+def with_manual(df: DataFrame, items: Column, links: Column, captions: Column) -> DataFrame:
+    """Add `manual`: STRUCT<items, messages>. The first faulty item ends the
+    list, the items before it stay. NULL nids skip the page."""
+    rows = with_matches(df, items, links, captions).withColumn("rows", _rows())
+    return (
+        rows.withColumn("n_good", _n_good())
+        .withColumn("manual", _found())
+        .drop("matches", "rows", "n_good")
     )

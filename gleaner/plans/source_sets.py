@@ -8,6 +8,8 @@ Only the resulting items, a few short strings per page, move on.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.functions import selectors, values as v
@@ -68,15 +70,12 @@ def detected(routed: DataFrame) -> DataFrame:
     in document order, before dedupe and caps."""
     c = F.col
     # feeds are read before the page text is given up for the node array
-    feed = F.when(c("route") == "rss", feeds.rss_items(c("html"))).when(
-        c("route") == "atom", feeds.atom_items(c("html"))
-    )
     parsed = dom.with_nodes(
-        routed.withColumn("feed", feed), "html", c("route").isin("html", "manual")
+        routed.withColumn("feed", _feed()), "html", c("route").isin("html", "manual")
     ).drop("html")
 
     # nids are NULL, and the detectors idle, on pages of another route
-    all_links, by_hand = anchors(c("nodes")), F.lit(False)
+    all_links, by_hand = _anchors(), F.lit(False)
     if "link_selector" in routed.columns:
         parsed = parsed.withColumn("selected", _select("link_selector"))
         all_links = F.when(c("link_selector").isNull(), all_links).otherwise(c("selected"))
@@ -101,10 +100,24 @@ def detected(routed: DataFrame) -> DataFrame:
     )
 
 
+@cache
 def _select(selector: str) -> Column:
     return selectors.select(F.col("nodes"), selectors.parse(F.col(selector)))
 
 
+@cache
+def _anchors() -> Column:
+    return anchors(F.col("nodes"))
+
+
+@cache
+def _feed() -> Column:
+    route, body = F.col("route"), F.col("html")
+    return F.when(route == "rss", feeds.rss_items(body)).when(
+        route == "atom", feeds.atom_items(body)
+    )
+
+
 def _nothing(*messages: Column) -> Column:
     return F.struct(
         F.array().cast("array<struct<ord: int, link_url: string, caption: string>>").alias("items"),
@@ -138,11 +151,15 @@ def latest_by_url(items: Column) -> Column:
     )
 
 
+@cache
+def _clean() -> Column:
+    return F.filter(latest_by_url(F.col("items")), lambda x: trim_any(x.caption) != "")
+
+
 def with_finished_items(df: DataFrame) -> DataFrame:
     """Set `items`: deduped by URL, without blank captions, then cut to the limit
     of the source (0 = none)."""
-    clean = F.filter(latest_by_url(F.col("items")), lambda x: trim_any(x.caption) != "")
-    return df.withColumn("items", clean).withColumn(
+    return df.withColumn("items", _clean()).withColumn(
         "items",
         F.when(
             F.col("max_items") > 0, F.slice("items", F.lit(1), F.col("max_items"))

@@ -23,11 +23,18 @@ def trim_any(c: Column) -> Column:
     return F.btrim(c, F.lit(v.TRIM_CHARS))
 
 
-def text_piece(c: Column) -> Column:
+def inline_value(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Like `let`, for use outside lambdas: there generated code shares common
+    subexpressions by itself."""
+    return body(value)
+
+
+def text_piece(c: Column, bind=inline_value) -> Column:
     """Text of one text node: collapse white space, drop non-printing
-    characters, strip the left side and end in one blank."""
+    characters, strip the left side and end in one blank. Inside lambdas give
+    `bind=let`."""
     collapsed = F.regexp_replace(c, v.WHITESPACE_RUN, " ")
-    return let(
+    return bind(
         collapsed,
         lambda d: F.concat(
             F.ltrim(F.regexp_replace(d, v.NON_PRINTING, ""), F.lit(" \t\n")),
@@ -55,13 +62,16 @@ def close_block(c: Column, min_words: Column) -> Column:
     )
 
 
-def truncate_words(c: Column) -> Column:
-    """Cut before word 21 and add an ellipsis."""
-    n = v.CAPTION_WORDS
-    head = rf"^((?:[^A-Za-z0-9_-]*+[A-Za-z0-9_-]++){{{n}}}[^A-Za-z0-9_-]*+)[A-Za-z0-9_-]"
-    return F.when(
-        word_count(c) > n, F.concat(F.rtrim(F.regexp_extract(c, head, 1)), F.lit("..."))
-    ).otherwise(c)
+def truncate_words(c: Column, bind=inline_value) -> Column:
+    """Cut before word 21 and add an ellipsis. The pattern ends at the start of
+    word 21, so it finds nothing, and nothing is cut, in texts of 20 words."""
+    head = (
+        rf"^((?:[^A-Za-z0-9_-]*+[A-Za-z0-9_-]++){{{v.CAPTION_WORDS}}}[^A-Za-z0-9_-]*+)[A-Za-z0-9_-]"
+    )
+    return bind(
+        F.regexp_extract(c, head, 1),
+        lambda h: F.when(h != "", F.concat(F.rtrim(h), F.lit("..."))).otherwise(c),
+    )
 
 
 def tighten_punctuation(c: Column) -> Column:
@@ -69,8 +79,8 @@ def tighten_punctuation(c: Column) -> Column:
     return F.regexp_replace(c, v.SPACE_BEFORE_PUNCTUATION, "$1")
 
 
-def finish_caption(c: Column) -> Column:
-    return trim_any(tighten_punctuation(truncate_words(c)))
+def finish_caption(c: Column, bind=inline_value) -> Column:
+    return trim_any(tighten_punctuation(truncate_words(c, bind)))
 
 
 def link_key(caption: Column, link_url: Column) -> Column:

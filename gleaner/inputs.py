@@ -23,6 +23,10 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return dom.spread(table(spark, sf, "pages"), "page_id")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return dom.spread(table(spark, sf, "documents"), "doc_id")
+
+
 def by_turns(key: str, choices: list) -> "F.Column":
     """choices[key mod len(choices)] as a column; None is NULL."""
     n = F.col(key) % len(choices)
@@ -103,7 +107,7 @@ def feed_lines(spark: SparkSession, sf: str) -> DataFrame:
             F.concat(F.lit("Line: "), t).alias("description"),
         ),
     )
-    return dom.spread(table(spark, sf, "documents"), "doc_id").select("doc_id", lines.alias("lines"))
+    return documents(spark, sf).select("doc_id", lines.alias("lines"))
 
 
 def _xml(c):

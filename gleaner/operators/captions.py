@@ -37,7 +37,7 @@ def text_events(below: Column) -> Column:
     texts = F.filter(
         F.transform(
             F.filter(below, lambda n: n.kind == "text"),
-            lambda n: event(n.nid, False, n, text_piece(n.txt)),
+            lambda n: event(n.nid, False, n, text_piece(n.txt, let)),
         ),
         lambda e: e.txt != "",
     )
@@ -90,4 +90,4 @@ def enough(txt: Column, min_words: Column) -> Column:
 def caption(nodes: Column, container: Column, min_words: Column) -> Column:
     """Caption of a container; NULL for body, which is not a usable container."""
     text = let(subtree(nodes, container), lambda below: fold_text(text_events(below), min_words))
-    return F.when(node_at(nodes, container).tag != "body", let(text, finish_caption))
+    return F.when(node_at(nodes, container).tag != "body", let(text, lambda t: finish_caption(t, let)))

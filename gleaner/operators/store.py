@@ -16,7 +16,8 @@ from gleaner.operators.items import first_of_run, with_key
 
 
 def read_seen(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.SEEN).parquet(path)
+    """A snapshot written by `write_snapshot`: the store and its `seen_date`."""
+    return spark.read.schema(f"{schemas.SEEN}, seen_date DATE").parquet(path)
 
 
 def at(now: datetime | str | Column) -> Column:
@@ -24,9 +25,13 @@ def at(now: datetime | str | Column) -> Column:
 
 
 def alive(seen: DataFrame, now, days: int = DEFAULT_EXPIRY_DAYS) -> DataFrame:
-    """Keys not expired. A plain comparison with a constant, so that it reaches
-    the scan of the store."""
-    return seen.filter(F.col("seen_at") > at(now) - F.make_interval(days=F.lit(days)))
+    """Keys not expired. Plain comparisons with constants, so that they reach
+    the scan of the store and leave out the folders of expired days."""
+    since = at(now) - F.make_interval(days=F.lit(days))
+    live = seen.filter(F.col("seen_at") > since)
+    if "seen_date" in seen.columns:
+        live = live.filter(F.col("seen_date") >= F.to_date(since))
+    return live.select("link_key", "seen_at")
 
 
 def entries(items: DataFrame, now) -> DataFrame:

@@ -41,7 +41,7 @@ def due_ticks_by_arrival(
     The previous tick is found inside blocks of `block` arrival numbers; only
     one row per block, its last tick, is compared across blocks.
     """
-    blocks = with_moment(ticks, ts).withColumn("_block", F.floor(F.col(arrival) / block))
+    blocks = with_moment(ticks, ts).withColumn("_block", F.expr(f"`{arrival}` DIV {block}"))
     moment = F.struct("date", "hour")
     last = blocks.groupBy("_block").agg(F.max(F.struct(arrival, "date", "hour")).alias("_l"))
     carried = last.select(

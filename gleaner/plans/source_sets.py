@@ -17,6 +17,7 @@ from gleaner.functions.text import let, trim_any
 from gleaner.operators import auto, manual
 from gleaner.operators.links import anchors
 from gleaner.sources import dom, feeds, pages
+from gleaner.sources.tables import broadcast_if_small
 
 _SETTINGS = ["src", "name", "url", "max_items", "min_element_words", "src_ord"]
 _SELECTORS = ["item_selector", "caption_selector", "link_selector"]
@@ -26,18 +27,17 @@ def source_pages(sources: DataFrame, fetched: DataFrame) -> DataFrame:
     """Each source with its fetched page. Sources without a page stay, with
     `fetched` false.
 
-    Pages are the outer side of an inner join, so that page texts stay where
-    they were read when the sources are small: adaptive execution broadcasts
-    the sources if their measured size is below the threshold, and splits
-    skewed partitions of a shuffled join otherwise. Sources without a page come
-    from an anti join that reads the `src` column only.
+    Page texts stay where they were read when the sources, measured, are small
+    enough to be broadcast; otherwise the join is shuffled, and adaptive
+    execution splits skewed partitions. Sources without a page come from an
+    anti join that reads the `src` column only.
 
     Selector columns are optional: sources without any need no selector work in
     the plan.
     """
     settings = sources.select(*_SETTINGS, *[c for c in _SELECTORS if c in sources.columns])
     body = fetched.select("src", "status", "html")
-    got = body.join(settings, "src").withColumn("fetched", F.lit(True))
+    got = body.join(broadcast_if_small(settings), "src").withColumn("fetched", F.lit(True))
     missing = (
         settings.join(fetched.select("src"), "src", "left_anti")
         .withColumn("status", F.lit(None).cast("int"))

@@ -16,14 +16,14 @@ from gleaner.sources import pages
     f"SELECT doc_id, {sql.text_piece('text')} AS piece FROM documents",
 )
 def text_normalize(spark, sf):
-    return inputs.table(spark, sf, "documents").select(
+    return inputs.documents(spark, sf).select(
         "doc_id", text.text_piece(F.col("text")).alias("piece")
     )
 
 
 @query("word_count", f"SELECT doc_id, {sql.words('text')} AS n_words FROM documents")
 def word_count(spark, sf):
-    return inputs.table(spark, sf, "documents").select(
+    return inputs.documents(spark, sf).select(
         "doc_id", text.word_count(F.col("text")).cast("bigint").alias("n_words")
     )
 
@@ -56,7 +56,7 @@ def short_element_filter(spark, sf):
     f"SELECT doc_id, {sql.truncate_words('text')} AS short FROM documents",
 )
 def caption_truncate(spark, sf):
-    return inputs.table(spark, sf, "documents").select(
+    return inputs.documents(spark, sf).select(
         "doc_id", text.truncate_words(F.col("text")).alias("short")
     )
 
@@ -68,7 +68,7 @@ def caption_truncate(spark, sf):
 )
 def space_before_punct(spark, sf):
     spaced = F.replace(F.col("text"), F.lit("."), F.lit(" \n."))
-    return inputs.table(spark, sf, "documents").select(
+    return inputs.documents(spark, sf).select(
         "doc_id", text.tighten_punctuation(spaced).alias("tight")
     )
 
@@ -90,7 +90,7 @@ def caption_trim(spark, sf):
     "SELECT d.doc_id, sha256(d.text || d.source) AS link_key FROM documents d",
 )
 def link_key(spark, sf):
-    return inputs.table(spark, sf, "documents").select(
+    return inputs.documents(spark, sf).select(
         "doc_id", text.link_key(F.col("text"), F.col("source")).alias("link_key")
     )
 
@@ -100,7 +100,7 @@ def link_key(spark, sf):
     f"SELECT doc_id, {sql.escape_html('text')} AS escaped FROM documents",
 )
 def html_escape(spark, sf):
-    return inputs.table(spark, sf, "documents").select(
+    return inputs.documents(spark, sf).select(
         "doc_id", text.escape_html(F.col("text")).alias("escaped")
     )
 
@@ -214,7 +214,7 @@ def pages_scan(spark, sf):
 )
 def page_size_cap(spark, sf):
     ascii_text = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
-    return inputs.table(spark, sf, "documents").select(
+    return inputs.documents(spark, sf).select(
         "doc_id", pages.cap_page(ascii_text, 3000).alias("capped")
     )
 
@@ -247,6 +247,6 @@ def page_format(spark, sf):
         F.col("text"),
         inputs.by_turns("doc_id", [b for _, b in _OPENINGS]),
     )
-    return inputs.table(spark, sf, "documents").select(
+    return inputs.documents(spark, sf).select(
         "doc_id", pages.page_format(body).alias("format")
     )

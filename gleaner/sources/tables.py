@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +29,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Mark `df` for broadcasting if its rows, measured, fit in `max_bytes`.
+
+    Spark's own estimate goes by the size of compressed files and by default
+    widths of columns, so next to a table of pages it may take the pages for
+    the smaller side. Beyond the limit the join is left to Spark (shuffled,
+    with adaptive splitting of skewed keys).
+    """
+    row_bytes = F.octet_length(F.to_json(F.struct("*")))
+    measured = df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if measured <= max_bytes else df

@@ -118,8 +118,18 @@ def earlier_sibling_counts(nodes: Column, flags: Column) -> Column:
     return let(flagged, counts)
 
 
-def rank_below(sorted_values: Column, points: Column) -> Column:
-    """For each point, how many of `sorted_values` are below it (n log n).
+def flagged_ancestor_counts(nodes: Column, flags: Column) -> Column:
+    """For each node, how many of its ancestors are flagged: the flagged nodes
+    that start before it less those that also end before it."""
+    flagged = F.filter(nodes, lambda n: F.get(flags, n.nid))
+    own = F.transform(nodes, lambda n: n.nid)
+    started = rank_below(F.transform(flagged, lambda n: n.nid), own)
+    ended = rank_below(F.transform(flagged, lambda n: n.last), own)
+    return F.zip_with(started, ended, lambda a, b: a - b)
+
+
+def rank_below(among: Column, points: Column) -> Column:
+    """For each point, how many values of `among` are below it (n log n).
 
     Points and values are sorted together; the rank of a point is its place
     less the number of points before it.
@@ -127,7 +137,7 @@ def rank_below(sorted_values: Column, points: Column) -> Column:
     marks = F.concat(
         F.transform(points, lambda p, i: F.struct(p.alias("k"), F.lit(0).alias("t"), i.alias("i"))),
         F.transform(
-            sorted_values, lambda p: F.struct(p.alias("k"), F.lit(1).alias("t"), F.lit(-1).alias("i"))
+            among, lambda p: F.struct(p.alias("k"), F.lit(1).alias("t"), F.lit(-1).alias("i"))
         ),
     )
     placed = F.filter(
@@ -142,25 +152,26 @@ def select(nodes: Column, selector: Column) -> Column:
     """nids of the elements that a parsed selector matches, in document order.
 
     Each step yields one flag per node; the next step looks its flags up by
-    parent, ancestor or sibling, so chains are matched exactly without
-    backtracking.
+    parent or sibling, or counts flagged ancestors or siblings, so chains are
+    matched exactly without backtracking.
     """
 
     def chain(steps):
         def advance(flags, step):
-            # sibling counts are needed by `~` only
-            siblings = F.when(step.comb == "~", earlier_sibling_counts(nodes, flags))
+            # counts are needed by `~` and the blank only
+            counts = F.when(step.comb == "~", earlier_sibling_counts(nodes, flags)).when(
+                step.comb == "", flagged_ancestor_counts(nodes, flags)
+            )
 
             def linked(n, counts):
                 return (
                     F.when(step.comb == ">", F.coalesce(F.get(flags, n.parent), F.lit(False)))
                     .when(step.comb == "+", F.coalesce(F.get(flags, n.prev), F.lit(False)))
-                    .when(step.comb == "~", F.get(counts, n.nid) > 0)
-                    .otherwise(F.exists(n.anc, lambda a: (a != n.nid) & F.get(flags, a)))
+                    .otherwise(F.get(counts, n.nid) > 0)
                 )
 
             return let(
-                siblings,
+                counts,
                 lambda counts: F.transform(nodes, lambda n: matches_step(n, step) & linked(n, counts)),
             )
 

@@ -20,6 +20,17 @@ def node_at(nodes: Column, nid: Column) -> Column:
     return F.get(nodes, nid)
 
 
+def path_to(nodes: Column, nid: Column) -> Column:
+    """nids from the root down to a node. Paths are made for the few nodes that
+    need one; carrying them in every node would cost nodes x depth."""
+    up = F.aggregate(
+        F.sequence(F.lit(1), node_at(nodes, nid).depth),
+        F.array(nid),
+        lambda path, _: F.concat(path, F.array(node_at(nodes, F.element_at(path, -1)).parent)),
+    )
+    return F.when(node_at(nodes, nid).depth == 0, F.array(nid)).otherwise(F.reverse(up))
+
+
 def is_element(n: Column) -> Column:
     return n.kind == "element"
 
@@ -56,13 +67,13 @@ def link_groups(nodes: Column, link_nids: Column) -> Column:
 
     def link(nid):
         return let(
-            node_at(nodes, nid),
-            lambda n: F.struct(
-                tag_path_signature(nodes, n.anc).alias("sig"),
-                n.nid.alias("nid"),
-                n.depth.alias("depth"),
-                n.anc.alias("anc"),
-                F.element_at(n.attrs, "href").alias("href"),
+            path_to(nodes, nid),
+            lambda path: F.struct(
+                tag_path_signature(nodes, path).alias("sig"),
+                nid.alias("nid"),
+                (F.size(path) - 1).alias("depth"),
+                path.alias("anc"),
+                F.element_at(node_at(nodes, nid).attrs, "href").alias("href"),
             ),
         )
 

@@ -30,7 +30,7 @@ def _rows(df, array, *keep):
 @query("dom_nodes")
 def dom_nodes(spark, sf):
     nodes = dom.node_table(inputs.pages(spark, sf).select("page_id", "html"))
-    return nodes.drop("attrs", "anc").withColumnRenamed("last", "last_nid")
+    return nodes.drop("attrs").withColumnRenamed("last", "last_nid")
 
 
 @query(
@@ -56,7 +56,7 @@ def dom_anchors(spark, sf):
 @query("node_depth", f"{_A} SELECT page_id, CAST(pos AS INTEGER) AS pos, 5 AS depth FROM anchors")
 def node_depth(spark, sf):
     anchors = F.filter("nodes", lambda n: links.is_element(n) & (n.tag == "a"))
-    depths = F.transform(anchors, lambda n: F.size(n.anc) - 1)
+    depths = F.transform(anchors, lambda n: F.size(links.path_to(F.col("nodes"), n.nid)) - 1)
     return _rows(_nodes(spark, sf), depths, "page_id").withColumnRenamed("x", "depth")
 
 

@@ -46,8 +46,8 @@ _TOKEN = re.compile(
     r"|<(?:!|\?|/(?=[^a-zA-Z>]))[^>]*>?"
     r"|</>"
     r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>?"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"'=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*)>"
-    r"|(?P<text>[^<]+|<)",
+    r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"'=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*+)>"
+    r"|(?P<text>[^<]+|<(?![a-zA-Z/!?]))",
     re.S,
 )
 _ATTR = re.compile(r"([^\s/=>\"'][^\s/=>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
@@ -65,11 +65,11 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 class _Node:
-    __slots__ = ("kind", "tag", "text", "attrs", "children", "number")
+    __slots__ = ("kind", "tag", "text", "attrs", "children", "number", "is_open")
 
     def __init__(self, kind, tag=None, text=None, attrs=None):
         self.kind, self.tag, self.text, self.attrs = kind, tag, text, attrs
-        self.children, self.number = [], -1
+        self.children, self.number, self.is_open = [], -1, False
 
 
 class _Tree:
@@ -79,6 +79,7 @@ class _Tree:
     def __init__(self):
         self.root = _Node("element", "html", attrs={})
         self.open = [self.root]
+        self.n_open = {"html": 1}
         self.head = self.body = None
         self.formatting: list[_Node] = []
 
@@ -86,12 +87,26 @@ class _Tree:
         self.open[-1].children.append(node)
         return node
 
+    def enter(self, node):
+        self.open.append(node)
+        node.is_open = True
+        self.n_open[node.tag] = self.n_open.get(node.tag, 0) + 1
+
+    def leave(self, i=-1):
+        """Close the open elements from place `i` on."""
+        for node in self.open[i:]:
+            self.n_open[node.tag] -= 1
+            node.is_open = False
+        del self.open[i:]
+
     def push(self, tag, attrs=None):
-        self.open.append(self.add(_Node("element", tag, attrs=attrs or {})))
+        self.enter(self.add(_Node("element", tag, attrs=attrs or {})))
         return self.open[-1]
 
     def find(self, tags, stop=_BARRIER):
-        """Index of the innermost open element with one of `tags`."""
+        """Index of the innermost open element with one of `tags`, else 0."""
+        if not any(self.n_open.get(tag) for tag in tags):
+            return 0
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i].tag
             if tag in tags:
@@ -103,7 +118,7 @@ class _Tree:
     def close(self, tags, stop=_BARRIER):
         i = self.find(tags, stop)
         if i:
-            del self.open[i:]
+            self.leave(i)
         return i
 
     def enter_head(self):
@@ -113,14 +128,13 @@ class _Tree:
     def enter_body(self):
         if self.body is None:
             self.enter_head()
-            del self.open[1:]
+            self.leave(1)
             self.body = self.push("body")
 
     def reopen_formatting(self):
         """Formatting elements cut off by a closed block go on in the next."""
-        on_stack = set(map(id, self.open))
         for i, node in enumerate(self.formatting):
-            if id(node) not in on_stack:
+            if not node.is_open:
                 self.formatting[i] = self.push(node.tag, node.attrs)
 
     def text(self, data):
@@ -152,11 +166,11 @@ class _Tree:
         while self.open[-1].tag not in wanted and self.open[-1].tag not in (
             "table", "tbody", "thead", "tfoot", "tr",
         ):
-            self.open.pop()
+            self.leave()
         while self.open[-1].tag not in wanted and self.open[-1].tag != "table":
             if tag in ("td", "th") and self.open[-1].tag in ("tbody", "thead", "tfoot"):
                 break
-            self.open.pop()
+            self.leave()
         if tag in ("tr", "td", "th") and self.open[-1].tag == "table":
             self.push("tbody")
         if tag in ("td", "th") and self.open[-1].tag != "tr":
@@ -180,14 +194,17 @@ class _Tree:
         if self.body is None:
             if tag in _IN_HEAD:
                 self.enter_head()
-                if self.head not in self.open:
-                    self.open.append(self.head)
-                    node = self.push(tag, attrs)
-                    self.open.remove(self.head)
-                else:
+                if not self.head.is_open:
+                    # a late head element: it stays in the head, alone
+                    self.enter(self.head)
                     node = self.push(tag, attrs)
+                    self.leave(self.open.index(self.head))
+                    if tag not in _VOID:
+                        self.enter(node)
+                    return node
+                node = self.push(tag, attrs)
                 if tag in _VOID:
-                    self.open.pop()
+                    self.leave()
                 return node
             self.enter_body()
         if tag in _TABLE_PARTS:
@@ -202,27 +219,31 @@ class _Tree:
                                              "footer", "form", "fieldset", "figure"})
             self.close(("p",), _BARRIER | {"button"})
             if tag in _HEADINGS and self.open[-1].tag in _HEADINGS:
-                self.open.pop()
+                self.leave()
         elif tag in ("option", "optgroup"):
             if self.open[-1].tag == "option":
-                self.open.pop()
+                self.leave()
             if tag == "optgroup" and self.open[-1].tag == "optgroup":
-                self.open.pop()
+                self.leave()
         elif tag in ("a", "nobr"):
             self.end(tag)
         if tag not in _CLOSES_P and self.formatting and tag not in _RAW:
             self.reopen_formatting()
         node = self.push(tag, attrs)
         if tag in _VOID or (self_closing and self.find(("svg", "math"), ("html",))):
-            self.open.pop()
+            self.leave()
         elif tag in _FORMATTING:
+            # at most three of a kind are re-opened in later blocks
+            alike = [n for n in self.formatting if n.tag == tag and n.attrs == attrs]
+            if len(alike) == 3:
+                self.formatting.remove(alike[0])
             self.formatting.append(node)
         return node
 
     def end(self, tag):
         if self.body is None:
             if tag == "head" and self.head is not None:
-                del self.open[1:]
+                self.leave(1)
             elif self.close((tag,)) == 0 and tag == "br":
                 self.start("br", {}, False)
             return
@@ -232,7 +253,7 @@ class _Tree:
             self.start("br", {}, False)
         elif tag == "p" and not self.find(("p",), _BARRIER | {"button"}):
             self.push("p")
-            self.open.pop()
+            self.leave()
         elif tag in _HEADINGS:
             self.close(_HEADINGS)
         elif tag == "li":
@@ -243,8 +264,8 @@ class _Tree:
             for node in reversed(self.formatting):
                 if node.tag == tag:
                     self.formatting.remove(node)
-                    if node in self.open:
-                        del self.open[self.open.index(node):]
+                    if node.is_open:
+                        self.leave(self.open.index(node))
                     break
         else:
             self.close((tag,))
@@ -277,7 +298,7 @@ def parse_html(page: str) -> _Node:
                 if data:
                     node.children.append(_Node("text", text=data))
                 if tree.open[-1] is node:
-                    tree.open.pop()
+                    tree.leave()
                 if end:
                     close = page.find(">", stop)
                     pos = size if close < 0 else close + 1
@@ -290,8 +311,9 @@ def parse_html(page: str) -> _Node:
         elif kind == "text":
             data = m.group("text")
             while pos < size and page[pos] != "<":
-                more = _TOKEN.match(page, pos)
-                data, pos = data + more.group(), more.end()
+                more = page.find("<", pos)
+                more = size if more < 0 else more
+                data, pos = data + page[pos:more], more
             tree.text(html.unescape(data) if "&" in data else data)
         elif kind == "comment":
             if tree.head is not None:
@@ -308,7 +330,6 @@ class _Batch:
         self.rows: list[tuple] = []
         self.last: list[int] = []
         self.attr_offsets, self.attr_keys, self.attr_values = [0], [], []
-        self.anc_offsets, self.anc = [0], []
 
     def add_page(self, page: str | None) -> None:
         if page is not None:
@@ -336,11 +357,9 @@ class _Batch:
                 self.attr_keys.extend(node.attrs.keys())
                 self.attr_values.extend(node.attrs.values())
                 path.append(nid)
-                self.anc.extend(path)
                 todo.append(None)
                 todo.extend(reversed(_numbered_siblings(node.children)))
             self.attr_offsets.append(len(self.attr_keys))
-            self.anc_offsets.append(len(self.anc))
 
     def to_arrow(self) -> pa.Array:
         cols = list(zip(*self.rows)) or [()] * 9
@@ -352,11 +371,10 @@ class _Batch:
             pa.array(self.attr_offsets, ints), pa.array(self.attr_keys, strings),
             pa.array(self.attr_values, strings),
         )
-        anc = pa.ListArray.from_arrays(pa.array(self.anc_offsets, ints), pa.array(self.anc, ints))
         fields = {
             "nid": nid, "parent": parent, "depth": depth, "last": pa.array(self.last, ints),
-            "kind": kind, "tag": tag, "txt": txt, "attrs": attrs, "anc": anc, "sib": sib,
-            "nth": nth, "prev": prev,
+            "kind": kind, "tag": tag, "txt": txt, "attrs": attrs, "sib": sib, "nth": nth,
+            "prev": prev,
         }
         nodes = pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
         return pa.ListArray.from_arrays(pa.array(self.page_offsets, ints), nodes)

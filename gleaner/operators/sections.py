@@ -91,6 +91,12 @@ def write_body(fragments: DataFrame, path: str) -> None:
     fragments.orderBy(*KEYS).select("body").write.mode("overwrite").text(path)
 
 
+def print_body(fragments: DataFrame, write=print) -> None:
+    """Write a body to a console instead of a folder, one partition at a time."""
+    for row in fragments.orderBy(*KEYS).toLocalIterator():
+        write(row["body"])
+
+
 def extract_items(bodies: DataFrame, body_col: str = "body") -> DataFrame:
     """Item elements found in bodies, one row each."""
     keep = [c for c in bodies.columns if c != body_col]

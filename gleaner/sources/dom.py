@@ -14,7 +14,7 @@ import sys
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleaner import schemas
 
@@ -404,12 +404,24 @@ def _parse_pages(pages: pa.Array) -> pa.Array:
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def with_nodes(pages: DataFrame, html_col: str = "html", when: Column | None = None) -> DataFrame:
-    """Replace the page text by its `nodes` array (empty where `when` is false)."""
-    page = F.col(html_col) if when is None else F.when(when, F.col(html_col))
+def _parser():
     parse = F.arrow_udf(_parse_pages, f"ARRAY<{schemas.NODE}>")
     # Marked so, filters above are not pushed below, which would parse pages twice.
-    return pages.withColumn("nodes", parse.asNondeterministic()(page))
+    return parse.asNondeterministic()
+
+
+def with_nodes(pages: DataFrame, html_col: str = "html", when: Column | None = None) -> DataFrame:
+    """Add the `nodes` array of each page (empty where `when` is false)."""
+    page = F.col(html_col) if when is None else F.when(when, F.col(html_col))
+    return pages.withColumn("nodes", _parser()(page))
+
+
+def register(spark: SparkSession, name: str = "dom_nodes") -> None:
+    """Make the parser known to SQL:
+
+        SELECT page_id, n.* FROM pages LATERAL VIEW explode(dom_nodes(html)) AS n
+    """
+    spark.udf.register(name, _parser())
 
 
 def node_table(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -8,14 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+_scratch: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: `spark.checkpoint.dir` of the session. Where
-    it is unset, as in a local session, a scratch folder is set."""
+    """Folder all executors share: `spark.checkpoint.dir` of the session. Only a
+    local session, where all tasks run on one machine, may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _scratch:
+        _scratch[context.applicationId] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _scratch[context.applicationId]
 
 
 def new_dir(spark: SparkSession, name: str) -> str:

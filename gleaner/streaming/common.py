@@ -14,14 +14,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def merge_in_tasks(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keep the first row per key of each Arrow batch. No shuffle and no state:
-    it only thins out copies before a stateful operator, which has no map-side
-    merging of its own."""
+def merge_in_tasks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Keep one row per key, the first by `order`, of each Arrow batch. No
+    shuffle and no state: it only thins out copies before a stateful operator,
+    which has no map-side merging of its own."""
 
     def thin(batches):
         for batch in batches:
-            yield batch.drop_duplicates(keys)
+            yield batch.sort_values(order).drop_duplicates(keys)
 
     return df.mapInPandas(thin, df.schema)
 

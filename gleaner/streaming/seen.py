@@ -50,7 +50,7 @@ def new_items_stream(items: DataFrame, days: int = DEFAULT_EXPIRY_DAYS) -> DataF
     ttl = int(timedelta(days=days).total_seconds() * 1000)
     rows = items.select("link_key", "link_url", "caption", "src", "src_ord", "ord")
     return (
-        merge_in_tasks(rows, ["link_key"])
+        merge_in_tasks(rows, ["link_key"], ["src_ord", "ord"])
         .groupBy("link_key")
         .transformWithStateInPandas(
             statefulProcessor=FirstSight(ttl),

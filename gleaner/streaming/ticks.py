@@ -17,7 +17,7 @@ def due_stream(ticks: DataFrame, moments: DataFrame, delay: str = "1 hour") -> D
     """
     marked = with_moment(ticks).select("ts", "date", "day", "hour")
     fired = (
-        merge_in_tasks(marked, ["date", "hour"])
+        merge_in_tasks(marked, ["date", "hour"], ["ts"])
         .withWatermark("ts", delay)
         .dropDuplicatesWithinWatermark(["date", "hour"])
     )

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.sources.dom import node_table, parse_html
+from gleaner.sources.dom import node_table, parse_html, register
+from gleaner.sources.pages import cap_page, read_page_files
+from gleaner.sources.tables import new_dir
 
 
 def shape(node):
@@ -72,3 +74,28 @@ def test_depth_is_number_of_edges(spark):
     )
     found = node_table(pages).filter(F.col("tag") == "a")
     assert {r.page_id: r.depth for r in found.collect()} == {d: d + 2 for d in depths}
+
+
+def test_sql_function(spark):
+    register(spark)
+    spark.createDataFrame([(1, "<ul><li>a<li>b")], "page_id BIGINT, html STRING").createOrReplaceTempView("p")
+    rows = spark.sql(
+        "SELECT page_id, n.tag FROM p LATERAL VIEW explode(dom_nodes(html)) AS n WHERE n.tag = 'li'"
+    )
+    assert [tuple(r) for r in rows.collect()] == [(1, "li"), (1, "li")]
+
+
+def test_page_files(spark):
+    out = new_dir(spark, "test")
+    pages = ["<p>one\n<p>two", "<p>three"]
+    for i, page in enumerate(pages):
+        spark.createDataFrame([(page,)], "v STRING").coalesce(1).write.text(f"{out}/{i}")
+    read = read_page_files(spark, f"{out}/*/*.txt")
+    assert sorted(r.html.rstrip("\n") for r in read.collect()) == sorted(pages)
+    assert read.select("url").distinct().count() == 2
+
+
+def test_page_cap(spark):
+    df = spark.createDataFrame([("abcdef",), ("ab",), (None,)], "html STRING")
+    got = [r.c for r in df.select(cap_page(F.col("html"), 4).alias("c")).collect()]
+    assert got == ["abcd", "ab", None]

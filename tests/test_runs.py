@@ -167,6 +167,9 @@ def test_golden_bodies(spark):
     sections.write_body(sections.render(rows, items, False), f"{out}/text")
     assert body_of(f"{out}/html") == GOLDEN_HTML
     assert body_of(f"{out}/text") == GOLDEN_TEXT
+    printed = []
+    sections.print_body(sections.render(rows, items, True), printed.append)
+    assert "\n".join(printed) == GOLDEN_HTML
 
 
 def test_escape(spark):

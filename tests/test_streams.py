@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gleaner.operators import ticks as op
+from gleaner.sources.pages import stream_pages
 from gleaner.sources.tables import new_dir
 from gleaner.streaming.common import state_store, write_all
 from gleaner.streaming.digest import run_stream
@@ -40,8 +41,8 @@ def test_new_items_stream_across_batches(spark):
         with state_store(spark):
             items = spark.readStream.schema(schema).parquet(f"{out}/in/*")
             write_all(new_items_stream(items), f"{out}/new", f"{out}/check")
-    got = sorted((r.link_key, r.link_url) for r in spark.read.parquet(f"{out}/new").collect())
-    assert got == [("k1", "u1"), ("k2", "u2"), ("k3", "u3")]
+    got = sorted((r.link_key, r.link_url, r.src) for r in spark.read.parquet(f"{out}/new").collect())
+    assert got == [("k1", "u1", "a"), ("k2", "u2", "a"), ("k3", "u3", "z")]
 
 
 def test_run_stream(spark):
@@ -51,7 +52,7 @@ def test_run_stream(spark):
     landed = [[("one", 200, site(FIVE))], [("one", 200, site(CHANGED)), ("two", 404, "")]]
     for n, pages in enumerate(landed):
         land(spark.createDataFrame(pages, schema), f"{out}/in", n)
-        fetched = spark.readStream.schema(schema).parquet(f"{out}/in/*")
+        fetched = stream_pages(spark, f"{out}/in/*", schema)
         run_stream(src, fetched, f"{out}/runs", f"{out}/check",
                    lambda batch: f"2024-01-0{batch + 1} 00:00:00")
     first = spark.read.parquet(f"{out}/runs/0/items")

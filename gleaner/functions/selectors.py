@@ -4,9 +4,10 @@ A selector string becomes a struct column (`parse`), and `select` evaluates that
 struct over a page's nodes. Selectors therefore may differ from row to row:
 a million sources with a million selectors still make one plan.
 
-Covered: `tag`, `*`, `#id`, `.class`, `[attr]`, `[attr=value]`,
-`:nth-of-type(n)`, `:first-child`, the combinators blank, `>`, `+`, `~`, and
-selector lists.
+Covered: `tag`, `*`, `#id`, `.class`, `[attr]` and `[attr=value]` with the
+operators `=`, `~=`, `|=`, `^=`, `$=`, `*=`, `:nth-of-type(n)`, `:nth-child(n)`,
+`:first-of-type`, `:first-child`, the combinators blank, `>`, `+`, `~`, and
+selector lists. Anything else is invalid.
 """
 
 from __future__ import annotations
@@ -17,18 +18,20 @@ from gleaner.functions.text import let
 from gleaner.operators.links import is_element, node_at
 
 _IDENT = r"-?[A-Za-z_][A-Za-z0-9_-]*"
+_VALUE = rf"(?:\"[^\"\]]*\"|'[^'\]]*'|{_IDENT})"
 _QUALIFIER = (
-    rf"(?:#{_IDENT}|\.{_IDENT}|\[{_IDENT}(?:=(?:\"[^\"\]]*\"|'[^'\]]*'|{_IDENT}))?\]"
-    r"|:nth-of-type\([1-9][0-9]*\)|:first-child)"
+    rf"(?:#{_IDENT}|\.{_IDENT}|\[{_IDENT}(?:[~|^$*]?={_VALUE})?\]"
+    r"|:nth-(?:of-type|child)\([1-9][0-9]*\)|:first-(?:of-type|child))"
 )
 _COMPOUND = rf"(?:(?:{_IDENT}|\*){_QUALIFIER}*+|{_QUALIFIER}++)"
+_BLANKS = r"[\t\n\f\r ]+"
 _COMBINATOR = r"(?:\s*[>+~]\s*|\s+)"
 _CHAIN = rf"{_COMPOUND}(?:{_COMBINATOR}{_COMPOUND})*+"
 _LIST = rf"^\s*{_CHAIN}(?:\s*,\s*{_CHAIN})*+\s*$"
 
 STEP = (
     "STRUCT<comb: STRING, tag: STRING, id: STRING, classes: ARRAY<STRING>, "
-    "attrs: ARRAY<STRUCT<attr: STRING, value: STRING>>, nth: INT, first: BOOLEAN>"
+    "attrs: ARRAY<STRUCT<attr: STRING, op: STRING, value: STRING>>, nth: INT, child: INT>"
 )
 
 
@@ -59,43 +62,55 @@ def _step(part: Column) -> Column:
     bare = F.regexp_replace(part, r"\[[^\]]*\]", "")
     comb = F.trim(F.regexp_extract(part, r"^(\s*[>+~]?\s*)", 1))
     attr = lambda a: F.struct(
-        F.regexp_extract(a, r"^([^=]+)", 1).alias("attr"),
-        F.when(
-            F.contains(a, F.lit("=")), F.regexp_extract(a, r"=[\"']?([^\"']*)[\"']?$", 1)
-        ).alias("value"),
+        F.regexp_extract(a, r"^([^=~|^$*]+)", 1).alias("attr"),
+        F.regexp_extract(a, r"^[^=~|^$*]+([~|^$*]?=)", 1).alias("op"),
+        F.regexp_extract(a, r"=[\"']?([^\"']*)[\"']?$", 1).alias("value"),
     )
+
+    def place(kind):
+        number = F.regexp_extract(bare, rf":nth-{kind}\((\d+)\)", 1)
+        return F.when(F.contains(bare, F.lit(f":first-{kind}")), 1).otherwise(
+            F.nullif(number, F.lit("")).cast("int")
+        )
+
     return F.struct(
         comb.alias("comb"),
         F.lower(first(rf"^\s*[>+~]?\s*({_IDENT})")).alias("tag"),
         F.nullif(F.regexp_extract(bare, rf"#({_IDENT})", 1), F.lit("")).alias("id"),
         F.regexp_extract_all(bare, F.lit(rf"\.({_IDENT})"), F.lit(1)).alias("classes"),
         F.transform(attr_texts, attr).alias("attrs"),
-        F.nullif(F.regexp_extract(bare, r":nth-of-type\((\d+)\)", 1), F.lit(""))
-        .cast("int")
-        .alias("nth"),
-        F.contains(bare, F.lit(":first-child")).alias("first"),
+        place("of-type").alias("nth"),
+        place("child").alias("child"),
+    )
+
+
+def matches_attribute(have: Column, a: Column) -> Column:
+    """Whether an attribute value (NULL if absent) fits; empty values never fit
+    the operators that look for a part."""
+    part = a.value != ""
+    return F.coalesce(
+        F.when(a.op == "", have.isNotNull())
+        .when(a.op == "=", have == a.value)
+        .when(a.op == "^=", part & F.startswith(have, a.value))
+        .when(a.op == "$=", part & F.endswith(have, a.value))
+        .when(a.op == "*=", part & F.contains(have, a.value))
+        .when(a.op == "~=", part & F.array_contains(F.split(have, _BLANKS), a.value))
+        .when(a.op == "|=", (have == a.value) | F.startswith(have, F.concat(a.value, F.lit("-")))),
+        F.lit(False),
     )
 
 
 def matches_step(n: Column, step: Column) -> Column:
     """Whether an element fits one step, its combinator left aside."""
-    own_classes = F.split(F.coalesce(F.element_at(n.attrs, "class"), F.lit("")), r"[\t\n\f\r ]+")
+    own_classes = F.split(F.coalesce(F.element_at(n.attrs, "class"), F.lit("")), _BLANKS)
     return (
         is_element(n)
         & (step.tag.isNull() | (n.tag == step.tag))
         & (step.id.isNull() | F.coalesce(F.element_at(n.attrs, "id") == step.id, F.lit(False)))
         & ((F.size(step.classes) == 0) | (F.size(F.array_except(step.classes, own_classes)) == 0))
-        & F.forall(
-            step.attrs,
-            lambda a: F.coalesce(
-                F.when(a.value.isNull(), F.element_at(n.attrs, a.attr).isNotNull()).otherwise(
-                    F.element_at(n.attrs, a.attr) == a.value
-                ),
-                F.lit(False),
-            ),
-        )
+        & F.forall(step.attrs, lambda a: matches_attribute(F.element_at(n.attrs, a.attr), a))
         & (step.nth.isNull() | (n.nth == step.nth))
-        & (~step.first | (n.sib == 0))
+        & (step.child.isNull() | (n.sib == step.child - 1))
     )
 
 

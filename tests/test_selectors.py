@@ -17,7 +17,7 @@ VALID = [
     "div ul li:nth-of-type(3)", "blah", "*", "div#mySpecialDiv.coolClass ~ span.anotherClass",
     "div,span",
 ]
-INVALID = ["duv il la:uth-of-type(3)", "123", "div:not()", ""]
+INVALID = ["duv il la:uth-of-type(3)", "123", "div:not()", "", "a[", "a >", "> a", "a,,b", "a[x!=y]"]
 
 
 @pytest.mark.parametrize("text,ok", [(t, True) for t in VALID] + [(t, False) for t in INVALID])
@@ -39,6 +39,14 @@ CASES = {
     "a[data-k='v'], b a": ["/3", "/4"],
     "a[href=\"/2\"]": ["/2"],
     "#top a": [],
+    "a[href^='/1'], a[href$='5']": ["/1", "/5"],
+    "a[href*=\"3\"]": ["/3"],
+    "div[class~=wide] a": ["/5"],
+    "a[data-k|=v]": ["/3"],
+    "a[href^='']": [],
+    "li:first-child a": ["/1", "/2", "/5"],
+    "body > :nth-child(2) li:nth-child(2) a": ["/3"],
+    "a:first-of-type": ["/1", "/3", "/4", "/5"],
     "body>ul a": ["/1", "/2", "/3", "/4"],
     "li > div > a, li > b > a": ["/4", "/5"],
 }

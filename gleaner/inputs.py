@@ -98,7 +98,7 @@ def seen_from(all_sets: DataFrame) -> DataFrame:
 def feed_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of each document, as the entries of one feed: `doc_id`, `lines`
     ARRAY<STRUCT<ord, title, description>>. Short lines have no title."""
-    clean = F.regexp_replace("text", r"[^\x20-\x7E\n\x{A1}-\x{D7FF}]", "")
+    clean = F.regexp_replace("text", r"[\x00-\x09\x0B-\x1F\x7F-\xA0\x{D800}-\x{10FFFF}]", "")
     lines = F.transform(
         F.split(clean, "\n"),
         lambda t, i: F.struct(

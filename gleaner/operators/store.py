@@ -1,23 +1,50 @@
 """The seen store: keys of sent items with the time of their first sight.
 
-The store is a table `link_key, seen_at`, one row per key. A key counts for
-`days` days from its first sight; it is not renewed while it is alive.
+The store is a table `link_key, seen_at`. A key counts for `days` days from its
+first sight; it is not renewed while it is alive. Each run appends its new keys
+as a folder of its own, `run=<n>/seen_date=<day>`: nothing is rewritten, a
+repeated run replaces its own folder, and expired days are not scanned.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleaner import schemas
 from gleaner.functions.values import DEFAULT_EXPIRY_DAYS
 from gleaner.operators.items import first_of_run, with_key
+from gleaner.sources.tables import SMALL, measured_bytes
+
+
+def read_seen(spark: SparkSession, path: str, before_run: int | None = None) -> DataFrame:
+    """The store with its layout columns, as it was before a run; empty where
+    there is none yet."""
+    schema = f"{schemas.SEEN}, run BIGINT, seen_date DATE"
+    try:
+        seen = spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    return seen if before_run is None else seen.filter(F.col("run") < before_run)
+
+
+def append_seen(new: DataFrame, path: str, run: int, now) -> None:
+    """Add the keys of `new`, one row per key, to the store."""
+    keys = new.select("link_key", at(now).alias("seen_at"))
+    keys.withColumn("seen_date", F.to_date("seen_at")).write.mode("overwrite").partitionBy(
+        "seen_date"
+    ).parquet(f"{path}/run={run}")
 
 
-def read_seen(spark: SparkSession, path: str) -> DataFrame:
-    """A snapshot written by `write_snapshot`: the store and its `seen_date`."""
-    return spark.read.schema(f"{schemas.SEEN}, seen_date DATE").parquet(path)
+def write_compacted(store: DataFrame, path: str) -> None:
+    """Write a store to a new place as its only run, after `cleanup`."""
+    store.select("link_key", "seen_at", F.to_date("seen_at").alias("seen_date")).write.mode(
+        "overwrite"
+    ).partitionBy("seen_date").parquet(f"{path}/run=0")
 
 
 def at(now: datetime | str | Column) -> Column:
@@ -45,6 +72,19 @@ def lookup(items: DataFrame, seen: DataFrame) -> DataFrame:
     return with_key(items).join(seen.select("link_key", "seen_at"), "link_key", "left")
 
 
+def relevant(seen: DataFrame, keys: DataFrame, max_bytes: int = SMALL) -> DataFrame:
+    """The part of the store that a run can meet.
+
+    The store holds the keys of many runs. When those of this one, measured, are
+    small, they are sent to the store and filter its scan; otherwise the store
+    comes back as it is, to be shuffled by the join that follows.
+    """
+    keys = keys.select("link_key").distinct()
+    if measured_bytes(keys) > max_bytes:
+        return seen
+    return seen.join(F.broadcast(keys), "link_key", "left_semi")
+
+
 def new_items(
     items: DataFrame, seen: DataFrame, now, days: int = DEFAULT_EXPIRY_DAYS
 ) -> DataFrame:
@@ -53,19 +93,12 @@ def new_items(
 
 
 def upsert(seen: DataFrame, new: DataFrame, now, days: int = DEFAULT_EXPIRY_DAYS) -> DataFrame:
-    """Store after a run: live old keys and the new ones. Write it to a new
-    snapshot, never over the one being read."""
-    both = alive(seen, now, days).unionByName(entries(new, now))
-    return both.groupBy("link_key").agg(F.min("seen_at").alias("seen_at"))
+    """Store after a run: live old keys and the new ones. `new` comes from
+    `new_items`, one row per key and none of them alive, so there is nothing to
+    merge and nothing to shuffle."""
+    return alive(seen, now, days).unionByName(new.select("link_key", at(now).alias("seen_at")))
 
 
 def cleanup(seen: DataFrame, now, days: int = DEFAULT_EXPIRY_DAYS) -> DataFrame:
     """Store without expired keys."""
     return alive(seen, now, days)
-
-
-def write_snapshot(store: DataFrame, path: str) -> None:
-    """Write a store snapshot, laid out by day so that expiry prunes files."""
-    store.withColumn("seen_date", F.to_date("seen_at")).write.mode("overwrite").partitionBy(
-        "seen_date"
-    ).parquet(path)

@@ -34,32 +34,37 @@ class Run:
     items: str
     html: str
     text: str
-    seen: str | None
 
 
 def run_digest(
     sources: DataFrame,
     fetched: DataFrame,
-    seen: DataFrame | None,
     now,
     out: str,
+    seen_path: str | None = None,
+    run: int = 0,
     days: int = DEFAULT_EXPIRY_DAYS,
 ) -> Run:
-    """Run once and write the sets, the new items, both bodies and the next
-    store snapshot below `out`, a folder that all executors share.
+    """Run once: write the sets, the new items and both bodies below `out`, and
+    add the new keys to the store at `seen_path` as run number `run`. All folders
+    are shared by the executors. Without a store (one-off and test runs) nothing
+    is looked up or remembered.
 
     Pages are parsed once: sets and items are written tables, and what follows
     reads those, so a lost executor never costs a second parse.
     """
     spark = sources.sparkSession
-    run = Run(f"{out}/sets", f"{out}/items", f"{out}/html", f"{out}/text", None)
-    source_sets(source_pages(sources, fetched)).write.mode("overwrite").parquet(run.sets)
-    sets = spark.read.parquet(run.sets)
-    run_items(sets, seen, now, days).write.mode("overwrite").parquet(run.items)
-    items = spark.read.parquet(run.items)
-    body.write_body(digest(sets, items, html=True), run.html)
-    body.write_body(digest(sets, items, html=False), run.text)
-    if seen is not None:
-        run.seen = f"{out}/seen"
-        store.write_snapshot(store.upsert(seen, items, now, days), run.seen)
-    return run
+    done = Run(f"{out}/sets", f"{out}/items", f"{out}/html", f"{out}/text")
+    source_sets(source_pages(sources, fetched)).write.mode("overwrite").parquet(done.sets)
+    sets = spark.read.parquet(done.sets)
+    seen = None
+    if seen_path is not None:
+        live = store.alive(store.read_seen(spark, seen_path, before_run=run), now, days)
+        seen = store.relevant(live, with_key(explode_items(sets)))
+    run_items(sets, seen, now, days).write.mode("overwrite").parquet(done.items)
+    items = spark.read.parquet(done.items)
+    body.write_body(digest(sets, items, html=True), done.html)
+    body.write_body(digest(sets, items, html=False), done.text)
+    if seen_path is not None:
+        store.append_seen(items, seen_path, run, now)
+    return done

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from gleaner import inputs
 from gleaner.functions import values as v
-from gleaner.operators import sections as op
-from gleaner.operators.items import explode_items
+from gleaner.operators import sections as op, store
+from gleaner.operators.items import explode_items, with_key
 from gleaner.plans.digest import digest, run_items
 from gleaner.plans.source_sets import source_pages, source_sets
 from gleaner.queries import sql
@@ -110,9 +110,8 @@ def newsletter(spark, sf):
     sets = written(
         source_sets(source_pages(inputs.sources(spark, sf), inputs.fetched(spark, sf))), "sets"
     )
-    items = written(
-        run_items(sets, inputs.seen_from(all_sets), inputs.NOW, inputs.EXPIRY_DAYS), "items"
-    )
+    seen = store.relevant(inputs.alive_seen(all_sets), with_key(explode_items(sets)))
+    items = written(run_items(sets, seen, inputs.NOW, inputs.EXPIRY_DAYS), "items")
     return _ranked(digest(sets, items))
 
 

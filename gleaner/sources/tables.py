@@ -38,7 +38,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+SMALL = 64 << 20
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of the rows of `df` as text, by counting."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = SMALL) -> DataFrame:
     """Mark `df` for broadcasting if its rows, measured, fit in `max_bytes`.
 
     Spark's own estimate goes by the size of compressed files and by default
@@ -46,6 +54,4 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     the smaller side. Beyond the limit the join is left to Spark (shuffled,
     with adaptive splitting of skewed keys).
     """
-    row_bytes = F.octet_length(F.to_json(F.struct("*")))
-    measured = df.agg(F.sum(row_bytes)).first()[0] or 0
-    return F.broadcast(df) if measured <= max_bytes else df
+    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df

@@ -7,10 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from gleaner import schemas
 from gleaner.functions.values import DEFAULT_EXPIRY_DAYS
-from gleaner.operators.store import read_seen
-from gleaner.plans.digest import Run, run_digest
+from gleaner.plans.digest import run_digest
 
 
 def run_stream(
@@ -22,25 +20,21 @@ def run_stream(
     days: int = DEFAULT_EXPIRY_DAYS,
 ) -> StreamingQuery:
     """Run over everything that has landed, one digest per micro-batch, below
-    `out/<batch number>`.
+    `out/<batch number>`; the store is `out/seen`.
 
-    Each batch reads the store snapshot of the batch before and writes its own,
-    so a batch that is repeated after a failure gives the same result. Sources
+    Each batch reads the keys of the batches before it and writes its own, so a
+    batch that is repeated after a failure gives the same result. Sources
     without a page in a batch are not part of its digest.
     """
-    spark = sources.sparkSession
 
-    def run(batch: DataFrame, batch_id: int) -> Run:
-        seen = (
-            spark.createDataFrame([], schemas.SEEN)
-            if batch_id == 0
-            else read_seen(spark, f"{out}/{batch_id - 1}/seen")
-        )
+    def run(batch: DataFrame, batch_id: int) -> None:
         present = sources.join(batch.select("src").distinct(), "src", "left_semi")
-        return run_digest(present, batch, seen, now(batch_id), f"{out}/{batch_id}", days)
+        run_digest(
+            present, batch, now(batch_id), f"{out}/{batch_id}", f"{out}/seen", batch_id, days
+        )
 
     query = (
-        fetched.writeStream.foreachBatch(lambda df, n: run(df, n) and None)
+        fetched.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

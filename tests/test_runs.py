@@ -1,6 +1,7 @@
 """Seen store, digests and whole runs."""
 
 import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,10 +34,6 @@ def fetched(spark, pages):
     return spark.createDataFrame(rows, "src STRING, status INT, html STRING")
 
 
-def empty_store(spark):
-    return spark.createDataFrame([], "link_key STRING, seen_at TIMESTAMP")
-
-
 def body_of(folder):
     text = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{folder}/part-*")))
     return text[:-1]
@@ -48,30 +45,49 @@ CHANGED = [(f"/{i}", f"Story number {i}") for i in range(3)] + [("/x", "New one"
 
 def test_second_run_shows_changes_only(spark):
     out = new_dir(spark, "test")
+    seen = f"{out}/seen"
     src = sources(spark, ["one", "two"])
-    first = run_digest(src, fetched(spark, {"one": site(FIVE), "two": site(FIVE[:2])}),
-                       empty_store(spark), "2024-01-01 00:00:00", f"{out}/1")
-    seen = store.read_seen(spark, first.seen)
-    assert seen.count() == 5
-    again = run_digest(src, fetched(spark, {"one": site(FIVE), "two": site(FIVE[:2])}), seen,
-                       "2024-01-02 00:00:00", f"{out}/2")
+
+    def run(n, now, one, two):
+        pages = fetched(spark, {"one": site(one), "two": site(two)})
+        return run_digest(src, pages, f"{now} 00:00:00", f"{out}/{n}", seen, n)
+
+    first = run(0, "2024-01-01", FIVE, FIVE[:2])
+    assert store.read_seen(spark, seen).count() == 5
+    again = run(1, "2024-01-02", FIVE, FIVE[:2])
     assert spark.read.parquet(again.items).count() == 0
-    third = run_digest(src, fetched(spark, {"one": site(CHANGED), "two": site(FIVE)}),
-                       store.read_seen(spark, again.seen), "2024-01-03 00:00:00", f"{out}/3")
-    got = {(r.src, r.link_url, r.caption) for r in spark.read.parquet(third.items).collect()}
-    assert got == {("one", f"{SITE}/x", "New one. go."), ("one", f"{SITE}/y", "New two. go.")}
+    for _ in range(2):  # a repeated run gives the same
+        third = run(2, "2024-01-03", CHANGED, FIVE)
+        got = {(r.src, r.link_url, r.caption) for r in spark.read.parquet(third.items).collect()}
+        assert got == {("one", f"{SITE}/x", "New one. go."), ("one", f"{SITE}/y", "New two. go.")}
+        assert store.read_seen(spark, seen).count() == 7
     before = {r.item for r in sections.extract_items(bodies(spark, first.html)).collect()}
     after = {r.item for r in sections.extract_items(bodies(spark, third.html)).collect()}
     assert len(before) == 5 and len(after) == 2 and not before & after
     html, text = body_of(third.html), body_of(third.text)
     assert html.count("<h2>") == 2 and v.NO_LINKS in html and "New one. go." in text
     # keys keep the time of their first sight, and expire by it
-    kept = store.read_seen(spark, third.seen)
-    assert kept.filter("seen_at = '2024-01-01'").count() == 5
-    later = run_digest(src, fetched(spark, {"one": site(FIVE), "two": site([])}), kept,
-                       "2024-07-01 00:00:00", f"{out}/4")
+    assert store.read_seen(spark, seen).filter("seen_at = '2024-01-01'").count() == 5
+    later = run(3, "2024-07-01", FIVE, [])
     assert spark.read.parquet(later.items).count() == 5
-    assert store.read_seen(spark, later.seen).count() == 5
+    live = store.cleanup(store.read_seen(spark, seen), "2024-07-01 00:00:00")
+    assert live.count() == 5
+    store.write_compacted(live, f"{out}/compacted")
+    kept = store.read_seen(spark, f"{out}/compacted")
+    assert sorted(map(tuple, kept.select("link_key", "seen_at").collect())) == sorted(
+        map(tuple, live.collect())
+    )
+    folders = store.alive(kept, "2024-08-01 00:00:00", 60)._jdf.queryExecution().executedPlan()
+    assert "PartitionFilters: [isnotnull(seen_date" in folders.toString()
+
+
+@pytest.mark.parametrize("max_bytes", [0, 1 << 20])
+def test_relevant_part_of_the_store(spark, max_bytes):
+    seen = spark.range(1000).selectExpr("concat('k', id) AS link_key", "now() AS seen_at")
+    keys = spark.range(990, 1010).selectExpr("concat('k', id) AS link_key")
+    part = store.relevant(seen, keys, max_bytes)
+    assert part.count() == (1000 if max_bytes == 0 else 10)
+    assert keys.join(part, "link_key", "left_anti").count() == 10
 
 
 def bodies(spark, folder):
@@ -81,8 +97,8 @@ def bodies(spark, folder):
 def test_run_without_store(spark):
     out = new_dir(spark, "test")
     run = run_digest(sources(spark, ["one", "two"], 3),
-                     fetched(spark, {"one": site(FIVE), "two": site(FIVE)}), None, "2024-01-01", out)
-    assert run.seen is None and not glob.glob(f"{out}/seen")
+                     fetched(spark, {"one": site(FIVE), "two": site(FIVE)}), "2024-01-01", out)
+    assert sorted(os.path.basename(f) for f in glob.glob(f"{out}/*")) == ["html", "items", "sets", "text"]
     # nothing is remembered, not even within the run; the limit holds per source
     assert spark.read.parquet(run.items).groupBy("src").count().collect()[0]["count"] == 3
     assert spark.read.parquet(run.items).count() == 6

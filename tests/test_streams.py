@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gleaner.operators import ticks as op
+from gleaner.operators.store import read_seen
 from gleaner.sources.pages import stream_pages
 from gleaner.sources.tables import new_dir
 from gleaner.streaming.common import state_store, write_all
@@ -60,4 +61,5 @@ def test_run_stream(spark):
     assert first.count() == 5
     assert {r.caption for r in second.collect()} == {"New one. go.", "New two. go."}
     assert spark.read.parquet(f"{out}/runs/1/sets").count() == 2
-    assert spark.read.parquet(f"{out}/runs/1/seen").count() == 7
+    assert read_seen(spark, f"{out}/runs/seen").count() == 7
+    assert read_seen(spark, f"{out}/runs/seen", before_run=1).count() == 5

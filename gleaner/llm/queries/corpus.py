@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import lines, mixing, quality
+from gleaner.llm import jaccard, langid, lines, mixing, quality
 from gleaner.llm.queries.registry import query, table
 
 # rows without an id are never learned from
@@ -125,3 +125,15 @@ SELECT doc_id, epoch::INTEGER AS epoch, n_tokens, domain, lang, source FROM summ
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = mixing.mix(table(spark, sf_dir, "documents"), target_weights(spark), F.expr(DOMAIN), epochs=2)
     return chosen.select(F.col("_id").alias("doc_id"), "epoch", "n_tokens", *mixing.LEVELS)
+
+
+@query("op10_ngram_jaccard")
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"))
+
+
+@query("op5_language")
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(f"not {HELD_OUT}"))
+    return langid.predict(docs, model).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")

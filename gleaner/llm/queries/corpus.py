@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import jaccard, langid, lines, mixing, quality
+from gleaner.llm import jaccard, langid, lines, mixing, quality, substrings
 from gleaner.llm.queries.registry import query, table
 
 # rows without an id are never learned from
@@ -137,3 +137,8 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(f"not {HELD_OUT}"))
     return langid.predict(docs, model).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))

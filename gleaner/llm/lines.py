@@ -26,31 +26,25 @@ from gleaner.sources.tables import broadcast_if_small, written
 
 DEPTH, SIMILAR, MIN_DOCS = 3, 0.7, 8
 
-_SPACES = r"[ \t\r\f\x0B]+"
+_BLANKS = " \t\r\f\x0B"
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(line, _SPACES), lambda w: w != "")
+    return F.split(F.btrim(line, F.lit(_BLANKS)), rf"[{_BLANKS}]+")
 
 
 def masked(line: Column) -> Column:
     """Words of a line, those with a digit as `<*>`."""
-    return words(F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ \t\r\f\x0B0-9]*+[0-9][^ \t\r\f\x0B]*+", "<*>")).otherwise(line))
-
-
-def _hash(c: Column) -> Column:
-    """128 bits of a string; a fourth of the bytes of its hexadecimal digest."""
-    return F.concat(F.xxhash64(c).cast("string"), F.lit("."), F.hash(c).cast("string"), F.lit("."), F.length(c).cast("string"))
+    return words(F.when(line.rlike("[0-9]"), F.regexp_replace(line, rf"[^{_BLANKS}0-9]*+[0-9][^{_BLANKS}]*+", "<*>")).otherwise(line))
 
 
 def line_table(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH) -> DataFrame:
-    """_id, _sum (of the text), _at, _words (masked), _leaf and _line (their hashes) of each line with words."""
+    """__id, __sum (of the text), _at, _words (masked), _leaf (a hash) of each line with words."""
     lines = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).alias("_id"), F.xxhash64(F.col(text)).alias("_sum"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("_at", "_line")
+        F.col(key).alias("__id"), F.xxhash64(F.col(text)).alias("__sum"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("_at", "_line")
     )
-    lines = lines.select("_id", "_sum", "_at", masked(F.col("_line")).alias("_words")).filter(F.size("_words") > 0)
-    leaf = F.concat_ws(" ", F.size("_words").cast("string"), F.slice("_words", 1, depth))
-    return lines.withColumns({"_leaf": _hash(leaf), "_line": _hash(F.array_join("_words", " "))})
+    lines = lines.filter(F.col("_line").rlike(rf"[^{_BLANKS}]")).select("__id", "__sum", "_at", masked(F.col("_line")).alias("_words"))
+    return lines.withColumn("_leaf", F.xxhash64(F.size("_words"), F.slice("_words", 1, depth)))
 
 
 def leaf_templates(lines: DataFrame) -> DataFrame:
@@ -68,7 +62,7 @@ def leaf_templates(lines: DataFrame) -> DataFrame:
 
 def shared_leaves(lines: DataFrame, min_docs: int) -> DataFrame:
     """_leaf, _several (whether its lines differ) of leaves with lines of enough documents."""
-    per_document = lines.groupBy("_leaf", "_id").agg(F.min("_line").alias("_low"), F.max("_line").alias("_high"))
+    per_document = lines.groupBy("_leaf", "__id").agg(F.min("_line").alias("_low"), F.max("_line").alias("_high"))
     return (
         per_document.groupBy("_leaf").agg(F.count("*").alias("_docs"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
         .filter(F.col("_docs") >= min_docs)
@@ -77,32 +71,32 @@ def shared_leaves(lines: DataFrame, min_docs: int) -> DataFrame:
 
 
 def recurring(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
-    """_id, _sum, _drop: places of the lines that a text loses."""
+    """__id, __sum, __drop: places of the lines that a text loses."""
     lines = line_table(docs, text, key, depth)
-    shared = written(shared_leaves(lines.select("_leaf", "_line", "_id"), min_docs), "leaves")
+    shared = written(shared_leaves(lines.select("_leaf", F.xxhash64("_words").alias("_line"), "__id"), min_docs), "leaves")
     lines = written(lines.join(broadcast_if_small(shared), "_leaf"), "lines")
     joined = lines.join(leaf_templates(lines), "_leaf", "left")
     same = F.size(F.filter(F.zip_with("_words", "_places", lambda a, b: a == b), lambda x: x))
     member = ~F.col("_several") | (same >= F.lit(similar) * F.size("_words"))
-    template = F.when(member, F.col("_leaf")).otherwise(F.concat("_leaf", F.lit("/"), "_line"))
-    found = written(joined.select("_id", "_sum", "_at", template.alias("_template")), "templates")
+    own = F.when(member, F.lit(0)).otherwise(F.xxhash64("_words"))
+    found = written(joined.select("__id", "__sum", "_at", "_leaf", own.alias("_own")), "templates")
     recurs = (
-        found.groupBy("_template", "_id").agg(F.lit(1).alias("_one"))
-        .groupBy("_template").agg(F.count("*").alias("_docs"), F.min("_id").alias("_first"))
+        found.groupBy("_leaf", "_own", "__id").agg(F.lit(1).alias("_one"))
+        .groupBy("_leaf", "_own").agg(F.count("*").alias("_docs"), F.min("__id").alias("_first"))
         .filter(F.col("_docs") >= min_docs)
-        .select("_template", "_first")
+        .select("_leaf", "_own", "_first")
     )
-    dropped = found.join(recurs, "_template").filter(F.col("_id") != F.col("_first"))
-    return written(dropped.groupBy("_id", "_sum").agg(F.collect_set("_at").alias("_drop")), "drops")
+    dropped = found.join(broadcast_if_small(written(recurs, "recurring")), ["_leaf", "_own"]).filter(F.col("__id") != F.col("_first"))
+    return written(dropped.groupBy("__id", "__sum").agg(F.collect_set("_at").alias("__drop")), "drops")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", dropped: str = "n_dropped", **parameters) -> DataFrame:
     """All rows and columns of `docs`; the text without recurring lines, and the
     column `dropped` with their number (a column of that name is replaced)."""
     drops = recurring(docs, text, key, **parameters)
-    rows = docs.withColumn("_sum", F.xxhash64(F.col(text)))
-    joined = rows.join(broadcast_if_small(drops, 16 << 20), (rows[key] == drops["_id"]) & (rows["_sum"] == drops["_sum"]), "left").drop("_id", "_sum")
+    rows = docs.withColumn("__sum", F.xxhash64(F.col(text)))
+    joined = rows.join(broadcast_if_small(drops, 16 << 20), (rows[key] == drops["__id"]) & (rows["__sum"] == drops["__sum"]), "left").drop("__id", "__sum")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform("_drop", lambda x: x + 1))
+    kept = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform("__drop", lambda x: x + 1))
     rest = F.array_join(F.transform(kept, lambda p: F.element_at(lines, p)), "\n")
-    return joined.withColumns({text: F.when(F.col("_drop").isNull(), F.col(text)).otherwise(rest), dropped: F.coalesce(F.size("_drop"), F.lit(0)).cast("long")}).drop("_drop")
+    return joined.withColumns({text: F.when(F.col("__drop").isNull(), F.col(text)).otherwise(rest), dropped: F.coalesce(F.size("__drop"), F.lit(0)).cast("long")}).drop("__drop")

@@ -41,8 +41,6 @@ SPACE_BEFORE_PUNCTUATION = r"[\t\n\f\r ]+([!.?])"
 TRIM_CHARS = " \n\t"
 CAPTION_WORDS = 20
 FORMAT_TAG = r"(<rss[^>\n]*>?|<!doctype html>|<html[^>\n]*>?|<feed[^>\n]*>?)"
-MAX_LINE_BYTES = 65536
-MAX_PAGE_BYTES = 1 << 30
 DAY_MARKER = "[A-Z][a-z]?"
 
 # Defaults of the configuration.
@@ -75,6 +73,7 @@ MSG_AMBIGUOUS_LINK = "The link selector is ambiguous, so we couldn't parse any l
 MSG_NO_LINK = "There are no links in the list item. Double-check your configuration."
 MSG_NOT_A_LINK = "The link selector does not match a link but rather %s."
 AMBIGUOUS_CAPTION = "[Missing caption due to ambiguous selector]"
+MSG_CUT_PAGE = "This page is longer than %s bytes. We only read its beginning."
 MSG_BAD_FEED = "cannot parse the feed: the document is not well-formed"
 
 # Messages of the configuration checks.

@@ -42,7 +42,7 @@ def sources(spark: SparkSession, sf: str, **settings) -> DataFrame:
         "src": F.col("page_id").cast("string"),
         "name": F.concat(F.lit("Site "), F.col("page_id").cast("string")),
         "url": F.col("url"),
-        "max_items": F.lit(5),
+        "max_items": F.lit(0),
         "min_element_words": F.lit(0),
         "src_ord": F.col("page_id"),
         **settings,
@@ -66,7 +66,7 @@ def page_rows(spark: SparkSession, sf: str, status=None, **settings) -> DataFram
     columns = {
         "src": F.col("page_id").cast("string"),
         "name": F.concat(F.lit("Site "), F.col("page_id").cast("string")),
-        "max_items": F.lit(5),
+        "max_items": F.lit(0),
         "min_element_words": F.lit(0),
         "src_ord": F.col("page_id"),
         "status": F.lit(200) if status is None else status.cast("int"),
@@ -95,10 +95,14 @@ def seen_from(all_sets: DataFrame) -> DataFrame:
     return items.groupBy("link_key").agg(F.min(at).alias("seen_at"))
 
 
+# XML has no other control characters than tabs and line ends
+_NOT_XML = r"[\x00-\x08\x0B-\x1F\x{FFFE}\x{FFFF}]"
+
+
 def feed_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of each document, as the entries of one feed: `doc_id`, `lines`
     ARRAY<STRUCT<ord, title, description>>. Short lines have no title."""
-    clean = F.regexp_replace("text", r"[\x00-\x09\x0B-\x1F\x7F-\xA0\x{D800}-\x{10FFFF}]", "")
+    clean = F.regexp_replace("text", _NOT_XML, "")
     lines = F.transform(
         F.split(clean, "\n"),
         lambda t, i: F.struct(
@@ -116,6 +120,12 @@ def _xml(c):
     return c
 
 
+def _title(c):
+    """Every third feed is written carelessly."""
+    loose = (F.col("doc_id") % 3 == 0) & (c != "")
+    return F.concat(_xml(c), F.when(loose, "&nbsp;R&D &rsquo;x&rsquo;").otherwise(""))
+
+
 def _link(ord_):
     return F.concat(
         F.lit("http://feed.example.org/"), F.col("doc_id").cast("string"),
@@ -128,7 +138,7 @@ def rss_bodies(spark: SparkSession, sf: str) -> DataFrame:
     items = F.transform(
         "lines",
         lambda e: F.concat(
-            F.lit("<item><title>"), _xml(e.title), F.lit("</title><link>"), _link(e.ord),
+            F.lit("<item><title>"), _title(e.title), F.lit("</title><link>"), _link(e.ord),
             F.lit("</link><description>"), _xml(e.description), F.lit("</description></item>"),
         ),
     )
@@ -147,7 +157,7 @@ def atom_bodies(spark: SparkSession, sf: str) -> DataFrame:
     entries = F.transform(
         "lines",
         lambda e: F.concat(
-            F.lit("<entry><title>"), _xml(e.title),
+            F.lit("<entry><title>"), _title(e.title),
             F.lit('</title><link rel="self" href="http://self.example.org/"/><link href="'),
             _link(e.ord), F.lit('"/><summary>'), _xml(e.description), F.lit("</summary></entry>"),
         ),

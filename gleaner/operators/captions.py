@@ -51,7 +51,32 @@ def text_events(below: Column) -> Column:
 
 
 def fold_text(events: Column, min_words: Column) -> Column:
-    """Text of a subtree. The state is a stack with the text of each open block."""
+    """Text of a subtree. The state is a stack with the pieces of each open
+    block, which are joined when it closes."""
+
+    def append(stack, txt):
+        top = F.concat(F.element_at(stack, -1), F.array(txt))
+        return F.concat(F.slice(stack, F.lit(1), F.size(stack) - 1), F.array(top))
+
+    def step(stack, e):
+        opened = F.concat(stack, F.array(none))
+        closed = let(
+            F.array_join(F.element_at(stack, -1), ""),
+            lambda top: append(
+                F.slice(stack, F.lit(1), F.size(stack) - 1), close_block(top, min_words)
+            ),
+        )
+        return F.when(e.closes, closed).when(e.txt.isNull(), opened).otherwise(append(stack, e.txt))
+
+    none = F.array().cast("array<string>")
+    return F.aggregate(
+        events, F.array(none), step, lambda stack: F.array_join(F.element_at(stack, 1), "")
+    )
+
+
+def fold_beginning(events: Column, min_words: Column) -> Column:
+    """Like `fold_text`, as far as a caption shows it (see `enough`). The state
+    is a stack with the text of each open block."""
 
     def append(stack, txt):
         top = F.element_at(stack, -1)
@@ -89,5 +114,5 @@ def enough(txt: Column, min_words: Column) -> Column:
 
 def caption(nodes: Column, container: Column, min_words: Column) -> Column:
     """Caption of a container; NULL for body, which is not a usable container."""
-    text = let(subtree(nodes, container), lambda below: fold_text(text_events(below), min_words))
+    text = let(subtree(nodes, container), lambda below: fold_beginning(text_events(below), min_words))
     return F.when(node_at(nodes, container).tag != "body", let(text, lambda t: finish_caption(t, let)))

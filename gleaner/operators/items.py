@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gleaner.functions.text import link_key, trim_any
+from gleaner.sources.tables import broadcast_if_small
 
 
 def explode_items(sets: DataFrame) -> DataFrame:
@@ -28,26 +29,25 @@ def clean_items(items: DataFrame) -> DataFrame:
     return items.filter(trim_any(F.col("caption")) != "")
 
 
-def cap_items(items: DataFrame, spread: int = 64) -> DataFrame:
+def cap_items(items: DataFrame, spread: int = 1024) -> DataFrame:
     """The first `max_items` items of each source by `ord` (0 = all of them).
 
     Two steps, so that a source with a third of all rows is no single task: each
     of `spread` slices of a source is cut first, and only the survivors, at most
-    `spread * max_items`, meet in one partition. A source without limit is never
-    brought together.
+    `spread * max_items`, meet in one partition. Rows of sources without limit
+    take no part in this.
     """
-    unlimited = F.col("max_items") == 0
-    row = F.xxhash64("link_url", "ord")
-    for salt in (F.pmod(row, F.lit(spread)), F.lit(0)):
-        part = F.when(unlimited, row).otherwise(salt)
-        order = Window.partitionBy("src", "_part").orderBy("ord")
-        items = (
-            items.withColumn("_part", part)
+    limited = items.filter("max_items > 0")
+    slice_of = F.pmod(F.xxhash64("link_url", "ord"), F.lit(spread))
+    for part in (["src", "_slice"], ["src"]):
+        order = Window.partitionBy(*part).orderBy("ord")
+        limited = (
+            limited.withColumn("_slice", slice_of)
             .withColumn("_rank", F.row_number().over(order))
-            .filter((F.col("_rank") <= F.col("max_items")) | unlimited)
-            .drop("_part", "_rank")
+            .filter("_rank <= max_items")
+            .drop("_slice", "_rank")
         )
-    return items
+    return items.filter("coalesce(max_items, 0) <= 0").unionByName(limited)
 
 
 def remove_items(items: DataFrame, gone: DataFrame) -> DataFrame:
@@ -76,4 +76,6 @@ def latest_snapshots(pages: DataFrame, key: str, order: list[str], id_col: str)
     """The newest row of each key. Only keys and ids are aggregated; page texts
     are picked by id afterwards and never sit in aggregation buffers."""
     newest = pages.groupBy(key).agg(F.max(F.struct(*order, id_col)).alias("_m"))
-    return pages.join(newest.select(F.col(f"_m.{id_col}").alias(id_col)), id_col, "left_semi")
+    ids = newest.select(F.col(f"_m.{id_col}").alias(id_col))
+    # ids that, measured, are small go to the pages, which then stay where they are
+    return pages.join(broadcast_if_small(ids), id_col, "left_semi")

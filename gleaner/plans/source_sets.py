@@ -51,9 +51,16 @@ def _setting(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
-def with_route(source_pages: DataFrame, max_bytes: int = v.MAX_PAGE_BYTES) -> DataFrame:
-    """Cap the pages and decide how to read each."""
-    capped = source_pages.withColumn("html", pages.cap_page(F.col("html"), max_bytes))
+def with_route(source_pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Decide how to read each page. Pages are cut only where `max_bytes` says so."""
+    capped = source_pages
+    if max_bytes is not None:
+        capped = source_pages.withColumns(
+            {
+                "cut": F.octet_length("html") > max_bytes,
+                "html": pages.cap_page(F.col("html"), max_bytes),
+            }
+        )
     return capped.withColumn(
         "route",
         pages.page_route(
@@ -167,16 +174,20 @@ def with_finished_items(df: DataFrame) -> DataFrame:
     )
 
 
-def source_sets(source_pages: DataFrame, max_bytes: int = v.MAX_PAGE_BYTES) -> DataFrame:
+def source_sets(source_pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """One row per source: `src, src_ord, name, items, messages`.
 
-    `name` is empty when no page body could be read.
+    `name` is empty when no page body could be read. A page that was cut after
+    `max_bytes` bytes has a message about it.
     """
     c = F.col
     sets = detected(with_route(source_pages, max_bytes))
     response = F.when(
         c("route") == "none", F.array(F.lit(v.MSG_NULL_PAGE))
     ).otherwise(F.array_compact(F.array(pages.status_message(c("status")))))
+    if max_bytes is not None:
+        told = F.array(F.lit(v.MSG_CUT_PAGE % max_bytes))
+        response = F.when(c("cut"), F.concat(response, told)).otherwise(response)
     # a failed fetch has no body either, but the source keeps its name
     name = F.when((c("route") == "none") & c("fetched"), F.lit("")).otherwise(c("name"))
     found = sets.select(

@@ -30,7 +30,7 @@ def _rows(df, array, *keep):
 @query("dom_nodes")
 def dom_nodes(spark, sf):
     nodes = dom.node_table(inputs.pages(spark, sf).select("page_id", "html"))
-    return nodes.drop("attrs").withColumnRenamed("last", "last_nid")
+    return nodes.withColumn("attrs", F.to_json("attrs")).withColumnRenamed("last", "last_nid")
 
 
 @query(

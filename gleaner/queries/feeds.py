@@ -8,7 +8,7 @@ from gleaner import inputs
 from gleaner.queries.registry import query
 from gleaner.sources import feeds
 
-_CLEAN = r"regexp_replace(text, '[^\x20-\x7E\n\x{A1}-\x{D7FF}]', '', 'g')"
+_CLEAN = r"regexp_replace(text, '[\x00-\x08\x0B-\x1F\x{FFFE}\x{FFFF}]', '', 'g')"
 _ITEMS = f"""
 lines AS (
   SELECT doc_id, unnest(string_split({_CLEAN}, chr(10))) AS line,
@@ -16,7 +16,7 @@ lines AS (
 feed_items AS (
   SELECT doc_id, CAST(n AS INTEGER) AS ord,
          'http://feed.example.org/' || doc_id || '?line=' || n || '&x=1' AS link_url,
-         CASE WHEN length(line) > 20 AND trim(line, ' ') <> '' THEN trim(line, ' ')
+         CASE WHEN length(line) > 20 AND (doc_id % 3 = 0 OR trim(line, ' ') <> '') THEN trim(line || CASE WHEN doc_id % 3 = 0 THEN chr(160) || 'R&D ' || chr(8217) || 'x' || chr(8217) ELSE '' END, ' ')
               ELSE trim('Line: ' || line, ' ') END AS caption
   FROM lines)"""
 FEED_ITEMS = _ITEMS

@@ -78,10 +78,11 @@ def _page_status():
 
 @query(
     "source_items",
-    f"WITH {sql.SET_ITEMS}, {sql.GOOD_ITEMS} SELECT src, link_url, caption FROM good_items",
+    f"WITH {sql.SET_ITEMS}, {sql.GOOD_ITEMS} SELECT src, link_url, caption FROM good_items "
+    "QUALIFY row_number() OVER (PARTITION BY src ORDER BY pos) <= 5",
 )
 def source_items(spark, sf):
-    sets = inputs.sets(spark, sf, status=_page_status())
+    sets = inputs.sets(spark, sf, status=_page_status(), max_items=F.lit(5))
     return op.explode_items(sets).select("src", "link_url", "caption")
 
 
@@ -159,9 +160,10 @@ def items_all(spark, sf):
 def latest_pages(spark, sf):
     from gleaner.functions.urls import host
 
-    pages = inputs.table(spark, sf, "pages").withColumn("host", host(F.col("url")))
-    latest = op.latest_snapshots(pages, "host", [], "page_id")
-    return latest.select("page_id", "url", F.length("html").cast("bigint").alias("n_chars"))
+    pages = inputs.table(spark, sf, "pages").select(
+        "page_id", "url", host(F.col("url")).alias("host"), F.length("html").cast("bigint").alias("n_chars")
+    )
+    return op.latest_snapshots(pages, "host", [], "page_id").drop("host")
 
 
 @query(
@@ -175,15 +177,14 @@ def seen_entries(spark, sf):
 
 
 def _run(spark, sf):
-    """Items of the sources with a good response, and the store."""
+    """Items of all sources, and the store."""
     all_sets = inputs.written_sets(spark, sf)
-    good = all_sets.filter(inputs.by_turns("src_ord", inputs.STATUS) == 200)
-    return op.explode_items(good), inputs.seen_from(all_sets)
+    return op.explode_items(all_sets), inputs.seen_from(all_sets)
 
 
 @query(
     "seen_lookup",
-    f"{sql.RUN} SELECT g.src, g.link_url, s.seen_at FROM good_items g "
+    f"{sql.RUN_ALL} SELECT g.src, g.link_url, s.seen_at FROM good_items g "
     "LEFT JOIN alive s ON g.link_key = s.link_key",
 )
 def seen_lookup(spark, sf):
@@ -192,7 +193,7 @@ def seen_lookup(spark, sf):
     return store.lookup(items, alive).select("src", "link_url", "seen_at")
 
 
-@query("new_items", f"{sql.RUN} SELECT src, link_url, caption, link_key FROM new_items")
+@query("new_items", f"{sql.RUN_ALL} SELECT src, link_url, caption, link_key FROM new_items")
 def new_items(spark, sf):
     items, seen = _run(spark, sf)
     new = store.new_items(items, seen, inputs.NOW, inputs.EXPIRY_DAYS)
@@ -210,7 +211,7 @@ def new_items_stateless(spark, sf):
 
 @query(
     "seen_upsert",
-    f"{sql.RUN} SELECT link_key, min(seen_at) AS seen_at FROM (SELECT link_key, seen_at FROM alive "
+    f"{sql.RUN_ALL} SELECT link_key, min(seen_at) AS seen_at FROM (SELECT link_key, seen_at FROM alive "
     f"UNION ALL SELECT link_key, TIMESTAMP '{inputs.NOW}' FROM new_items) GROUP BY link_key",
 )
 def seen_upsert(spark, sf):
@@ -220,7 +221,7 @@ def seen_upsert(spark, sf):
     return store.upsert(seen, new, inputs.NOW, inputs.EXPIRY_DAYS)
 
 
-@query("seen_cleanup", f"{sql.RUN} SELECT link_key, seen_at FROM alive")
+@query("seen_cleanup", f"{sql.RUN_ALL} SELECT link_key, seen_at FROM alive")
 def seen_cleanup(spark, sf):
     seen = inputs.seen_from(inputs.sets(spark, sf))
     return store.cleanup(seen, inputs.NOW, inputs.EXPIRY_DAYS)
@@ -228,7 +229,7 @@ def seen_cleanup(spark, sf):
 
 @query(
     "repeat_items",
-    f"{sql.RUN} SELECT src, link_url, caption FROM good_items SEMI JOIN alive USING (link_key)",
+    f"{sql.RUN_ALL} SELECT src, link_url, caption FROM good_items SEMI JOIN alive USING (link_key)",
 )
 def repeat_items(spark, sf):
     """Items of a run that an earlier digest had."""

@@ -231,13 +231,9 @@ _FORMAT = r"(<rss[^>\n]*>?|<!doctype html>|<html[^>\n]*>?|<feed[^>\n]*>?)"
     f"""WITH bodies AS (
          SELECT doc_id, lower({sql.by_turns('doc_id', [a for a, _ in _OPENINGS])} || text
                 || {sql.by_turns('doc_id', [b for _, b in _OPENINGS])}) AS body FROM documents),
-       tags AS (
-         SELECT doc_id, regexp_extract(body, '{_FORMAT}', 1) AS tag,
-                regexp_extract(body, '(?s)^(.*?{_FORMAT}[^\\n]*)', 1) AS upto FROM bodies)
+       tags AS (SELECT doc_id, regexp_extract(body, '{_FORMAT}', 1) AS tag FROM bodies)
        SELECT doc_id, CASE
          WHEN tag = '' THEN 'unknown'
-         WHEN len(list_filter(string_split(upto, chr(10)), lambda x: strlen(x) >= 65536)) > 0
-           THEN 'unknown'
          WHEN contains(tag, 'rss') THEN 'rss' WHEN contains(tag, 'html') THEN 'html'
          ELSE 'atom' END AS format FROM tags""",
 )

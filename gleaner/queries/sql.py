@@ -99,15 +99,13 @@ raw_items AS (
          {trim_any(tighten(truncate_words("block")))} AS caption
   FROM blocks)"""
 
-# items of a source set: last of each URL, no blank captions, five per source
+# items of a source set: last of each URL, no blank captions
 SET_ITEMS = f"""{RAW_ITEMS},
 last_items AS (
   SELECT * FROM raw_items
   QUALIFY row_number() OVER (PARTITION BY src, link_url ORDER BY pos DESC) = 1),
 clean AS (SELECT * FROM last_items WHERE {trim_any("caption")} <> ''),
-capped AS (
-  SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY src ORDER BY pos) <= 5),
-set_items AS (SELECT *, sha256(caption || link_url) AS link_key FROM capped)"""
+set_items AS (SELECT *, sha256(caption || link_url) AS link_key FROM clean)"""
 
 STATUS_OF = by_turns("page_id", STATUS)
 # items of the sources with a good response
@@ -122,3 +120,5 @@ FIRST = """firsts AS (
   QUALIFY row_number() OVER (PARTITION BY link_key ORDER BY src_ord, pos) = 1)"""
 NEW = "new_items AS (SELECT f.* FROM firsts f ANTI JOIN alive a ON f.link_key = a.link_key)"
 RUN = f"WITH {SET_ITEMS}, {GOOD_ITEMS}, {SEEN}, {ALIVE}, {FIRST}, {NEW}"
+# the same over all sources
+RUN_ALL = RUN.replace(GOOD_ITEMS, "good_items AS (SELECT * FROM set_items)")

@@ -17,6 +17,9 @@ from gleaner.streaming.seen import new_items_stream as first_seen
 from gleaner.streaming.ticks import due_stream
 
 
+BATCHES = 3
+
+
 def _stream(spark, sf, name):
     batch = inputs.table(spark, sf, name)
     return (
@@ -24,13 +27,25 @@ def _stream(spark, sf, name):
     )
 
 
+def _landed(spark, sf, name, order):
+    """A table as a stream of `BATCHES` micro-batches, landed in the order of a column."""
+    batch = inputs.table(spark, sf, name)
+    place = F.col(order).cast("timestamp").cast("double") if order == "ts" else F.col(order).cast("double")
+    low, high = batch.agg(F.min(place), F.max(place)).first()
+    part = F.least(F.floor((place - low) / (max(high - low, 1) / BATCHES)), F.lit(BATCHES - 1))
+    path = new_dir(spark, name)
+    for n in range(BATCHES):
+        batch.filter(part == n).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query(
     "due_newsletters_stream",
     f"{DUE} SELECT f.date, f.day, f.hour, m.handle FROM fired f "
     "JOIN moments m ON f.day = m.day AND f.hour = m.hour",
 )
 def due_newsletters_stream(spark, sf):
-    ticks = _stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    ticks = _landed(spark, sf, "events", "ts").select(F.col("ts").cast("timestamp").alias("ts"))
     due = due_stream(ticks, schedule_moments(spark, sf))
     out = new_dir(spark, "due")
     write_all(due, f"{out}/table", f"{out}/checkpoint")
@@ -42,18 +57,20 @@ def due_newsletters_stream(spark, sf):
     f"WITH {sql.SET_ITEMS} SELECT link_key, min(caption) AS caption FROM set_items GROUP BY link_key",
 )
 def new_items_stream(spark, sf):
-    pages = _stream(spark, sf, "pages").select(
+    pages = _landed(spark, sf, "pages", "page_id").select(
         F.col("page_id").cast("string").alias("src"),
         F.col("page_id").cast("string").alias("name"),
         "url",
-        F.lit(5).alias("max_items"),
+        F.lit(0).alias("max_items"),
         F.lit(0).alias("min_element_words"),
         F.col("page_id").alias("src_ord"),
         F.lit(200).alias("status"),
         "html",
         F.lit(True).alias("fetched"),
     )
-    new = first_seen(with_key(explode_items(source_sets(pages))), inputs.EXPIRY_DAYS)
+    items = with_key(explode_items(source_sets(pages)))
+    fetched_at = F.timestamp_seconds(F.lit(1700000000) + F.col("src_ord"))
+    new = first_seen(items.withColumn("fetched_at", fetched_at), inputs.EXPIRY_DAYS)
     out = new_dir(spark, "new-items")
     with state_store(spark):
         write_all(new, f"{out}/table", f"{out}/checkpoint")

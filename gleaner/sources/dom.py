@@ -433,9 +433,9 @@ def node_table(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores when the scan of a small table has fewer splits than there
-    are task slots. A table of many files keeps its scan tasks: no shuffle."""
+    """Use all cores when the scan of a small table has at least four times fewer
+    splits than there are task slots. Other tables keep their scan tasks: no shuffle."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    if 4 * df.rdd.getNumPartitions() > slots:
         return df
     return df.repartition(slots, key)

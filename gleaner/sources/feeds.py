@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, functions as F
 
 from gleaner.functions import values as v
@@ -17,6 +19,24 @@ _ATOM = (
 )
 _OPTIONS = {"columnNameOfCorruptRecord": "_corrupt_record"}
 
+_XML_NAMES = {"amp", "lt", "gt", "quot", "apos"}
+# entity names of HTML 4, by the standard library's table
+_ENTITIES = {f"&{name};": chr(code) for name, code in sorted(name2codepoint.items()) if name not in _XML_NAMES}
+
+
+def lenient(body: Column) -> Column:
+    """A body that Spark's XML reader accepts where only its entities or control
+    characters are wrong: names of HTML entities become characters, any other
+    ampersand that starts no entity is taken as text, control characters go."""
+    entity = r"(?s)([^&]++|&[A-Za-z][A-Za-z0-9]*;|&)"
+    known = F.create_map(*[F.lit(x) for pair in _ENTITIES.items() for x in pair])
+    xml = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6});)"
+    named = F.array_join(
+        F.transform(F.regexp_extract_all(body, F.lit(entity), F.lit(1)), lambda p: F.coalesce(F.element_at(known, p), p)), ""
+    )
+    some = F.when(body.rlike(r"&[A-Za-z]"), named).otherwise(body)
+    return F.regexp_replace(F.regexp_replace(some, xml, "&amp;"), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", "")
+
 
 def _item(i: Column, link: Column, title: Column, description: Column) -> Column:
     trimmed = F.trim(F.coalesce(title, F.lit("")))
@@ -51,7 +71,7 @@ def rss_items(body: Column) -> Column:
     """STRUCT<items, messages> of an RSS 0.9x or 2.0 body. Links stay as they
     are; the caption is the title, else the description."""
     return let(
-        F.from_xml(body, F.lit(_RSS), _OPTIONS),
+        F.from_xml(lenient(body), F.lit(_RSS), _OPTIONS),
         lambda doc: _result(
             doc,
             F.transform(
@@ -71,7 +91,7 @@ def atom_items(body: Column) -> Column:
         return F.get(usable, F.lit(0))._href
 
     return let(
-        F.from_xml(body, F.lit(_ATOM), _OPTIONS),
+        F.from_xml(lenient(body), F.lit(_ATOM), _OPTIONS),
         lambda doc: _result(
             doc,
             F.transform(doc.entry, lambda e, i: _item(i, link(e), e.title, e.summary)),

@@ -25,11 +25,13 @@ def stream_pages(spark: SparkSession, path: str, schema: str = schemas.FETCHED)
     return spark.readStream.schema(schema).parquet(path)
 
 
-def cap_page(page: Column, max_bytes: int = v.MAX_PAGE_BYTES) -> Column:
-    """Cut a page after `max_bytes` bytes."""
+def cap_page(page: Column, max_bytes: int | None = None) -> Column:
+    """Cut a page after `max_bytes` bytes (None: never), but not inside a character."""
+    if max_bytes is None:
+        return page
+    cut = F.make_valid_utf8(F.substring(page.cast("binary"), 1, max_bytes).cast("string"))
     return F.when(
-        F.octet_length(page) > max_bytes,
-        F.substring(page.cast("binary"), 1, max_bytes).cast("string"),
+        F.octet_length(page) > max_bytes, F.regexp_replace(cut, r"\x{FFFD}\z", "")
     ).otherwise(page)
 
 
@@ -51,18 +53,10 @@ def is_success(status: Column) -> Column:
 
 
 def page_format(page: Column) -> Column:
-    """'html', 'rss', 'atom' or 'unknown', from the first line with an opening
-    tag that tells. A line of 64 KiB or more before that ends the search."""
-    low = F.lower(page)
-    tag = F.regexp_extract(low, v.FORMAT_TAG, 1)
-    # pages shorter than one such line need no look at the line lengths
-    upto = F.regexp_substr(low, F.lit(r"(?s)^.*?(?:" + v.FORMAT_TAG + r")[^\n]*+"))
-    long_line = (F.octet_length(page) >= v.MAX_LINE_BYTES) & F.exists(
-        F.split(upto, "\n"), lambda line: F.octet_length(line) >= v.MAX_LINE_BYTES
-    )
+    """'html', 'rss', 'atom' or 'unknown', from the first opening tag that tells."""
+    tag = F.regexp_extract(F.lower(page), v.FORMAT_TAG, 1)
     return (
         F.when(tag == "", "unknown")
-        .when(long_line, "unknown")
         .when(F.contains(tag, F.lit("rss")), "rss")
         .when(F.contains(tag, F.lit("html")), "html")
         .otherwise("atom")

@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-import sys
 from contextlib import contextmanager
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def merge_in_tasks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Keep one row per key, the first by `order`, of each Arrow batch. No
-    shuffle and no state: it only thins out copies before a stateful operator,
-    which has no map-side merging of its own."""
-
-    def thin(batches):
-        for batch in batches:
-            yield batch.sort_values(order).drop_duplicates(keys)
-
-    return df.mapInPandas(thin, df.schema)
-
 
 @contextmanager
 def state_store(spark: SparkSession, provider: str = ROCKSDB):
     """Start queries inside with a state store that spills to disk, and without
-    empty batches: with processing-time state Spark would otherwise run them
-    without end, also once all available input is done."""
+    empty batches, which only drop expired state."""
     settings = {
         "spark.sql.streaming.stateStore.providerClass": provider,
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",

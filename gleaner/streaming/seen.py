@@ -2,61 +2,22 @@
 
 from __future__ import annotations
 
-import sys
-from datetime import timedelta
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql import DataFrame
 
 from gleaner.functions.values import DEFAULT_EXPIRY_DAYS
-from gleaner.streaming.common import merge_in_tasks
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_OUT = "link_key STRING, link_url STRING, caption STRING, src STRING"
-
-
-class FirstSight(StatefulProcessor):
-    """Lets the first row of a key through; the state ends `ttl_ms` after it and
-    is not renewed by later rows."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle):
-        self.seen = handle.getValueState("seen", "at LONG", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues):
-        known, first = self.seen.exists(), None
-        for batch in rows:
-            if known:
-                continue  # the input has to be read to its end
-            batch = batch.sort_values(["src_ord", "ord"]).head(1)
-            first = batch if first is None else pd.concat([first, batch])
-            first = first.sort_values(["src_ord", "ord"]).head(1)
-        if first is not None:
-            self.seen.update((timerValues.getCurrentProcessingTimeInMs(),))
-            yield first[["link_key", "link_url", "caption", "src"]]
-
-    def close(self):
-        pass
 
 
-def new_items_stream(items: DataFrame, days: int = DEFAULT_EXPIRY_DAYS) -> DataFrame:
-    """Streaming items (`link_key, link_url, caption, src, src_ord, ord`) whose
-    key was not seen in the last `days` days. Start it inside `state_store`."""
-    ttl = int(timedelta(days=days).total_seconds() * 1000)
-    rows = items.select("link_key", "link_url", "caption", "src", "src_ord", "ord")
-    return (
-        merge_in_tasks(rows, ["link_key"], ["src_ord", "ord"])
-        .groupBy("link_key")
-        .transformWithStateInPandas(
-            statefulProcessor=FirstSight(ttl),
-            outputStructType=_OUT,
-            outputMode="Append",
-            timeMode="ProcessingTime",
-        )
-        .select(F.col("link_key"), "link_url", "caption", "src")
-    )
+def new_items_stream(
+    items: DataFrame, days: int = DEFAULT_EXPIRY_DAYS, at: str = "fetched_at"
+) -> DataFrame:
+    """Streaming items (`link_key, link_url, caption, src` and the time `at`)
+    whose key was not seen in the `days` days before, by event time.
+
+    The first row of a key passes and is remembered until the watermark is `days`
+    days past it; later rows don't renew it. Rows older than the watermark are
+    late and dropped. Of rows of one key in the same batch any one passes: they
+    have the same link and caption, but may come from different sources.
+    """
+    rows = items.select("link_key", "link_url", "caption", "src", at)
+    remembered = rows.withWatermark(at, f"{days} days").dropDuplicatesWithinWatermark(["link_key"])
+    return remembered.select("link_key", "link_url", "caption", "src")

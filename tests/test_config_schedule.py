@@ -115,8 +115,8 @@ def test_page_format(spark):
         '<rss version="0.91">': "rss", '<?xml?><feed xmlns="x">': "atom", "<!dOcTyPe html>": "html",
         '<html lang="en" op="news">': "html", "<html><head>": "html", '<?xml?><rss version="2.0"': "rss",
         '<html class="rss">': "rss", "text": "unknown", "<!doctype html public>": "unknown",
-        "a\n<html>\n<rss>": "html", "x" * 65536 + "\n<html>": "unknown", "x" * 65535 + "\n<html>": "html",
-        "<html>" + "x" * 70000: "unknown", "<html>\n" + "x" * 70000: "html",
+        "a\n<html>\n<rss>": "html", "x" * 65536 + "\n<html>": "html", "x" * 65535 + "\n<html>": "html",
+        "<html>" + "x" * 70000: "html", "<html>\n" + "x" * 70000: "html",
     }
     df = spark.createDataFrame([(c,) for c in cases], "c STRING")
     assert {r.c: r.f for r in df.select("c", page_format(F.col("c")).alias("f")).collect()} == cases

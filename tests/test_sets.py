@@ -6,53 +6,47 @@ from pyspark.sql import functions as F
 from gleaner.functions import values as v
 from gleaner.plans.source_sets import source_pages, source_sets
 
-SITE = "http://www.example.com"
+SITE = "http://town.example"
 
 
-def entry(href, text, by="by Ann Bee"):
+def entry(href, text, note="seen twice"):
     return (
-        f'<li><img src="i.png"><div class="by">{by}</div>'
-        f'<div class="holder"><a class="name" href="{href}">{text}</a></div></li>'
+        f'<article><p class="note">{note}</p>'
+        f'<h3 class="head"><a href="{href}">{text}</a></h3></article>'
     )
 
 
 def page(*entries):
     return (
-        "<!doctype html>\n<html><head><title>List</title></head><body>\n<div id=\"most\"><ol>\n"
+        "<!doctype html>\n<html lang=en><head><title>Board</title></head><body>\n<main><section class=board>\n"
         + "\n".join(entries)
-        + "\n</ol></div></body></html>"
+        + "\n</section></main></body></html>"
     )
 
 
-ABSOLUTE = page(
-    entry(f"{SITE}/s/one", "Here is one story!"),
-    entry(f"{SITE}/s/two", "Something else took place, oh well."),
-    entry(f"{SITE}/s/three", "Could the third be true?"),
-)
-RELATIVE = page(
-    entry("/s/one", "Here is one story!"),
-    entry("/s/two?utm=1#x", "Something else took place, oh well."),
-    entry("/s/three", "Could the third be true?"),
-)
-HOSTS = page(
-    entry("https://a.example.com/s/one", "Here is one story!"),
-    entry("http://b.example.com:8080/s/two", "Something else took place, oh well."),
-    entry("/s/three", "Could the third be true?"),
-)
-THREE = {
-    f"{SITE}/s/one": "Here is one story!",
-    f"{SITE}/s/two": "Something else took place, oh well.",
-    f"{SITE}/s/three": "Could the third be true?",
+HEADS = {
+    "/plan/7": "Harbour crane moved to the north pier!",
+    "/plan/8": "Who repairs the old ferry bell?",
+    "/plan/9": "Snow closes both mountain roads tonight.",
+    "/plan/10": "Council counts every street lamp again!",
 }
-MANUAL = {"item_selector": "body div#most ol li", "caption_selector": "div a.name",
-          "link_selector": "div a.name"}
-TWO_LISTS = """<!DOCTYPE html><html><body><ol><li><a href="/a">First of the long list</a></li>
-<li><a href="/b">Second of the long list</a></li></ol>
-<div class="hi"><p>Look at this one <a href="/c">great link</a> now</p>
-<p>And at this other <a href="/d">fine link</a> too</p></div></body></html>"""
-CARDS = """<html><body><nav><a href="/home">Home</a></nav>
-<a class="card" href="/x"><div>Tag</div><h2>A headline that stays here</h2><p>And a short teaser text</p></a>
-<a class="card" href="/y"><div>Tag</div><h2>Another headline is shown</h2><p>With more of a teaser</p></a>
+BOARD = {SITE + path: text for path, text in HEADS.items()}
+ABSOLUTE = page(*[entry(url, text) for url, text in BOARD.items()])
+RELATIVE = page(*[entry(path + "?from=mail#top" * (path == "/plan/9"), text) for path, text in HEADS.items()])
+BASES = ["https://north.example", "", "http://south.example:8080", "https://east.example"]
+HOSTS = page(*[entry(base + path, text) for base, (path, text) in zip(BASES, HEADS.items())])
+MANUAL = {"item_selector": "main section.board > article", "caption_selector": "h3 a",
+          "link_selector": "h3.head > a"}
+TWO_LISTS = """<!DOCTYPE html><html><body><section>
+<p>Tides at the west quay <a href="/t/1">this week</a></p>
+<p>Tides at the east quay <a href="/t/2">next week</a></p>
+<p>Tides at the old mole <a href="/t/3">in August</a></p></section>
+<footer><ul><li><a href="/m/6">Minutes of the June meeting</a></li>
+<li><a href="/m/7">Minutes of the July meeting</a></li></ul></footer></body></html>"""
+CARDS = """<html><body><header><a href="/start">Start</a></header>
+<a class="tile" href="/hall"><p>New</p><h4>Market hall opens a roof garden</h4><p>Visitors climb forty narrow steps</p></a>
+<a class="tile" href="/wall"><p>New</p><h4>City wall gets its third gate</h4><p>Carts may use it on Mondays</p></a>
+<a class="tile" href="/well"><p>New</p><h4>Well water is clear once more</h4><p>The pump runs from six o'clock</p></a>
 </body></html>"""
 MANY = page(*[entry(f"/n/{i}", f"Story number {i} of this list") for i in range(3)])
 TWICE = page(entry("/same", "The first text of it"), entry("/same", "The last text of it"),
@@ -78,25 +72,23 @@ BAD_URLS = """<html><body><ul><li><a href="/ok">This link is fine</a></li>
 
 # name -> (page, settings, status), (items, messages)
 CASES = {
-    "auto": (ABSOLUTE, {}, 200, THREE, []),
-    "relative": (RELATIVE, {}, 200, THREE, []),
-    "link selector": (RELATIVE, {"link_selector": "a"}, 0, THREE, []),
-    "manual": (ABSOLUTE, MANUAL, 200, THREE, []),
-    "hosts": (HOSTS, {}, 204, {
-        "http://a.example.com/s/one": "Here is one story!",
-        "http://b.example.com:8080/s/two": "Something else took place, oh well.",
-        f"{SITE}/s/three": "Could the third be true?"}, []),
-    "long byline": (
-        page(entry("/1", "One good story is here", "by Ann and Bob Bee"),
-             entry("/2", "Two good stories are here", "by Ann and Bob Bee")), {}, 200,
-        {f"{SITE}/1": "by Ann and Bob Bee. One good story is here.",
-         f"{SITE}/2": "by Ann and Bob Bee. Two good stories are here."}, []),
+    "auto": (ABSOLUTE, {}, 200, BOARD, []),
+    "relative": (RELATIVE, {}, 200, BOARD, []),
+    "link selector": (RELATIVE, {"link_selector": "a"}, 0, BOARD, []),
+    "manual": (ABSOLUTE, MANUAL, 200, BOARD, []),
+    "hosts": (HOSTS, {}, 204,
+              {(base.replace("https:", "http:") or SITE) + path: text for base, (path, text) in zip(BASES, HEADS.items())}, []),
+    "long note": (
+        page(entry("/g/1", "The lower gate is shut", "seen again by two wardens"),
+             entry("/g/2", "The upper gate is open", "seen again by two wardens")), {}, 200,
+        {f"{SITE}/g/1": "seen again by two wardens. The lower gate is shut.",
+         f"{SITE}/g/2": "seen again by two wardens. The upper gate is open."}, []),
     "ambiguous link": (ABSOLUTE, {**MANUAL, "link_selector": "*"}, 200, {}, [v.MSG_AMBIGUOUS_LINK]),
-    "ambiguous caption": (ABSOLUTE, {**MANUAL, "caption_selector": "div"}, 200,
-                          {url: v.AMBIGUOUS_CAPTION for url in THREE}, []),
+    "ambiguous caption": (ABSOLUTE, {**MANUAL, "caption_selector": "p, h3"}, 200,
+                          {url: v.AMBIGUOUS_CAPTION for url in BOARD}, []),
     "no link": (ABSOLUTE, {**MANUAL, "link_selector": "a:nth-of-type(2)"}, 200, {}, [v.MSG_NO_LINK]),
-    "not a link": (ABSOLUTE, {**MANUAL, "link_selector": ".holder"}, 200, {},
-                   ["The link selector does not match a link but rather div."]),
+    "not a link": (ABSOLUTE, {**MANUAL, "link_selector": ".head"}, 200, {},
+                   ["The link selector does not match a link but rather h3."]),
     "no caption": (ABSOLUTE, {**MANUAL, "caption_selector": "span.none"}, 200, {}, []),
     "no link selector": (ABSOLUTE, {**MANUAL, "link_selector": None}, 200, {},
                          [v.MSG_NO_LINK_SELECTOR]),
@@ -104,16 +96,19 @@ CASES = {
                               {"item_selector": "p", "caption_selector": "a", "link_selector": "a"},
                               200, {f"{SITE}/q": "Ask me"}, []),
     "error ends the list": (
-        page(entry("/1", "One"), entry("/2", "Two"), "<li><b>none</b></li>", entry("/4", "Four")),
+        page(entry("/1", "One"), entry("/2", "Two"), "<article><b>none</b></article>", entry("/4", "Four")),
         MANUAL, 200, {f"{SITE}/1": "One", f"{SITE}/2": "Two"}, [v.MSG_NO_LINK]),
     "no match": (ABSOLUTE, {"link_selector": "table a"}, 200, {}, [v.MSG_NO_MATCH % SITE]),
     "two lists": (TWO_LISTS, {}, 200, {
-        f"{SITE}/a": "First of the long list.", f"{SITE}/b": "Second of the long list.",
-        f"{SITE}/c": "Look at this one great link now.",
-        f"{SITE}/d": "And at this other fine link too."}, []),
+        f"{SITE}/t/1": "Tides at the west quay this week.",
+        f"{SITE}/t/2": "Tides at the east quay next week.",
+        f"{SITE}/t/3": "Tides at the old mole in August.",
+        f"{SITE}/m/6": "Minutes of the June meeting.",
+        f"{SITE}/m/7": "Minutes of the July meeting."}, []),
     "cards": (CARDS, {}, 200, {
-        f"{SITE}/x": "A headline that stays here. And a short teaser text.",
-        f"{SITE}/y": "Another headline is shown. With more of a teaser."}, [v.MSG_BODY]),
+        f"{SITE}/hall": "Market hall opens a roof garden. Visitors climb forty narrow steps.",
+        f"{SITE}/wall": "City wall gets its third gate. Carts may use it on Mondays.",
+        f"{SITE}/well": "Well water is clear once more. The pump runs from six o'clock."}, [v.MSG_BODY]),
     "lone link": (BODY_ONLY, {}, 200, {}, [v.MSG_BODY]),
     "bad urls": (BAD_URLS, {}, 200, {f"{SITE}/ok": "This link is fine."}, [v.MSG_BAD_LINK_URL]),
     "400": (ABSOLUTE, MANUAL, 400, {}, [v.MSG_400 % 400]),
@@ -128,6 +123,10 @@ CASES = {
     "old rss": (RSS_OLD, {"link_selector": "a"}, 200, {"http://f.example.com/o": "Old"}, []),
     "atom": (ATOM, {}, 200, {"http://at.example.com/1": "Entry one",
                              "http://at.example.com/2": "Summary two"}, []),
+    "loose feed": ("<rss><channel><item><title>Salt &nbsp;&amp; vinegar&rsquo;s R&D \x0b</title>"
+                   "<link>http://f.example.com/s?a=1&b=2</link></item></channel></rss>", {}, 200,
+                   {"http://f.example.com/s?a=1&b=2": "Salt \u00a0& vinegar\u2019s R&D"}, []),
+    "long line": ("<html><script>" + "x" * 70000 + "</script>" + ABSOLUTE[16:].replace("\n", " "), {}, 200, BOARD, []),
     "broken feed": ("<rss><channel><item></rss>", {}, 200, {}, [v.MSG_BAD_FEED]),
     "empty feed": ("<rss version='2.0'><channel><title>t</title></channel></rss>", {}, 200, {}, []),
     "no format": ("just text", {}, 200, {}, [v.MSG_NO_FORMAT]),

@@ -6,7 +6,7 @@ from gleaner.operators import ticks as op
 from gleaner.operators.store import read_seen
 from gleaner.sources.pages import stream_pages
 from gleaner.sources.tables import new_dir
-from gleaner.streaming.common import state_store, write_all
+from gleaner.streaming.common import write_all
 from gleaner.streaming.digest import run_stream
 from gleaner.streaming.seen import new_items_stream
 from gleaner.streaming.ticks import due_stream
@@ -34,16 +34,19 @@ def test_due_stream(spark):
 
 def test_new_items_stream_across_batches(spark):
     out = new_dir(spark, "test")
-    schema = ("link_key STRING, link_url STRING, caption STRING, src STRING, src_ord BIGINT, ord INT")
-    rows = [[("k1", "u1", "c1", "b", 1, 0), ("k1", "u1", "c1", "a", 0, 3), ("k2", "u2", "c2", "a", 0, 1)],
-            [("k2", "u2", "c2", "z", 9, 0), ("k3", "u3", "c3", "z", 9, 1)]]
+    schema = "link_key STRING, link_url STRING, caption STRING, src STRING, day INT"
+    rows = [[("k1", "u1", "c1", "b", 1), ("k1", "u1", "c1", "a", 1), ("k2", "u2", "c2", "a", 2)],
+            [("k2", "u2", "c2", "z", 100), ("k3", "u3", "c3", "z", 500)],
+            [("k1", "u1", "c1", "z", 510), ("k3", "u3", "c3", "z", 520), ("k4", "u4", "c4", "z", 5)],
+            [("k1", "u1", "c1", "y", 511)]]
     for n, batch in enumerate(rows):
         land(spark.createDataFrame(batch, schema), f"{out}/in", n)
-        with state_store(spark):
-            items = spark.readStream.schema(schema).parquet(f"{out}/in/*")
-            write_all(new_items_stream(items), f"{out}/new", f"{out}/check")
-    got = sorted((r.link_key, r.link_url, r.src) for r in spark.read.parquet(f"{out}/new").collect())
-    assert got == [("k1", "u1", "a"), ("k2", "u2", "a"), ("k3", "u3", "z")]
+        items = spark.readStream.schema(schema).parquet(f"{out}/in/*").withColumn(
+            "fetched_at", F.timestamp_seconds(F.col("day") * 86400))
+        write_all(new_items_stream(items, 180), f"{out}/new", f"{out}/check")
+    got = sorted((r.link_key, r.link_url) for r in spark.read.parquet(f"{out}/new").collect())
+    # k1 is new again after its time, k4 comes too late
+    assert got == [("k1", "u1"), ("k1", "u1"), ("k2", "u2"), ("k3", "u3")]
 
 
 def test_run_stream(spark):
@@ -63,3 +66,10 @@ def test_run_stream(spark):
     assert spark.read.parquet(f"{out}/runs/1/sets").count() == 2
     assert read_seen(spark, f"{out}/runs/seen").count() == 7
     assert read_seen(spark, f"{out}/runs/seen", before_run=1).count() == 5
+
+
+def test_no_plan_has_a_single_partition_window(spark):
+    ticks = spark.range(5000).select("id", F.timestamp_seconds(F.lit(1748736000) + F.col("id") * 600).alias("ts"))
+    found = op.due_ticks_by_arrival(ticks, "id", block=100)
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == op.due_ticks(ticks).count()

@@ -80,6 +80,7 @@ MSG_BAD_FEED = "cannot parse the feed: the document is not well-formed"
 ERR_URL_MISSING = "the link source must include a URL"
 ERR_URL_INVALID = "can't parse the link source URL"
 ERR_NAME_BLANK = "the link source name can't be blank"
+ERR_REPEATED_KEY = "another link source has the same key"
 ERR_MAX_ITEMS = "invalid maxItems: must be a positive integer"
 ERR_MIN_WORDS = "invalid minElementWords: must be a positive integer"
 ERR_ITEM_SELECTOR = "cannot parse itemSelector"

@@ -44,18 +44,21 @@ def run_digest(
     seen_path: str | None = None,
     run: int = 0,
     days: int = DEFAULT_EXPIRY_DAYS,
+    missing: bool = True,
 ) -> Run:
     """Run once: write the sets, the new items and both bodies below `out`, and
     add the new keys to the store at `seen_path` as run number `run`. All folders
     are shared by the executors. Without a store (one-off and test runs) nothing
-    is looked up or remembered.
+    is looked up or remembered. Of several pages of a source the newest counts;
+    of equally new ones any. `missing`: sources without a page are told about.
 
     Pages are parsed once: sets and items are written tables, and what follows
     reads those, so a lost executor never costs a second parse.
     """
     spark = sources.sparkSession
     done = Run(f"{out}/sets", f"{out}/items", f"{out}/html", f"{out}/text")
-    source_sets(source_pages(sources, fetched)).write.mode("overwrite").parquet(done.sets)
+    sets = source_sets(source_pages(sources, fetched, missing))
+    sets.dropDuplicates(["src"]).write.mode("overwrite").parquet(done.sets)
     sets = spark.read.parquet(done.sets)
     seen = None
     if seen_path is not None:

@@ -23,9 +23,20 @@ _SETTINGS = ["src", "name", "url", "max_items", "min_element_words", "src_ord"]
 _SELECTORS = ["item_selector", "caption_selector", "link_selector"]
 
 
-def source_pages(sources: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Each source with its fetched page. Sources without a page stay, with
-    `fetched` false.
+def newest_pages(fetched: DataFrame) -> DataFrame:
+    """The newest page of each source, where pages have a `fetched_at` (NULL is
+    the oldest). Only keys and times are aggregated, and sent to the pages when
+    they are small; page texts stay where they were read."""
+    if "fetched_at" not in fetched.columns:
+        return fetched
+    at = F.coalesce(F.col("fetched_at"), F.timestamp_seconds(F.lit(0)))
+    times = fetched.groupBy("src").agg(F.max(at).alias("_at"))
+    return fetched.withColumn("_at", at).join(broadcast_if_small(times), ["src", "_at"], "left_semi").drop("_at")
+
+
+def source_pages(sources: DataFrame, fetched: DataFrame, missing: bool = True) -> DataFrame:
+    """Each source with its newest fetched page. Sources without a page stay,
+    with `fetched` false, unless `missing` says that they have no part in this.
 
     Page texts stay where they were read when the sources, measured, are small
     enough to be broadcast; otherwise the join is shuffled, and adaptive
@@ -36,15 +47,17 @@ def source_pages(sources: DataFrame, fetched: DataFrame) -> DataFrame:
     the plan.
     """
     settings = sources.select(*_SETTINGS, *[c for c in _SELECTORS if c in sources.columns])
-    body = fetched.select("src", "status", "html")
+    body = newest_pages(fetched).select("src", "status", "html")
     got = body.join(broadcast_if_small(settings), "src").withColumn("fetched", F.lit(True))
-    missing = (
+    if not missing:
+        return got
+    rest = (
         settings.join(fetched.select("src"), "src", "left_anti")
         .withColumn("status", F.lit(None).cast("int"))
         .withColumn("html", F.lit(None).cast("string"))
         .withColumn("fetched", F.lit(False))
     )
-    return got.unionByName(missing)
+    return got.unionByName(rest)
 
 
 def _setting(df: DataFrame, name: str) -> Column:

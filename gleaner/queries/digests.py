@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from gleaner import inputs
 from gleaner.functions import values as v
 from gleaner.operators import sections as op, store
-from gleaner.operators.items import explode_items, with_key
-from gleaner.plans.digest import digest, run_items
-from gleaner.plans.source_sets import source_pages, source_sets
+from gleaner.operators.items import explode_items
+from gleaner.plans.digest import digest, run_digest
 from gleaner.queries import sql
 from gleaner.queries.registry import query
 from gleaner.queries.scalars import STATUS_MESSAGES
-from gleaner.sources.tables import written
+from gleaner.sources.tables import new_dir
 
 
 def _text(msg):
@@ -107,12 +106,13 @@ def newsletter_text(spark, sf):
 def newsletter(spark, sf):
     """A full run: sources, pages, items, seen store, digest."""
     all_sets = inputs.written_sets(spark, sf)
-    sets = written(
-        source_sets(source_pages(inputs.sources(spark, sf), inputs.fetched(spark, sf))), "sets"
+    out = new_dir(spark, "run")
+    store.write_compacted(inputs.seen_from(all_sets), f"{out}/seen")
+    run = run_digest(
+        inputs.sources(spark, sf), inputs.fetched(spark, sf), inputs.NOW, out, f"{out}/seen", 1,
+        inputs.EXPIRY_DAYS,
     )
-    seen = store.relevant(inputs.alive_seen(all_sets), with_key(explode_items(sets)))
-    items = written(run_items(sets, seen, inputs.NOW, inputs.EXPIRY_DAYS), "items")
-    return _ranked(digest(sets, items))
+    return _ranked(digest(spark.read.parquet(run.sets), spark.read.parquet(run.items)))
 
 
 @query(

@@ -118,6 +118,28 @@ def source_pages(spark, sf):
     return joined.select("src", "url", "status", F.length("html").cast("bigint").alias("n_chars"))
 
 
+@query(
+    "source_pages_refetched",
+    f"SELECT CAST(page_id AS VARCHAR) AS src, 'News' AS name, url, 200 AS status, "
+    "length(html) + CASE WHEN page_id % 2 = 0 THEN 14 ELSE 0 END AS n_chars FROM pages",
+)
+def source_pages_refetched(spark, sf):
+    """Sources of the same name, with two or three fetches of many pages."""
+    page = inputs.pages(spark, sf).select(
+        F.col("page_id"), F.col("page_id").cast("string").alias("src"), F.lit(200).alias("status"), "html"
+    )
+    fetch = lambda day, rows, html: rows.withColumn("html", html).withColumn(
+        "fetched_at", F.lit(f"{day} 00:00:00").cast("timestamp"))
+    again = F.concat("html", F.lit("<!-- again -->"))
+    fetched = (
+        fetch("2024-01-02", page.filter("page_id % 2 = 0"), again)
+        .union(fetch("2024-01-01", page, F.col("html")))
+        .union(fetch("2023-12-31", page.filter("page_id % 3 = 0"), F.lit("old")))
+    )
+    joined = join_pages(inputs.sources(spark, sf, name=F.lit("News")), fetched)
+    return joined.select("src", "name", "url", "status", F.length("html").cast("bigint").alias("n_chars"))
+
+
 @query(
     "items_all",
     f"""WITH {sql.SET_ITEMS}, {FEED_ITEMS}

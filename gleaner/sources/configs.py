@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleaner.functions import schedules, selectors, urls, values as v
+from gleaner.sources.tables import broadcast_if_small
 
 _FIELDS = (
     "name STRING, url STRING, itemSelector STRING, captionSelector STRING, linkSelector STRING, "
@@ -98,7 +99,8 @@ def link_sources(raw: DataFrame) -> DataFrame:
     and with defaults."""
     count = lambda name, default: default(raw[name].try_cast("bigint"))
     return raw.select(
-        raw["name"].alias("src"),
+        # names need not differ, places in the list do
+        raw["src_ord"].cast("string").alias("src"),
         raw["name"].alias("name"),
         raw["url"].alias("url"),
         raw["itemSelector"].alias("item_selector"),
@@ -111,6 +113,15 @@ def link_sources(raw: DataFrame) -> DataFrame:
     )
 
 
+def with_unique_keys(sources: DataFrame) -> DataFrame:
+    """Sources whose key another one has too get an error, as their pages can't
+    be told apart."""
+    repeated = sources.groupBy("src").agg(F.count("*").alias("_n")).filter("_n > 1")
+    marked = sources.join(broadcast_if_small(repeated), "src", "left")
+    again = F.when(F.col("_n").isNotNull(), F.lit(v.ERR_REPEATED_KEY))
+    return marked.withColumn("error", F.coalesce("error", again)).drop("_n").select(sources.columns)
+
+
 def usable(sources: DataFrame) -> DataFrame:
     return sources.filter(F.col("error").isNull()).drop("error")
 

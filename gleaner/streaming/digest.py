@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gleaner.functions.values import DEFAULT_EXPIRY_DAYS
@@ -28,9 +28,9 @@ def run_stream(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        present = sources.join(batch.select("src").distinct(), "src", "left_semi")
         run_digest(
-            present, batch, now(batch_id), f"{out}/{batch_id}", f"{out}/seen", batch_id, days
+            sources, batch, now(batch_id), f"{out}/{batch_id}", f"{out}/seen", batch_id, days,
+            missing=False,
         )
 
     query = (
@@ -41,3 +41,39 @@ def run_stream(
     )
     query.awaitTermination()
     return query
+
+
+def run_when_due(
+    due: DataFrame,
+    sources: DataFrame,
+    read_pages: Callable[[], DataFrame],
+    started,
+    out: str,
+    checkpoint: str,
+    days: int = DEFAULT_EXPIRY_DAYS,
+) -> StreamingQuery:
+    """The first digest at once, at time `started`, then one for each due hour of
+    one schedule (a stream of `date, hour`, see `due_stream`), below `out/<run>`.
+
+    The number of a run is its hour since 1970, so that a repeated batch
+    replaces its own digests; the store is `out/seen`.
+    """
+
+    def run(number: int, now) -> None:
+        run_digest(sources, read_pages(), now, f"{out}/{number}", f"{out}/seen", number, days)
+
+    def run_batch(batch: DataFrame, batch_id: int) -> None:
+        hours = F.unix_timestamp(F.col("date").cast("timestamp")) / 3600 + F.col("hour")
+        # at most 24 a day
+        for (number,) in batch.select(hours.cast("bigint").alias("n")).distinct().orderBy("n").collect():
+            run(number, F.timestamp_seconds(F.lit(number * 3600)))
+
+    run(0, started)
+    query = (
+        due.writeStream.foreachBatch(run_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query

@@ -11,6 +11,7 @@ from gleaner.functions.text import escape_href, escape_html
 from gleaner.operators import items as op, sections, store
 from gleaner.plans.digest import run_digest, run_items
 from gleaner.plans.source_sets import source_pages, source_sets
+from gleaner.sources.configs import with_unique_keys
 from gleaner.sources.tables import broadcast_if_small, new_dir
 
 ITEMS = "src STRING, src_ord BIGINT, ord INT, link_url STRING, caption STRING"
@@ -243,3 +244,24 @@ def test_broadcast_only_when_measured_small(spark):
     small = broadcast_if_small(df, 1 << 20)._jdf.queryExecution().logical().toString()
     large = broadcast_if_small(df, 1 << 10)._jdf.queryExecution().logical().toString()
     assert "broadcast" in small.lower() and "broadcast" not in large.lower()
+
+
+def test_refetched_pages_and_equal_names(spark):
+    out = new_dir(spark, "test")
+    src = sources(spark, ["a", "b"]).withColumn("name", F.lit("News"))
+    rows = [("a", 200, site(FIVE), 1), ("a", 200, site(CHANGED), 5), ("a", 200, site(CHANGED), 5),
+            ("b", 200, site(FIVE[:2]), 3), ("b", 200, site(FIVE), None)]
+    pages = spark.createDataFrame(rows, "src STRING, status INT, html STRING, day INT")
+    pages = pages.withColumn("fetched_at", F.timestamp_seconds(F.col("day") * 86400))
+    run = run_digest(src, pages, "2024-01-01 00:00:00", f"{out}/run")
+    got = {r.src: [x.link_url for x in r["items"]] for r in spark.read.parquet(run.sets).collect()}
+    assert got == {"a": [SITE + href for href, _ in CHANGED], "b": [f"{SITE}/0", f"{SITE}/1"]}
+    html = body_of(run.html)
+    assert html.count("<h2>") == html.count("</ul>") == 2
+
+
+def test_repeated_keys_are_errors(spark):
+    rows = [("x", 1, None), ("x", 2, None), ("y", 3, None), ("z", 4, "bad")]
+    df = spark.createDataFrame(rows, "src STRING, src_ord BIGINT, error STRING")
+    got = {r.src_ord: r.error for r in with_unique_keys(df).collect()}
+    assert got == {1: v.ERR_REPEATED_KEY, 2: v.ERR_REPEATED_KEY, 3: None, 4: "bad"}

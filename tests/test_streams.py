@@ -7,7 +7,7 @@ from gleaner.operators.store import read_seen
 from gleaner.sources.pages import stream_pages
 from gleaner.sources.tables import new_dir
 from gleaner.streaming.common import write_all
-from gleaner.streaming.digest import run_stream
+from gleaner.streaming.digest import run_stream, run_when_due
 from gleaner.streaming.seen import new_items_stream
 from gleaner.streaming.ticks import due_stream
 from tests.test_runs import CHANGED, FIVE, site, sources
@@ -73,3 +73,25 @@ def test_no_plan_has_a_single_partition_window(spark):
     found = op.due_ticks_by_arrival(ticks, "id", block=100)
     assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == op.due_ticks(ticks).count()
+
+
+def test_first_run_and_one_run_for_each_due_tick(spark):
+    out = new_dir(spark, "test")
+    ticks = spark.range(0, 60 * 24 * 8, 20).select(
+        F.timestamp_seconds(F.lit(1748736000) + F.col("id") * 60).alias("ts"))
+    land(ticks, f"{out}/in", 0)
+    texts = spark.createDataFrame([("mine", "TuF 9")], "handle STRING, schedule STRING")
+    due = due_stream(spark.readStream.schema(ticks.schema).parquet(f"{out}/in/*"),
+                     op.moments(op.parse_schedules(texts)))
+    calls = []
+
+    def read_pages():
+        calls.append(1)
+        page = site(FIVE[: 1 + len(calls)])
+        return spark.createDataFrame([("one", 200, page)], "src STRING, status INT, html STRING")
+
+    run_when_due(due, sources(spark, ["one"]), read_pages, "2025-06-01 00:00:00", f"{out}/runs", f"{out}/check")
+    found = sorted(r.n for r in spark.read.parquet(f"{out}/runs/*/items").select(
+        F.regexp_extract(F.input_file_name(), "runs/([0-9]+)/", 1).cast("bigint").alias("n")).collect())
+    # Tuesday and Friday at nine: one new link each, after two in the first run
+    assert found == [0, 0, 485817, 485889]

@@ -5,9 +5,11 @@ struct over a page's nodes. Selectors therefore may differ from row to row:
 a million sources with a million selectors still make one plan.
 
 Covered: `tag`, `*`, `#id`, `.class`, `[attr]` and `[attr=value]` with the
-operators `=`, `~=`, `|=`, `^=`, `$=`, `*=`, `:nth-of-type(n)`, `:nth-child(n)`,
-`:first-of-type`, `:first-child`, the combinators blank, `>`, `+`, `~`, and
-selector lists. Anything else is invalid.
+operators `=`, `!=`, `~=`, `|=`, `^=`, `$=`, `*=`, `:nth-of-type()` and
+`:nth-child()` with a number, `odd`, `even` or `an+b`, `:first-of-type`,
+`:first-child`, `:last-child`, `:only-child`, `:empty`, `:not()` with one simple
+selector, the combinators blank, `>`, `+`, `~`, and selector lists. Anything else
+is invalid.
 """
 
 from __future__ import annotations
@@ -18,10 +20,14 @@ from gleaner.functions.text import let
 from gleaner.operators.links import is_element, node_at
 
 _IDENT = r"-?[A-Za-z_][A-Za-z0-9_-]*"
-_VALUE = rf"(?:\"[^\"\]]*\"|'[^'\]]*'|{_IDENT})"
+_VALUE = rf"(?:\"[^\"]*\"|'[^']*'|{_IDENT})"
+_ATTRIBUTE = rf"\[\s*{_IDENT}\s*(?:[~|^$*!]?=\s*{_VALUE}\s*)?\]"
+_PLACE = r"(?:odd|even|[+-]?[0-9]*n(?:\s*[+-]\s*[0-9]+)?|[+-]?[0-9]+)"
+_SIMPLE = rf"(?:{_IDENT}|\*|#{_IDENT}|\.{_IDENT}|{_ATTRIBUTE})"
+_NOT = rf":not\(\s*{_SIMPLE}\s*\)"
 _QUALIFIER = (
-    rf"(?:#{_IDENT}|\.{_IDENT}|\[{_IDENT}(?:[~|^$*]?={_VALUE})?\]"
-    r"|:nth-(?:of-type|child)\([1-9][0-9]*\)|:first-(?:of-type|child))"
+    rf"(?:#{_IDENT}|\.{_IDENT}|{_ATTRIBUTE}|{_NOT}|:nth-(?:of-type|child)\(\s*{_PLACE}\s*\)"
+    r"|:first-(?:of-type|child)|:last-child|:only-child|:empty)"
 )
 _COMPOUND = rf"(?:(?:{_IDENT}|\*){_QUALIFIER}*+|{_QUALIFIER}++)"
 _BLANKS = r"[\t\n\f\r ]+"
@@ -31,7 +37,10 @@ _LIST = rf"^\s*{_CHAIN}(?:\s*,\s*{_CHAIN})*+\s*$"
 
 STEP = (
     "STRUCT<comb: STRING, tag: STRING, id: STRING, classes: ARRAY<STRING>, "
-    "attrs: ARRAY<STRUCT<attr: STRING, op: STRING, value: STRING>>, nth: INT, child: INT>"
+    "attrs: ARRAY<STRUCT<attr: STRING, op: STRING, value: STRING>>, "
+    "nth: STRUCT<a: INT, b: INT>, child: STRUCT<a: INT, b: INT>, last: BOOLEAN, empty: BOOLEAN, "
+    "nots: ARRAY<STRUCT<tag: STRING, id: STRING, class: STRING, "
+    "attr: STRUCT<attr: STRING, op: STRING, value: STRING>>>>"
 )
 
 
@@ -42,7 +51,8 @@ def is_valid(selector: Column) -> Column:
 def parse(selector: Column) -> Column:
     """Selector text as ARRAY<ARRAY<STEP>>: alternatives of steps from left to
     right. NULL for a missing or invalid selector."""
-    alternatives = F.split(F.trim(selector), r"\s*,\s*")
+    # not split at commas, which values may hold
+    alternatives = F.regexp_extract_all(selector, F.lit(rf"({_CHAIN})"), F.lit(1))
     return F.when(is_valid(selector), F.transform(alternatives, _chain))
 
 
@@ -57,20 +67,54 @@ def _step(part: Column) -> Column:
     def first(pattern):
         return F.nullif(F.regexp_extract(part, pattern, 1), F.lit(""))
 
-    attr_texts = F.regexp_extract_all(part, F.lit(r"\[([^\]]+)\]"), F.lit(1))
-    # brackets are looked at on their own, so that no value is taken for a class
-    bare = F.regexp_replace(part, r"\[[^\]]*\]", "")
+    # what stands in :not() and brackets is looked at on its own, so that no value
+    # is taken for a class
+    nots = F.regexp_extract_all(part, F.lit(rf":not\(\s*({_SIMPLE})\s*\)"), F.lit(1))
+    own = F.regexp_replace(part, _NOT, "")
+    attr_texts = F.regexp_extract_all(own, F.lit(rf"({_ATTRIBUTE})"), F.lit(1))
+    bare = F.regexp_replace(own, _ATTRIBUTE, "")
     comb = F.trim(F.regexp_extract(part, r"^(\s*[>+~]?\s*)", 1))
-    attr = lambda a: F.struct(
-        F.regexp_extract(a, r"^([^=~|^$*]+)", 1).alias("attr"),
-        F.regexp_extract(a, r"^[^=~|^$*]+([~|^$*]?=)", 1).alias("op"),
-        F.regexp_extract(a, r"=[\"']?([^\"']*)[\"']?$", 1).alias("value"),
-    )
+
+    def attr(a):
+        def group(pattern, n=1):
+            return F.regexp_extract(a, pattern, n)
+
+        quoted = F.coalesce(
+            F.nullif(group(r"=\s*\"([^\"]*)\"\s*\]$"), F.lit("")),
+            F.nullif(group(r"=\s*'([^']*)'\s*\]$"), F.lit("")),
+            group(rf"=\s*({_IDENT})\s*\]$"),
+        )
+        return F.struct(
+            F.lower(group(rf"^\[\s*({_IDENT})")).alias("attr"),
+            group(rf"^\[\s*{_IDENT}\s*([~|^$*!]?=)").alias("op"),
+            quoted.alias("value"),
+        )
 
     def place(kind):
-        number = F.regexp_extract(bare, rf":nth-{kind}\((\d+)\)", 1)
-        return F.when(F.contains(bare, F.lit(f":first-{kind}")), 1).otherwise(
-            F.nullif(number, F.lit("")).cast("int")
+        text = F.regexp_replace(F.regexp_extract(bare, rf":nth-{kind}\(\s*({_PLACE})\s*\)", 1), r"\s", "")
+        step, rest = F.regexp_extract(text, "^([+-]?[0-9]*)n", 1), F.regexp_extract(text, "n([+-][0-9]+)$", 1)
+        a = F.when(step.isin("", "+"), 1).when(step == "-", -1).otherwise(step.try_cast("int"))
+        pair = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+        first = F.contains(bare, F.lit(f":first-{kind}"))
+        if kind == "child":
+            first = first | F.contains(bare, F.lit(":only-child"))
+        return (
+            F.when(first, pair(F.lit(0), F.lit(1)))
+            .when(text == "odd", pair(F.lit(2), F.lit(1)))
+            .when(text == "even", pair(F.lit(2), F.lit(0)))
+            .when(F.contains(text, F.lit("n")), pair(a, F.coalesce(rest.try_cast("int"), F.lit(0))))
+            .when(text != "", pair(F.lit(0), text.try_cast("int")))
+        )
+
+    def negated(t):
+        def found(pattern):
+            return F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
+
+        return F.struct(
+            F.lower(found(rf"^({_IDENT}|\*)$")).alias("tag"),
+            found(rf"^#({_IDENT})$").alias("id"),
+            found(rf"^\.({_IDENT})$").alias("class"),
+            F.when(F.startswith(t, F.lit("[")), attr(t)).alias("attr"),
         )
 
     return F.struct(
@@ -81,6 +125,9 @@ def _step(part: Column) -> Column:
         F.transform(attr_texts, attr).alias("attrs"),
         place("of-type").alias("nth"),
         place("child").alias("child"),
+        (F.contains(bare, F.lit(":last-child")) | F.contains(bare, F.lit(":only-child"))).alias("last"),
+        F.contains(bare, F.lit(":empty")).alias("empty"),
+        F.transform(nots, negated).alias("nots"),
     )
 
 
@@ -91,6 +138,7 @@ def matches_attribute(have: Column, a: Column) -> Column:
     return F.coalesce(
         F.when(a.op == "", have.isNotNull())
         .when(a.op == "=", have == a.value)
+        .when(a.op == "!=", have.isNull() | (have != a.value))
         .when(a.op == "^=", part & F.startswith(have, a.value))
         .when(a.op == "$=", part & F.endswith(have, a.value))
         .when(a.op == "*=", part & F.contains(have, a.value))
@@ -100,17 +148,41 @@ def matches_attribute(have: Column, a: Column) -> Column:
     )
 
 
-def matches_step(n: Column, step: Column) -> Column:
+def in_place(place: Column, number: Column) -> Column:
+    """Whether a place, counted from 1, is one of an + b."""
+    off = number - place.b
+    return (
+        F.when(place.isNull(), True)
+        .when(place.a == 0, off == 0)
+        .otherwise((off % place.a == 0) & (off * F.signum(place.a) >= 0))
+    )
+
+
+def matches_step(n: Column, step: Column, nodes: Column) -> Column:
     """Whether an element fits one step, its combinator left aside."""
     own_classes = F.split(F.coalesce(F.element_at(n.attrs, "class"), F.lit("")), _BLANKS)
+    # looked for only where a step asks
+    followed = F.exists(nodes, lambda m: is_element(m) & (m.parent == n.parent) & (m.sib > n.sib))
+    filled = F.exists(F.slice(nodes, n.nid + 2, n.last - n.nid), lambda m: m.kind != "comment")
+    refused = F.exists(
+        step.nots,
+        lambda x: (x.tag == "*")
+        | F.coalesce(n.tag == x.tag, F.lit(False))
+        | F.coalesce(F.element_at(n.attrs, "id") == x.id, F.lit(False))
+        | F.coalesce(F.array_contains(own_classes, x["class"]), F.lit(False))
+        | (x.attr.isNotNull() & matches_attribute(F.element_at(n.attrs, x.attr.attr), x.attr)),
+    )
     return (
         is_element(n)
         & (step.tag.isNull() | (n.tag == step.tag))
         & (step.id.isNull() | F.coalesce(F.element_at(n.attrs, "id") == step.id, F.lit(False)))
         & ((F.size(step.classes) == 0) | (F.size(F.array_except(step.classes, own_classes)) == 0))
         & F.forall(step.attrs, lambda a: matches_attribute(F.element_at(n.attrs, a.attr), a))
-        & (step.nth.isNull() | (n.nth == step.nth))
-        & (step.child.isNull() | (n.sib == step.child - 1))
+        & in_place(step.nth, n.nth)
+        & in_place(step.child, n.sib + 1)
+        & F.when(step.last, ~followed).otherwise(True)
+        & F.when(step.empty, ~filled).otherwise(True)
+        & F.when(F.size(step.nots) > 0, ~F.coalesce(refused, F.lit(False))).otherwise(True)
     )
 
 
@@ -187,10 +259,10 @@ def select(nodes: Column, selector: Column) -> Column:
 
             return let(
                 counts,
-                lambda counts: F.transform(nodes, lambda n: matches_step(n, step) & linked(n, counts)),
+                lambda counts: F.transform(nodes, lambda n: matches_step(n, step, nodes) & linked(n, counts)),
             )
 
-        start = F.transform(nodes, lambda n: matches_step(n, F.get(steps, F.lit(0))))
+        start = F.transform(nodes, lambda n: matches_step(n, F.get(steps, F.lit(0)), nodes))
         return F.aggregate(F.slice(steps, F.lit(2), F.size(steps) - 1), start, advance)
 
     def either(a, b):

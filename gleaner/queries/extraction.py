@@ -123,6 +123,10 @@ def link_hrefs(spark, sf):
 _SELECTORS = {
     "a": "n", "nav > ul > li": "n", "li ~ li": "n - 1", "li + li a": "n - 1", "a[href]": "n",
     "table": "0", "ul, a": "n + 1", "li:nth-of-type(2) a": "1", "body nav a": "n", "ul > a": "0",
+    "A[HREF]": "n", "li:nth-child(odd) a": "(n + 1) // 2", "li:nth-child(2n) a": "n // 2",
+    "li:last-child a": "1", "li:nth-of-type(-n+2) a": "least(n, 2)", "a:not([href])": "0",
+    "li:not(.x) > a": "n", "a[title!=\"x, y\"]": "n", "li:only-child": "CAST(n = 1 AS INTEGER)",
+    "nav a:only-child": "n",
 }
 
 

@@ -15,9 +15,11 @@ PAGE = """<!doctype html><html><body>
 
 VALID = [
     "div ul li:nth-of-type(3)", "blah", "*", "div#mySpecialDiv.coolClass ~ span.anotherClass",
-    "div,span",
+    "div,span", "a[x!=y]", "li:nth-child(2n+1)", "li:nth-of-type( odd )", "li:nth-child(-n + 3):not(.x)",
+    'a[title="x, y"], b', "A[HREF]", "p:empty", "li:last-child a:only-child",
 ]
-INVALID = ["duv il la:uth-of-type(3)", "123", "div:not()", "", "a[", "a >", "> a", "a,,b", "a[x!=y]"]
+# fixed values: selectors that must be refused
+INVALID = ["duv il la:uth-of-type(3)", "123", "div:not()", "", "a[", "a >", "> a", "a,,b", "a:not(b c)", "li:nth-child(n+)"]
 
 
 @pytest.mark.parametrize("text,ok", [(t, True) for t in VALID] + [(t, False) for t in INVALID])
@@ -49,6 +51,18 @@ CASES = {
     "a:first-of-type": ["/1", "/3", "/4", "/5"],
     "body>ul a": ["/1", "/2", "/3", "/4"],
     "li > div > a, li > b > a": ["/4", "/5"],
+    "A[HREF='/3']": ["/3"],
+    "a[href!='/3']": ["/1", "/2", "/4", "/5"],
+    "li:nth-child(odd) a": ["/1", "/2", "/4", "/5"],
+    "li:nth-child(even) a": ["/3"],
+    "li:nth-of-type(2n+1) > a": ["/1", "/2"],
+    "li:nth-child(-n+2) a": ["/1", "/2", "/3", "/5"],
+    "li:last-child a": ["/4", "/5"],
+    "a:only-child": ["/3", "/4", "/5"],
+    "a:not([data-k])": ["/1", "/2", "/4", "/5"],
+    "li > :not(a) a": ["/4", "/5"],
+    "div:not(.box) a, a[title=\"x, y\"]": ["/5"],
+    "a:empty": [],
 }
 
 

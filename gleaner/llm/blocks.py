@@ -7,13 +7,15 @@ bound what is held at a time; a single longer document is a block of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -32,6 +34,44 @@ class Block(NamedTuple):
     offsets: np.ndarray
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send rows with whole texts to Python in batches of 1,000, so that what a
+    task holds at a time doesn't depend on many texts being long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """`run` for mapInArrow, with memory released at the end of a task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def tidy_group(run: Callable) -> Callable:
+    """`run` for applyInArrow, with memory released after large groups."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if table.nbytes > 1 << 20:
+            del table
+            release()
+        return out
+
+    return wrapped
+
+
 def text_array(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_string()) if column.type != pa.large_string() else column
 

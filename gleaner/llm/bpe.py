@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.blocks import blocks
+from gleaner.llm.blocks import blocks, tidy
 
 # --- characters -> symbols -------------------------------------------------
 
@@ -218,7 +218,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class _Merged(dict):
     """Piece -> its ids as little-endian 32-bit values."""
 
-    LONGEST, MOST = 64, 500_000
+    LONGEST, MOST = 64, 150_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -276,9 +276,10 @@ def codec(path: str) -> Codec:
 # --- operators -------------------------------------------------------------
 
 
-def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """The columns `keep`, with n_tokens long, ids array<int> and ends array<int>:
-    the byte at which each token ends, for decoding spans."""
+    the byte at which each token ends, for decoding spans. With `decoded` also
+    decoded string, the text that the ids give, from the same pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -289,11 +290,12 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
                 ends = [c.offsets(x)[1:].astype(np.int32) for x in ids]
                 lists = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(x))) for x in (ids, ends)]
                 own = batch.slice(b.lo, b.hi - b.lo).columns[: len(keep)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(sizes)), *lists], names=[*keep, "n_tokens", "ids", "ends"])
+                more = {"decoded": pa.array([c.decode(x).decode() for x in ids], pa.string())} if decoded else {}
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(sizes)), *lists, *more.values()], names=[*keep, "n_tokens", "ids", "ends", *more])
 
     taken = df.select(*keep, F.col(text).cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1])
-    return taken.mapInArrow(run, f"{kinds}, n_tokens long, ids array<int>, ends array<int>")
+    return taken.mapInArrow(tidy(run), f"{kinds}, n_tokens long, ids array<int>, ends array<int>" + ", decoded string" * decoded)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -308,7 +310,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = (
 
     taken = df.select(*keep, F.col(ids).cast("array<int>").alias("_ids"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1])
-    return taken.mapInArrow(run, f"{kinds}, decoded binary")
+    return taken.mapInArrow(tidy(run), f"{kinds}, decoded binary")
 
 
 def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -328,5 +330,5 @@ def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

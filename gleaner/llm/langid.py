@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gleaner.llm.blocks import Block, blocks
+from gleaner.llm.blocks import blocks, tidy, Block
 from gleaner.llm.bpe import LETTER, _classes, _once
 from gleaner.sources.tables import broadcast_if_small
 
@@ -82,7 +82,7 @@ def frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(total[at[:-1]], n))], names=["term", "n"])
 
     out, n = np.zeros(BUCKETS, np.int64), 0
-    for term, count in docs.select(F.col(text).cast("string")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
+    for term, count in docs.select(F.col(text).cast("string")).mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n")).collect():
         if term < 0:
             n = count
         else:
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                 )
 
     rows = sample(known, key, text, lang).select(F.col("_id").cast("long"), F.col("_lang").cast("string"), "_text")
-    got = rows.mapInArrow(run, "id long, lang string, terms array<int>, shares array<double>").toArrow()
+    got = rows.mapInArrow(tidy(run), "id long, lang string, terms array<int>, shares array<double>").toArrow()
     got = got.sort_by([("id", "ascending"), ("lang", "ascending")])
     names = got["lang"].to_pylist()
     langs = sorted(set(names))
@@ -211,4 +211,4 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
 
     taken = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1])
-    return taken.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return taken.mapInArrow(tidy(run), f"{kinds}, lang_pred string, score double")

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.blocks import Block, blocks, rows_of, span_hashes, word_bounds
+from gleaner.llm.blocks import blocks, rows_of, span_hashes, tidy, word_bounds, Block
 
 TRIGRAMS, SHAPES, WORDS = 3072, 7**4, 24
 TERMS = TRIGRAMS + SHAPES + WORDS
@@ -84,7 +84,7 @@ def document_frequencies(df: DataFrame, text: str = "text") -> tuple[int, np.nda
         at = np.append(np.flatnonzero(total), -1)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(total[at[:-1]], n))], names=["term", "n"])
 
-    counted = df.select(F.col(text).cast("string").alias("_text")).mapInArrow(run, "term long, n long")
+    counted = df.select(F.col(text).cast("string").alias("_text")).mapInArrow(tidy(run), "term long, n long")
     idf, n = np.zeros(TERMS, np.int64), 0
     for term, count in counted.groupBy("term").agg(F.sum("n")).collect():  # one row per term
         if term < 0:
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.int64()), own.column(1), pa.array(rows, pa.binary())], names=["id", "label", "counts"])
 
     rows = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(sample), "_id")
-    rows = rows.select(F.col("_id").cast("long"), "_label", "_text").mapInArrow(run, "id long, label int, counts binary").toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("counts", "ascending")])
+    rows = rows.select(F.col("_id").cast("long"), "_label", "_text").mapInArrow(tidy(run), "id long, label int, counts binary").toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("counts", "ascending")])
     counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
     return Model(idf, counts, rows["label"].to_numpy())
 
@@ -167,11 +167,12 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column(len(keep))):
+            for b in blocks(batch.column(keep.index(text) if text in keep else len(keep))):
                 s = shared.value.scores(term_counts(b))
                 own = batch.slice(b.lo, b.hi - b.lo).columns[: len(keep)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    taken = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1])
-    return taken.mapInArrow(run, f"{kinds}, score double, predicted int")
+    # a text that is kept is sent once
+    taken = docs.select(*keep, *([] if text in keep else [F.col(text).cast("string").alias("_text")]))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[: len(keep)])
+    return taken.mapInArrow(tidy(run), f"{kinds}, score double, predicted int")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.blocks import SPACE, Block, blocks, lower_ascii, mix, rows_of, span_hashes, window_hashes, word_bounds
+from gleaner.llm.blocks import blocks, lower_ascii, mix, rows_of, SPACE, span_hashes, tidy, window_hashes, word_bounds, Block
 
 BUCKETS, COMMON = 8192, 48
 MIN_CHARS, MIN_WORDS, MIN_REFERENCE = 200, 50, 2000
@@ -182,7 +182,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Refer
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(total[at])], names=["lang", "place", "n"])
 
-    rows = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(run, "lang string, place long, n long")
+    rows = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(tidy(run), "lang string, place long, n long")
     sums: dict[str, np.ndarray] = {}
     for name, place, total in rows.groupBy("lang", "place").agg(F.sum("n")).collect():
         sums.setdefault(name, np.zeros(width, np.int64))[place] = total
@@ -208,4 +208,4 @@ def judge(docs: DataFrame, refs: References, text: str = "text", keep: tuple[str
 
     taken = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1])
-    return taken.mapInArrow(run, f"{kinds}, {', '.join(f'{x} long' for x in NUMBERS)}, base_failed boolean, kept boolean")
+    return taken.mapInArrow(tidy(run), f"{kinds}, {', '.join(f'{x} long' for x in NUMBERS)}, base_failed boolean, kept boolean")

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.blocks import blocks
+from gleaner.llm.blocks import blocks, tidy
 from gleaner.llm.bpe import _once, read_ranks
 
 _START, _REST, _NONE = 0, 1, -1
@@ -79,7 +79,7 @@ class Automaton:
 class _Counts(dict):
     """Word -> pieces, and 1 << 40 more for an unknown word."""
 
-    LONGEST, MOST, UNKNOWN = 64, 500_000, 1 << 40
+    LONGEST, MOST, UNKNOWN = 64, 250_000, 1 << 40
 
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
@@ -123,4 +123,4 @@ def token_counts(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
 
     taken = df.select(*keep, F.col(text).cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1])
-    return taken.mapInArrow(run, f"{kinds}, n_words long, n_tokens long, n_unknown long")
+    return taken.mapInArrow(tidy(run), f"{kinds}, n_words long, n_tokens long, n_unknown long")

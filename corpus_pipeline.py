@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from gleaner.llm import bpe, jaccard, lines, mixing, quality  # noqa: E402
+from gleaner.llm.blocks import small_batches  # noqa: E402
 from gleaner.llm.queries.corpus import DOMAIN, HELD_OUT, target_weights  # noqa: E402
 from gleaner.sources.tables import broadcast_if_small, new_dir, written  # noqa: E402
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(f"not {HELD_OUT}")
     model = quality.fit(docs, labels)
     return quality.score(docs, model, keep=tuple(docs.columns)).filter("predicted = 1").select(docs.columns)
@@ -44,6 +46,7 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = written(jaccard.join_components(docs), "components")
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
     kept = docs.join(broadcast_if_small(gone, jaccard.SMALL), "doc_id", "left_anti").select(docs.columns)
@@ -63,10 +66,10 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     kept = ("doc_id", "lang", "source")
-    encoded = bpe.encode(docs, path, keep=kept).drop("ends")
-    return bpe.decode(encoded, path, keep=(*kept, "n_tokens", "ids")).withColumn("text", F.col("decoded").cast("string")).drop("decoded")
+    return bpe.encode(docs, path, keep=kept, decoded=True).drop("ends").withColumnRenamed("decoded", "text")
 
 
 STAGES = [

@@ -161,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Model(idf, counts, rows["label"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The columns `keep`, with score double and predicted int."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns `keep`, with score double and predicted int, or as `names` has it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +170,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
             for b in blocks(batch.column(keep.index(text) if text in keep else len(keep))):
                 s = shared.value.scores(term_counts(b))
                 own = batch.slice(b.lo, b.hi - b.lo).columns[: len(keep)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, *names])
 
     # a text that is kept is sent once
     taken = docs.select(*keep, *([] if text in keep else [F.col(text).cast("string").alias("_text")]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[: len(keep)])
-    return taken.mapInArrow(tidy(run), f"{kinds}, score double, predicted int")
+    return taken.mapInArrow(tidy(run), f"{kinds}, `{names[0]}` double, `{names[1]}` int")

@@ -95,7 +95,7 @@ def test_tree_loses_no_link():
         keep = b[rng.random(len(b)) > rng.choice([0.02, 0.1, 0.4])]
         sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, len(b) // 20).astype(np.uint64)])))
     tree = CountTree(np.stack([vector_of(count_vector(s)) for s in sets]), np.array([len(s) for s in sets]))
-    found = {(i, j) for i, near in tree.pairs() for j in near.tolist()}
+    found = {(min(x, y), max(x, y)) for i, j in tree.pairs() for x, y in zip(*(k.tolist() for k in tree.fine(i, j)))}
     links = {(i, j) for i in range(150) for j in range(i + 1, 150) if 5 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 4 * (len(sets[i]) + len(sets[j]) - c)}
     assert links and links <= found and len(found) < 150 * 149 / 2
     assert all(100 * least_overlap(a, b) >= 80 * (a + b - least_overlap(a, b)) for a in range(1, 60) for b in range(1, 60))

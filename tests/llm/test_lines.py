@@ -13,11 +13,11 @@ def kept(spark, rows, **parameters):
 
 
 def test_templates_with_variable_fields_recur(spark):
-    rows = [(i, f"own words of {'abcdefg'[i]}\nPage {i} of 90 was printed at noon\nthe end of {'tuvwxyz'[i]}") for i in range(5)]
+    rows = [(i, f"{'abcdefg'[i]} has own words\nPage {i} of 90 was printed at noon\n{'tuvwxyz'[i]} ends it") for i in range(5)]
     rows += [(9, "Page 7 of 90 was printed at dusk\nalone")]
     got = kept(spark, rows)
     assert got[0] == (rows[0][1], 0)  # the first document keeps its line
-    assert got[3] == ("own words of d\nthe end of w", 1)
+    assert got[3] == ("d has own words\nw ends it", 1)
     assert got[9] == ("alone", 1)  # one word differs: a variable field
 
 

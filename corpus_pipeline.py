@@ -36,7 +36,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(f"not {HELD_OUT}")
     model = quality.fit(docs, labels)
-    return quality.score(docs, model, keep=tuple(docs.columns)).filter("predicted = 1").select(docs.columns)
+    scored = quality.score(docs, model, keep=tuple(docs.columns), names=("__score", "__predicted"))
+    return scored.filter("__predicted = 1").select(docs.columns)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,16 +3,18 @@
 Documents link when 100 * intersection >= 80 * union of their sets of distinct
 5-word shingles. Nobody can hold all points in one tree, and in one tree unrelated
 long texts lie too close for its boxes to part them. So the root level is spread
-over the cluster: a set's shingles have a global order (their hashes), and two
-linked sets share one of their first n // 5 + 1 shingles. Each such shingle is a
-branch. In a branch:
+over the cluster: shingles have a global order, and two linked sets share one of
+their first n // 5 + 1 shingles. Each such shingle is a branch. The order puts
+frequent shingles last, by the logarithm of the counts of all documents' shingles
+in a table of `COUNTERS` hash buckets, then goes by hash; any order is right, and
+this one keeps passages that many documents share from being branches. In a branch:
 
 1. Equal sets are one class from the start; only their least document goes on.
 2. The members of a branch are compared with a pivot: first the summed coordinate
    minima of their count vectors, then, for pairs that survive, the sets. Verified
-   links give components. This is repeated with other pivots while branches hold
-   more than one component, `ROUNDS` times at most, so that a large group of near
-   copies becomes one component without all its pairs.
+   links give components. This is repeated with other pivots, `ROUNDS` times at most,
+   as long as that finds many links, so that a large group of near copies becomes
+   one component without all its pairs.
 3. What is left of a branch, that is members of different components, goes through
    an R-tree: all pairs of different components that its bounds can't rule out are
    verified. Branches are cut in bands of sizes and blocks of `BLOCK_ROWS` members;
@@ -34,19 +36,60 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.blocks import blocks, mix
+from gleaner.llm.blocks import blocks, mix, tidy, tidy_group
 from gleaner.llm.components import components
-from gleaner.llm.rtree import CountTree, count_vector, least_overlap
+from gleaner.llm.rtree import count_vector, forest_pairs, least_overlap, vector_of, vectors_of
 from gleaner.llm.shingles import shingle_sets
 from gleaner.sources.tables import broadcast_if_small, written
 
 ROUNDS, BLOCK_ROWS = 4, 1024
+COUNTER_BITS, SLICES = 21, 16
+COUNTERS = 1 << COUNTER_BITS
 SMALL = 16 << 20
 
 
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def frequency_classes(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """For each bucket of shingles 0, or the logarithm of how far its count is
+    above the mean, where it is above what chance makes of rare shingles. Tasks send `COUNTERS` numbers each, which are added in two steps."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for b in blocks(batch.column(0)):
+                total += np.bincount(_bucket(np.concatenate(shingle_sets(b))), minlength=COUNTERS)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES)), pa.array([x.astype("<u4").tobytes() for x in np.split(total, SLICES)], pa.binary())], names=["slice", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        # a task sends 32 bits a counter, sums have 64
+        parts = [x.as_py() for x in table["counts"]]
+        total = sum(np.frombuffer(x, f"<u{len(x) * SLICES // COUNTERS}").astype("<i8") for x in parts)
+        return pa.table({"slice": table["slice"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "slice long, counts binary"
+    rows = docs.select(F.col(text).cast("string")).mapInArrow(tidy(count), kind)
+    rows = rows.groupBy("slice", F.floor(F.spark_partition_id() / 256)).applyInArrow(tidy_group(add), kind).groupBy("slice").applyInArrow(tidy_group(add), kind)
+    total = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
+    for i, counts in rows.collect():
+        total[i] = np.frombuffer(counts, "<i8")
+    total = total.ravel()
+    mean = total.mean()
+    noise = mean + 6 * np.sqrt(mean) + 16  # what buckets of rare shingles hold at most
+    return np.where(total > noise, 1 + np.log2(np.maximum(total, 1) / max(mean, 1)), 0).astype(np.uint8)
+
+
 def profiles(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """id, n (size of the set), s1 and s2 (128 bits of it), branches (its first
     shingles), counts (its count vector) of each row."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, text))
+
+    def first_of(s: np.ndarray) -> np.ndarray:
+        classes = shared.value[_bucket(s)]
+        return (s[np.argsort(classes, kind="stable")] if classes.any() else s)[: len(s) // 5 + 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,10 +98,10 @@ def profiles(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 n = np.array([len(s) for s in sets])
                 s1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
                 s2 = np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
-                first = [s[: len(s) // 5 + 1] for s in sets]
+                first = [first_of(s) for s in sets]
                 at = np.cumsum([0, *map(len, first)])
                 branches = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
-                counts = pa.array([count_vector(s).astype("<u2" if len(s) < 65536 else "<u4").tobytes() for s in sets], pa.binary())
+                counts = pa.array([count_vector(s) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(b.lo, b.hi - b.lo), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), branches, counts],
                     names=["id", "n", "s1", "s2", "branches", "counts"],
@@ -66,7 +109,7 @@ def profiles(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, branches array<long>, counts binary")
+    return rows.mapInArrow(tidy(run), f"id {kind}, n long, s1 long, s2 long, branches array<long>, counts binary")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -80,11 +123,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, text: str = "text", key: str = "doc
                 )
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(broadcast_if_small(ids, SMALL), "id", "left_semi")
-    return rows.mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, shingles binary")
-
-
-def _vector(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if n < 65536 else "<u4")
+    return rows.mapInArrow(tidy(run), f"id {docs.schema[key].dataType.simpleString()}, shingles binary")
 
 
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -97,13 +136,13 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
             need = least_overlap(n, m)
             left, right = batch.column("c1"), batch.column("c2")
             for i in np.flatnonzero(fits):
-                fits[i] = np.minimum(_vector(left[i].as_py(), n[i]), _vector(right[i].as_py(), m[i])).sum() >= need[i]
+                fits[i] = np.minimum(vector_of(left[i].as_py()), vector_of(right[i].as_py())).sum() >= need[i]
             yield batch.select(["a", "b"]).filter(pa.array(fits))
 
     kind = pairs.schema["a"].dataType.simpleString()
     one, two = (points.select(F.col("id").alias(x), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}")) for k, x in ((1, "a"), (2, "b")))
     close = pairs.join(two, "b").join(one, "a").select("a", "b", "n1", "n2", "c1", "c2")
-    return close.mapInArrow(run, f"a {kind}, b {kind}")
+    return close.mapInArrow(tidy(run), f"a {kind}, b {kind}")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -121,36 +160,68 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     kind = pairs.schema["a"].dataType.simpleString()
     one, two = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{k}")) for k, x in ((1, "a"), (2, "b")))
     full = pairs.join(two, "b").join(one, "a").select("a", "b", "s1", "s2")
-    return full.mapInArrow(run, f"a {kind}, b {kind}")
+    return full.mapInArrow(tidy(run), f"a {kind}, b {kind}")
 
 
 def tree_pairs(members: DataFrame) -> DataFrame:
     """a < b: pairs of different components in a branch, by R-trees. `members`:
-    branch, id, n, counts, component."""
-    band = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
-    rows = members.withColumn("own", band)
+    branch, id, n, counts, component. A pair that meets in several branches is
+    told by the least of them (rows know the branches below their own), and in the
+    band of its smaller set."""
+    others = members.groupBy("id").agg(F.sort_array(F.collect_set("branch")).alias("branches"))
+    own = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
+    rows = members.join(others, "id").withColumn("own", own)
     rows = rows.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1)))
     sizes = rows.groupBy("branch", "band").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"), F.count_distinct("component").alias("k"))
     sizes = written(sizes.filter("k > 1").drop("k"), "trees")
-    rows = rows.join(sizes, ["branch", "band"])
+    rows = rows.join(broadcast_if_small(sizes, SMALL), ["branch", "band"])
     part = F.pmod(F.hash("id"), F.col("parts"))
     rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("branch", "band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "id", "n", "counts", "component")
-    order = ["branch", "band", "p", "q"]
+    rows = rows.select("branch", "band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "own", "id", "n", "counts", "component", F.filter("branches", lambda x: x < F.col("branch")).alias("branches"))
     kind = members.schema["id"].dataType.simpleString()
 
-    def near(table: pa.Table) -> pa.Table:
-        ids, comp, n = (table[x].to_numpy() for x in ("id", "component", "n"))
-        vectors = np.stack([_vector(c.as_py(), k) for c, k in zip(table["counts"], n, strict=True)])
-        a, b = [], []
-        for i, found in CountTree(vectors, n).pairs():
-            found = found[comp[found] != comp[i]]
-            a.append(np.minimum(ids[found], ids[i]))
-            b.append(np.maximum(ids[found], ids[i]))
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": a, "b": b}).cast(pa.schema([("a", table.schema.field("id").type), ("b", table.schema.field("id").type)]))
-
-    return rows.groupBy(*order).applyInArrow(near, f"a {kind}, b {kind}").distinct()
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            heads = _heads(held)
+            if heads[-1]:  # the last tree may go on
+                yield told(held.slice(0, heads[-1]), heads[:-1])
+                held = held.slice(heads[-1])
+        if held is not None and held.num_rows:
+            yield told(held, _heads(held))
+
+    def told(table: pa.Table, heads: np.ndarray) -> pa.RecordBatch:
+        ids, comp, own, part, band, p, q = (table[x].to_numpy() for x in ("id", "component", "own", "part", "band", "p", "q"))
+        vectors, branches = vectors_of(table["counts"].combine_chunks()), table["branches"].combine_chunks()
+        lists, a, b = {}, [], []
+        for tree, i, j in forest_pairs(vectors, table["n"].to_numpy(), heads):
+            # pairs inside a block are told by the block's own tree
+            keep = (comp[i] != comp[j]) & (np.minimum(own[i], own[j]) == band[i]) & ((p[i] == q[i]) | (part[i] != part[j]))
+            i, j = tree.fine(i[keep], j[keep])
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                for k in (x, y):
+                    if k not in lists:
+                        lists[k] = frozenset(branches[k].as_py())
+                if lists[x].isdisjoint(lists[y]):
+                    a.append(min(ids[x], ids[y]))
+                    b.append(max(ids[x], ids[y]))
+        kept = table.schema.field("id").type
+        return pa.RecordBatch.from_arrays([pa.array(np.array(x, ids.dtype), kept) for x in (a, b)], names=["a", "b"])
+
+    keys = ["branch", "band", "p", "q"]
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(tidy(near), f"a {kind}, b {kind}").distinct()
+
+
+def _heads(table: pa.Table) -> np.ndarray:
+    """Where trees begin in rows that are sorted by tree."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for x in ("branch", "band", "p", "q"):
+        c = table[x].to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
 def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -174,31 +245,41 @@ def join_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     shared = branches.groupBy("branch").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("members")).filter("pivot != last")
     shared = written(shared.drop("last"), "branches")
     members = written(branches.join(shared, "branch"), "members")
-
-    links = [copies.select("a", "b")]
-    sets = None
-    vectors = points.select("id", "n", "counts")
-    for turn in range(ROUNDS + 1):
-        if turn:
-            labels = components(reduce(DataFrame.union, links))
-            own = labelled(members.filter("members > 2").select("branch", "id"), labels)
-            pick = F.struct(F.xxhash64("id", F.lit(turn)), "id", "component") if turn < ROUNDS else F.lit(None)
-            mixed = own.groupBy("branch").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(pick).alias("pick"))
-            mixed = written(mixed.filter("low != high").drop("low", "high"), "mixed")
-            own = written(own.join(broadcast_if_small(mixed, SMALL), "branch"), "own")
-        if not turn:
-            pairs = members.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-        elif turn < ROUNDS:
-            pairs = own.filter("pick.component != component").select(F.least("pick.id", "id").alias("a"), F.greatest("pick.id", "id").alias("b"))
-        else:
-            pairs = tree_pairs(own.drop("pick").join(vectors, "id"))
-        pairs = pairs.groupBy("a", "b").agg(F.lit(1).alias("_one")).select("a", "b")
-        pairs = written(bounded(pairs, vectors) if turn < ROUNDS else pairs, "pairs")
-        if pairs.isEmpty():
-            continue
+    # branches with the same members ask the same questions: one of each kind is enough
+    kinds = members.groupBy("branch").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"), F.count("*").alias("k"))
+    kept = written(kinds.groupBy("x", "y", "k").agg(F.min("branch").alias("branch")).select("branch"), "kinds")
+    members = written(members.join(broadcast_if_small(kept, SMALL), "branch", "left_semi"), "members")
+
+    def verify(pairs: DataFrame) -> tuple[DataFrame, int, int]:
+        pairs = written(pairs, "pairs")
+        tried = pairs.count()
         involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = written(sets_of(docs, involved, text, key), "sets")
-        links.append(written(verified(pairs, sets), "links"))
+        found = written(verified(pairs, written(sets_of(docs, involved, text, key), "sets")), "links") if tried else pairs
+        return found, tried, found.count()
+
+    def mixed() -> DataFrame:
+        """Members of branches with several components, and a pivot of each branch."""
+        own = labelled(members.filter("members > 2").select("branch", "id"), components(reduce(DataFrame.union, links)))
+        pick = F.min(F.struct(F.xxhash64("id", F.lit(len(links))), "id", "component"))
+        several = own.groupBy("branch").agg(F.min("component").alias("low"), F.max("component").alias("high"), pick.alias("pick"))
+        several = written(several.filter("low != high").select("branch", "pick"), "mixed")
+        return written(own.join(broadcast_if_small(several, SMALL), "branch"), "own")
+
+    distinct = lambda pairs: pairs.groupBy("a", "b").agg(F.lit(1).alias("_one")).select("a", "b")
+    vectors = points.select("id", "n", "counts")
+    pairs = members.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    links = [copies.select("a", "b")]
+    found, tried, good = verify(bounded(distinct(pairs), vectors))
+    links.append(found)
+    rest = mixed()
+    for _ in range(ROUNDS - 1):
+        pairs = rest.filter("pick.component != component").select(F.least("pick.id", "id").alias("a"), F.greatest("pick.id", "id").alias("b"))
+        found, tried, good = verify(bounded(distinct(pairs), vectors))
+        links.append(found)
+        if good * 4 < tried or not tried:
+            break  # what these few links join may be compared once more
+        rest = mixed()
+    links.append(verify(tree_pairs(rest.drop("pick").join(vectors, "id")))[0])
     labels = components(reduce(DataFrame.union, links))
     out = rows.select("id", "n").join(broadcast_if_small(labels, SMALL), rows["id"] == labels["node"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -273,6 +273,8 @@ def codec(path: str) -> Codec:
     return _once(f"codec {path}", lambda: Codec(path))
 
 
+BLOCK = 1 << 18  # bytes of text at a time; code points and symbols take about 60 times as much
+
 # --- operators -------------------------------------------------------------
 
 
@@ -284,7 +286,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for b in blocks(batch.column(len(keep))):
+            for b in blocks(batch.column(len(keep)), BLOCK):
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in c.encode(b.data, b.offsets)]
                 sizes = np.cumsum([0, *map(len, ids)])
                 ends = [c.offsets(x)[1:].astype(np.int32) for x in ids]
@@ -292,6 +294,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] =
                 own = batch.slice(b.lo, b.hi - b.lo).columns[: len(keep)]
                 more = {"decoded": pa.array([c.decode(x).decode() for x in ids], pa.string())} if decoded else {}
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(sizes)), *lists, *more.values()], names=[*keep, "n_tokens", "ids", "ends", *more])
+        c.merged.clear()
 
     taken = df.select(*keep, F.col(text).cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1])
@@ -320,13 +323,14 @@ def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for b in blocks(batch.column(1)):
+            for b in blocks(batch.column(1), BLOCK):
                 rows = []
                 for ids in c.encode(b.data, b.offsets):
                     decoded = c.decode(np.frombuffer(ids, "<u4"))
                     rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
                 columns = [pa.array(list(x)) for x in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.hi - b.lo), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.merged.clear()
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(

@@ -242,6 +242,15 @@ def join_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     points = known.join(broadcast_if_small(copies.select(F.col("a").alias("id")).distinct(), SMALL), "id", "left_anti")
     branches = points.select("id", F.explode("branches").alias("branch"))
+    repeated = written(known.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id"), "repeated")
+    again = not repeated.isEmpty()
+    if again:  # each set of an id is one point, and each id one member of a branch
+        ids = broadcast_if_small(repeated, SMALL)
+        own = known.join(ids, "id", "left_semi").join(classes, ["s1", "s2", "n"], "left").filter("least is null or id = least").drop("least")
+        own = written(own.dropDuplicates(["id", "s1", "s2", "n"]), "repeated-points")
+        points, branches = points.join(ids, "id", "left_anti"), branches.join(ids, "id", "left_anti")
+        points = points.unionByName(own)
+        branches = branches.union(own.select("id", F.explode("branches").alias("branch")).distinct())
     shared = branches.groupBy("branch").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("members")).filter("pivot != last")
     shared = written(shared.drop("last"), "branches")
     members = written(branches.join(shared, "branch"), "members")
@@ -254,7 +263,8 @@ def join_components(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         pairs = written(pairs, "pairs")
         tried = pairs.count()
         involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        found = written(verified(pairs, written(sets_of(docs, involved, text, key), "sets")), "links") if tried else pairs
+        sets = sets_of(docs, involved, text, key)
+        found = written(verified(pairs, written(sets.dropDuplicates() if again else sets, "sets")), "links") if tried else pairs
         return found, tried, found.count()
 
     def mixed() -> DataFrame:

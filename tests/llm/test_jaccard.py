@@ -76,6 +76,23 @@ def test_components_against_brute_force(spark, monkeypatch, rounds, block_rows):
     assert len({c for _, c in want.values()}) < len(rows) - 100
 
 
+def test_repeated_rows_and_ids_with_several_texts(spark):
+    rng = random.Random(6)
+    pairs = []
+    for k in range(12):
+        base = prose(rng, 120).split(" ")
+        pairs += [(2 * k, " ".join(base)), (2 * k + 1, edited(rng, base, 1))]
+    df = spark.createDataFrame(pairs + pairs, "doc_id BIGINT, text STRING")
+    got = [(r.doc_id, r.component_id) for r in jaccard.join_components(df).collect()]
+    want = {i: c for i, (_, c) in slow(pairs).items()}
+    assert len(got) == 48 and dict(got) == want and set(want.values()) == set(range(0, 24, 2))
+
+    # 100 has a copy of 0's text and a near copy of 3's pair: it links both
+    several = pairs + [(100, pairs[0][1]), (100, edited(rng, pairs[3][1].split(" "), 1))]
+    got = {r.doc_id: r.component_id for r in jaccard.join_components(spark.createDataFrame(several, df.schema)).collect()}
+    assert got[100] == got[0] == got[1] == got[2] == got[3] == 0 and got[5] == 4
+
+
 def test_shingle_hashes_tell_the_same_sets_apart():
     texts = [t for _, t in documents()]
     found = [s for b in blocks(pa.array(texts), 2000) for s in shingle_sets(b)]

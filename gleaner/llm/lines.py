@@ -7,6 +7,8 @@ that shows up in enough documents, the most frequent word of every place makes
 the leaf's template; a line with at least `SIMILAR` of its words in these places
 belongs to it, and the places where such lines differ are its variable fields.
 Any other line is a template of its own, with `<*>` for its words with digits.
+Lines that are left over, as no template of theirs recurs, are parted further by
+frequent words at later places, and each part has a template in the same way.
 
 A template found in `min_docs` documents or more recurs. The document of the
 smallest id keeps its lines of that template, all other documents lose theirs:
@@ -79,15 +81,59 @@ def recurring(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs
     same = F.size(F.filter(F.zip_with("_words", "_places", lambda a, b: a == b), lambda x: x))
     member = ~F.col("_several") | (same >= F.lit(similar) * F.size("_words"))
     own = F.when(member, F.lit(0)).otherwise(F.xxhash64("_words"))
-    found = written(joined.select("__id", "__sum", "_at", "_leaf", own.alias("_own")), "templates")
-    recurs = (
-        found.groupBy("_leaf", "_own", "__id").agg(F.lit(1).alias("_one"))
-        .groupBy("_leaf", "_own").agg(F.count("*").alias("_docs"), F.min("__id").alias("_first"))
+    found = written(joined.select("__id", "__sum", "_at", "_leaf", own.alias("_own"), F.when(~member, F.col("_words")).alias("_words")), "templates")
+    recurs = written(in_enough(found, ["_leaf", "_own"], min_docs), "recurring")
+    dropped = later(found, recurs, ["_leaf", "_own"])
+    rest = found.filter("_words is not null").join(broadcast_if_small(recurs.select("_leaf", "_own")), ["_leaf", "_own"], "left_anti")
+    for more in further_templates(rest, min_docs, depth, similar):
+        dropped = dropped.unionByName(more)
+    return written(dropped.groupBy("__id", "__sum").agg(F.collect_set("_at").alias("__drop")), "drops")
+
+
+def in_enough(found: DataFrame, template: list[str], min_docs: int) -> DataFrame:
+    """Templates found in enough documents, with the first of these."""
+    return (
+        found.groupBy(*template, "__id").agg(F.lit(1).alias("_one"))
+        .groupBy(*template).agg(F.count("*").alias("_docs"), F.min("__id").alias("_first"))
         .filter(F.col("_docs") >= min_docs)
-        .select("_leaf", "_own", "_first")
+        .select(*template, "_first")
     )
-    dropped = found.join(broadcast_if_small(written(recurs, "recurring")), ["_leaf", "_own"]).filter(F.col("__id") != F.col("_first"))
-    return written(dropped.groupBy("__id", "__sum").agg(F.collect_set("_at").alias("__drop")), "drops")
+
+
+def later(found: DataFrame, recurs: DataFrame, template: list[str]) -> DataFrame:
+    """__id, __sum, _at of lines outside the first document of their template."""
+    return found.join(broadcast_if_small(recurs), template).filter(F.col("__id") != F.col("_first")).select("__id", "__sum", "_at")
+
+
+def further_templates(rest: DataFrame, min_docs: int, depth: int, similar: float) -> list[DataFrame]:
+    """Lines to drop by further templates of a leaf. What is left of a leaf is
+    parted, line by line, by the most frequent word (place and word, no `<*>`) that
+    it holds and wasn't parted by before; each part has a template of its own. What
+    is left of the parts goes on, as long as it shows up in enough documents."""
+    line = ["__id", "__sum", "_at"]
+    out: list[DataFrame] = []
+    rest = rest.select(*line, "_leaf", "_words").dropDuplicates([*line])
+    rest = rest.withColumn("_used", F.array().cast("array<int>"))
+    while True:
+        enough = written(in_enough(rest, ["_leaf"], min_docs).select("_leaf"), "leaves-left")
+        if enough.isEmpty():
+            return out
+        rest = written(rest.join(broadcast_if_small(enough), "_leaf", "left_semi"), "lines-left")
+        words_of = rest.select(*line, "_leaf", "_used", F.posexplode("_words").alias("_place", "_word"))
+        words_of = words_of.filter((F.col("_place") >= depth) & (F.col("_word") != "<*>") & ~F.array_contains("_used", F.col("_place")))
+        frequent = written(words_of.groupBy("_leaf", "_place", "_word").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_docs), "frequent")
+        pick = words_of.join(broadcast_if_small(frequent), ["_leaf", "_place", "_word"]).groupBy(*line).agg(F.max(F.struct("_n", -F.col("_place"), "_word")).alias("_pick"))
+        place = -F.col("_pick").getField("col2")
+        parts = rest.join(pick, line).select(*line, F.xxhash64("_leaf", place, "_pick._word").alias("_leaf"), "_words", F.array_append("_used", place).alias("_used"))
+        parts = written(parts, "parts")
+        modes = leaf_templates(parts.withColumn("_several", F.lit(True)))
+        same = F.size(F.filter(F.zip_with("_words", "_places", lambda a, b: a == b), lambda x: x))
+        parts = written(parts.join(modes, "_leaf").withColumn("_member", same >= F.lit(similar) * F.size("_words")).drop("_places"), "parts")
+        members = parts.filter("_member")
+        recurs = written(in_enough(members, ["_leaf"], min_docs), "recurring")
+        out.append(later(members, recurs, ["_leaf"]))
+        taken = recurs.select("_leaf", F.lit(True).alias("_taken"))
+        rest = parts.join(broadcast_if_small(taken), "_leaf", "left").filter("not (_member and coalesce(_taken, false))").select(*line, "_leaf", "_words", "_used")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", dropped: str = "n_dropped", **parameters) -> DataFrame:

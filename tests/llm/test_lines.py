@@ -26,6 +26,16 @@ def test_different_lines_of_a_leaf_stay(spark):
     assert all(n == 0 for _, n in kept(spark, rows).values())
 
 
+def test_several_templates_of_a_leaf(spark):
+    names = "bob ann eve joe kim lea max ned".split()
+    forms = ["user {} logged in", "disk {} is full", "host {} went down"]
+    rows = [(8 * k + i, f"2024-01-0{i + 1} 10:00:0{i} {i} " + form.format(names[(i + k) % 8])) for k, form in enumerate(forms) for i in range(8 - k)]
+    got = kept(spark, rows, min_docs=6)
+    firsts = {0, 8, 16}
+    assert {i for i, (_, n) in got.items() if n == 0} == firsts
+    assert all(text == "" for i, (text, _) in got.items() if i not in firsts)
+
+
 def test_few_documents_and_repeats_inside_one(spark):
     assert all(n == 0 for _, n in kept(spark, [(1, "same line here\n" * 9), (2, "same line here")]).values())
 

@@ -6,7 +6,8 @@ columns of documents.
 
 1. quality: documents that the quality classifier rejects go. It learns from the
    labels whose crc32(doc_id) mod 5 is not 0.
-2. lines: recurring line templates go; documents that had words and are left with
+2. lines: recurring line templates go, and lines of 50 words and more that an
+   earlier document has as well; documents that had words and are left with
    none go as well.
 3. near_duplicates: of each component of linked documents the one with the least
    id stays. Of rows with equal ids the least row stays.
@@ -41,7 +42,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = lines.dedup_lines(docs, dropped="__dropped")
+    kept = lines.dedup_lines(docs, dropped="__dropped", long_docs=lines.LONG_DOCS)
     kept = kept.filter((F.col("__dropped") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
     return kept.withColumn("n_chars", F.when(F.col("__dropped") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(docs.columns)
 

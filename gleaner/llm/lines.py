@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gleaner.sources.tables import broadcast_if_small, written
 
 DEPTH, SIMILAR, MIN_DOCS = 3, 0.7, 8
+LONG_DOCS, LONG_WORDS = 2, 50
 
 _BLANKS = " \t\r\f\x0B"
 
@@ -72,8 +73,9 @@ def shared_leaves(lines: DataFrame, min_docs: int) -> DataFrame:
     )
 
 
-def recurring(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
-    """__id, __sum, __drop: places of the lines that a text loses."""
+def recurring(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR, long_docs: int | None = None, long_words: int = LONG_WORDS) -> DataFrame:
+    """__id, __sum, __drop: places of the lines that a text loses. `long_docs`: in so
+    many documents an equal line of `long_words` words or more recurs."""
     lines = line_table(docs, text, key, depth)
     shared = written(shared_leaves(lines.select("_leaf", F.xxhash64("_words").alias("_line"), "__id"), min_docs), "leaves")
     lines = written(lines.join(broadcast_if_small(shared), "_leaf"), "lines")
@@ -87,6 +89,8 @@ def recurring(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs
     rest = found.filter("_words is not null").join(broadcast_if_small(recurs.select("_leaf", "_own")), ["_leaf", "_own"], "left_anti")
     for more in further_templates(rest, min_docs, depth, similar):
         dropped = dropped.unionByName(more)
+    if long_docs:
+        dropped = dropped.unionByName(repeated_long_lines(docs, text, key, long_words, long_docs))
     return written(dropped.groupBy("__id", "__sum").agg(F.collect_set("_at").alias("__drop")), "drops")
 
 
@@ -136,6 +140,18 @@ def further_templates(rest: DataFrame, min_docs: int, depth: int, similar: float
         rest = parts.join(broadcast_if_small(taken), "_leaf", "left").filter("not (_member and coalesce(_taken, false))").select(*line, "_leaf", "_words", "_used")
 
 
+def repeated_long_lines(docs: DataFrame, text: str, key: str, least_words: int, min_docs: int) -> DataFrame:
+    """__id, __sum, _at of long lines that equal a line of an earlier document word
+    for word, numbers too, and stand in enough documents."""
+    lines = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(key).alias("__id"), F.xxhash64(F.col(text)).alias("__sum"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("_at", "_line")
+    )
+    lines = lines.filter(F.length("_line") >= 2 * least_words - 1).select("__id", "__sum", "_at", words(F.col("_line")).alias("_words"))
+    lines = lines.filter(F.size("_words") >= least_words).select("__id", "__sum", "_at", F.xxhash64("_words").alias("_leaf"), F.xxhash64(F.lit(1), "_words").alias("_own"))
+    lines = written(lines, "long-lines")
+    return later(lines, written(in_enough(lines, ["_leaf", "_own"], min_docs), "recurring"), ["_leaf", "_own"])
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", dropped: str = "n_dropped", **parameters) -> DataFrame:
     """All rows and columns of `docs`; the text without recurring lines, and the
     column `dropped` with their number (a column of that name is replaced)."""

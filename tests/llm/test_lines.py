@@ -36,6 +36,16 @@ def test_several_templates_of_a_leaf(spark):
     assert all(text == "" for i, (text, _) in got.items() if i not in firsts)
 
 
+def test_long_lines_recur_from_two_documents(spark):
+    for k in (2, 3, 7):
+        long = " ".join(f"word{i}" for i in range(50))
+        rows = [(i, f"own {'abcdefg'[i]}\n{long}\nshort line of some words") for i in range(k)] + [(20, long.replace("word7 ", "word8 "))]
+        got = kept(spark, rows, min_docs=9, long_docs=2)
+        assert got[0] == (rows[0][1], 0) and got[20] == (rows[-1][1], 0)
+        assert all(got[i] == (f"own {'abcdefg'[i]}\nshort line of some words", 1) for i in range(1, k))
+        assert all(n == 0 for _, n in kept(spark, rows, min_docs=9).values())
+
+
 def test_few_documents_and_repeats_inside_one(spark):
     assert all(n == 0 for _, n in kept(spark, [(1, "same line here\n" * 9), (2, "same line here")]).values())
 

@@ -98,9 +98,9 @@ def rows_of(positions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, positions, side="right") - 1
 
 
-def word_bounds(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs of bytes that are no ASCII white space)."""
-    inside = ~SPACE[block.data]
+def word_bounds(block: Block, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes that are no ASCII white space, or not in `outside`)."""
+    inside = ~outside[block.data]
     n = len(inside)
     if not n:
         none = np.zeros(0, np.int64)

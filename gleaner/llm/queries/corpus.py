@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import jaccard, langid, lines, mixing, quality, substrings
+from gleaner.llm import jaccard, langid, lines, mixing, phrases, quality, substrings
 from gleaner.llm.queries.registry import query, table
 
 # rows without an id are never learned from
@@ -142,3 +142,42 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_dedup")
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
+
+
+PHRASES_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, '{phrases.UNKNOWN}') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), split AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS words FROM pieces
+), grams AS (
+  SELECT lang, k, unnest([words[i : i + k - 1] FOR i IN range(1, len(words) - k + 2)]) AS gram
+  FROM split, (SELECT unnest([1, 2, 3]) AS k)
+), counted AS (SELECT lang, k, gram, count(*)::HUGEINT AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM counted WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT lang, k, gram, array_to_string(gram, ' ') AS phrase, f FROM counted WHERE f >= {phrases.LEAST}),
+halves AS (
+  SELECT lang, gram, phrase, f AS a, cut, array_to_string(gram[1:cut], ' ') AS head, array_to_string(gram[cut + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM frequent)
+), cuts AS (
+  SELECT h.*, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score
+  FROM halves h JOIN frequent x ON x.lang = h.lang AND x.phrase = h.head JOIN frequent y ON y.lang = h.lang AND y.phrase = h.tail
+), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_pairs AS (
+  SELECT lang, unnest([array_to_string(gram[1:2], ' '), array_to_string(gram[2:3], ' ')]) AS phrase, f FROM frequent WHERE k = 3
+), longer AS (SELECT lang, phrase, max(f) AS f FROM inner_pairs GROUP BY lang, phrase),
+ranked AS (
+  SELECT c.lang, c.phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank
+  FROM lowest c LEFT JOIN longer i ON i.lang = c.lang AND i.phrase = c.phrase
+  WHERE i.f IS NULL OR 100 * i.f < {phrases.COVERED} * a
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= {phrases.TOP}
+"""
+
+
+@query("op13_phrases", PHRASES_SQL)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))

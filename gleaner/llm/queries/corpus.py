@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import jaccard, langid, lines, mixing, phrases, quality, substrings
+from gleaner.llm import jaccard, langid, lines, mixing, phrases, quality, sketches, substrings
 from gleaner.llm.queries.registry import query, table
 
 # rows without an id are never learned from
@@ -181,3 +181,8 @@ FROM ranked JOIN totals USING (lang) WHERE rank <= {phrases.TOP}
 @query("op13_phrases", PHRASES_SQL)
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_sketches")
+def op12_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.digests(table(spark, sf_dir, "documents"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import jaccard, langid, lines, mixing, phrases, quality, sketches, substrings
+from gleaner.llm import jaccard, langid, lines, mixing, phrases, quality, sketches, substrings, tour
 from gleaner.llm.queries.registry import query, table
 
 # rows without an id are never learned from
@@ -186,3 +186,51 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_sketches")
 def op12_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.digests(table(spark, sf_dir, "documents"))
+
+
+# crc32 of the ASCII characters of x, bit by bit
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(x, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda v, none: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT)"""
+
+TOUR_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS said, strlen(coalesce(text, ''))::BIGINT AS bytes,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, {_CRC.replace("string_split(x, '')", "string_split(conv_id::VARCHAR, '')")} % {tour.MOST_SHARED} AS h FROM turns GROUP BY conv_id
+), joined AS (
+  SELECT c.conv_id, 0 AS part, place, said, bytes FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % {tour.GROUP} AND t.place <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1 AS part, place, said, bytes FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.place > c.h
+), paths AS (
+  SELECT conv_id, row_number() OVER o AS depth, bytes, md5(string_agg(said, '') OVER o) AS path
+  FROM joined WINDOW o AS (PARTITION BY conv_id ORDER BY part, place)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), nodes AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM paths GROUP BY depth, path
+), up AS (
+  SELECT DISTINCT p.depth, p.path, a.path AS parent FROM paths p JOIN paths a ON a.conv_id = p.conv_id AND a.depth = p.depth - 1
+), sizes AS (
+  SELECT n.*, up.parent, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN up USING (depth, path)
+  LEFT JOIN (SELECT depth - 1 AS depth, parent AS path, count(*) AS n FROM up GROUP BY ALL) k USING (depth, path)
+), above AS (
+  SELECT DISTINCT a.depth, a.path, p.depth AS d, p.path AS p FROM paths a JOIN paths p ON a.conv_id = p.conv_id AND p.depth >= a.depth
+), sums AS (
+  SELECT above.depth, above.path, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * bytes) AS saved_tokens
+  FROM above JOIN sizes s ON s.depth = d AND s.path = p GROUP BY ALL
+), ends AS (
+  SELECT depth, path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT * FROM paths QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) GROUP BY depth, path
+)
+SELECT n.conv_id, depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+  sha256(coalesce(ids, '')) AS ends_sha256
+FROM sizes n JOIN sums USING (depth, path) LEFT JOIN ends USING (depth, path)
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.parent
+"""
+
+
+@query("op11_prefix_trie", TOUR_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tour.prefix_trie(table(spark, sf_dir, "conversations"))

@@ -7,10 +7,16 @@ that shows up in enough documents, the most frequent word of every place makes
 the leaf's template; a line with at least `SIMILAR` of its words in these places
 belongs to it, and the places where such lines differ are its variable fields.
 Any other line is a template of its own, with `<*>` for its words with digits.
-Lines that are left over, as no template of theirs recurs, are parted further by
-frequent words at later places, and each part has a template in the same way.
 
-A template found in `min_docs` documents or more recurs. The document of the
+A leaf may hold several templates. Of its lines whose template doesn't recur, the
+words that are frequent at their place are taken as fixed; lines with the same fixed words
+are one template, if these, the leading words and the `<*>` are `SIMILAR` of all. What is
+still left is tried with one fixed word fewer, as a field may have frequent values: a line
+joins a template found before, or goes to the one that most documents left share. Each of these steps is one
+grouping, so the number of jobs doesn't depend on the lines.
+
+A template found in `min_docs` documents or more recurs; a line of `long_words` words or more
+recurs if it is found word for word, digits too, in `long_docs`. The document of the
 smallest id keeps its lines of that template, all other documents lose theirs:
 nothing vanishes altogether, and copies of a text don't wipe each other out.
 
@@ -22,9 +28,11 @@ Columns of the input other than the text stay as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleaner.sources.tables import broadcast_if_small, written
+from gleaner.sources.tables import SMALL, broadcast_if_small, measured_bytes, written
 
 DEPTH, SIMILAR, MIN_DOCS = 3, 0.7, 8
 LONG_DOCS, LONG_WORDS = 2, 50
@@ -73,34 +81,46 @@ def shared_leaves(lines: DataFrame, min_docs: int) -> DataFrame:
     )
 
 
-def recurring(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR, long_docs: int | None = None, long_words: int = LONG_WORDS) -> DataFrame:
+LINE = ["__id", "__sum", "_at"]
+SALTS = 16
+
+
+def join_templates(lines: DataFrame, templates: DataFrame) -> DataFrame:
+    """Each line with the template of its leaf. Beyond the size of a broadcast, a leaf's lines
+    are dealt out by salts, as one leaf may hold a third of them."""
+    if measured_bytes(templates) <= SMALL:
+        return lines.join(F.broadcast(templates), "_leaf", "left")
+    salted = templates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("_salt", F.pmod(F.xxhash64(*LINE), F.lit(SALTS)).cast("int")).join(salted, ["_leaf", "_salt"], "left").drop("_salt")
+
+
+def recurring(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR, long_docs: int | None = LONG_DOCS, long_words: int = LONG_WORDS) -> DataFrame:
     """__id, __sum, __drop: places of the lines that a text loses. `long_docs`: in so
-    many documents an equal line of `long_words` words or more recurs."""
+    many documents an equal line of `long_words` words or more recurs (None: no such rule)."""
     lines = line_table(docs, text, key, depth)
     shared = written(shared_leaves(lines.select("_leaf", F.xxhash64("_words").alias("_line"), "__id"), min_docs), "leaves")
     lines = written(lines.join(broadcast_if_small(shared), "_leaf"), "lines")
-    joined = lines.join(leaf_templates(lines), "_leaf", "left")
+    joined = join_templates(lines, written(leaf_templates(lines), "modes"))
     same = F.size(F.filter(F.zip_with("_words", "_places", lambda a, b: a == b), lambda x: x))
     member = ~F.col("_several") | (same >= F.lit(similar) * F.size("_words"))
     own = F.when(member, F.lit(0)).otherwise(F.xxhash64("_words"))
-    found = written(joined.select("__id", "__sum", "_at", "_leaf", own.alias("_own"), F.when(~member, F.col("_words")).alias("_words")), "templates")
+    found = written(joined.select(*LINE, "_leaf", own.alias("_own"), F.when(F.col("_several"), F.col("_words")).alias("_words")), "templates")
     recurs = written(in_enough(found, ["_leaf", "_own"], min_docs), "recurring")
-    dropped = later(found, recurs, ["_leaf", "_own"])
     rest = found.filter("_words is not null").join(broadcast_if_small(recurs.select("_leaf", "_own")), ["_leaf", "_own"], "left_anti")
-    for more in further_templates(rest, min_docs, depth, similar):
-        dropped = dropped.unionByName(more)
+    drops = [later(found, recurs, ["_leaf", "_own"]), *further_templates(rest.drop("_own"), min_docs, depth, similar)]
     if long_docs:
-        dropped = dropped.unionByName(repeated_long_lines(docs, text, key, long_words, long_docs))
+        drops.append(repeated_long_lines(docs, text, key, long_words, long_docs))
+    dropped = reduce(DataFrame.unionByName, drops)
     return written(dropped.groupBy("__id", "__sum").agg(F.collect_set("_at").alias("__drop")), "drops")
 
 
-def in_enough(found: DataFrame, template: list[str], min_docs: int) -> DataFrame:
-    """Templates found in enough documents, with the first of these."""
+def in_enough(found: DataFrame, template: list[str], min_docs: int, kept: str = "_first") -> DataFrame:
+    """Templates found in enough documents, with the first of these (or their number, _docs)."""
     return (
         found.groupBy(*template, "__id").agg(F.lit(1).alias("_one"))
         .groupBy(*template).agg(F.count("*").alias("_docs"), F.min("__id").alias("_first"))
         .filter(F.col("_docs") >= min_docs)
-        .select(*template, "_first")
+        .select(*template, kept)
     )
 
 
@@ -110,34 +130,34 @@ def later(found: DataFrame, recurs: DataFrame, template: list[str]) -> DataFrame
 
 
 def further_templates(rest: DataFrame, min_docs: int, depth: int, similar: float) -> list[DataFrame]:
-    """Lines to drop by further templates of a leaf. What is left of a leaf is
-    parted, line by line, by the most frequent word (place and word, no `<*>`) that
-    it holds and wasn't parted by before; each part has a template of its own. What
-    is left of the parts goes on, as long as it shows up in enough documents."""
-    line = ["__id", "__sum", "_at"]
-    out: list[DataFrame] = []
-    rest = rest.select(*line, "_leaf", "_words").dropDuplicates([*line])
-    rest = rest.withColumn("_used", F.array().cast("array<int>"))
-    while True:
-        enough = written(in_enough(rest, ["_leaf"], min_docs).select("_leaf"), "leaves-left")
-        if enough.isEmpty():
-            return out
-        rest = written(rest.join(broadcast_if_small(enough), "_leaf", "left_semi"), "lines-left")
-        words_of = rest.select(*line, "_leaf", "_used", F.posexplode("_words").alias("_place", "_word"))
-        words_of = words_of.filter((F.col("_place") >= depth) & (F.col("_word") != "<*>") & ~F.array_contains("_used", F.col("_place")))
-        frequent = written(words_of.groupBy("_leaf", "_place", "_word").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_docs), "frequent")
-        pick = words_of.join(broadcast_if_small(frequent), ["_leaf", "_place", "_word"]).groupBy(*line).agg(F.max(F.struct("_n", -F.col("_place"), "_word")).alias("_pick"))
-        place = -F.col("_pick").getField("col2")
-        parts = rest.join(pick, line).select(*line, F.xxhash64("_leaf", place, "_pick._word").alias("_leaf"), "_words", F.array_append("_used", place).alias("_used"))
-        parts = written(parts, "parts")
-        modes = leaf_templates(parts.withColumn("_several", F.lit(True)))
-        same = F.size(F.filter(F.zip_with("_words", "_places", lambda a, b: a == b), lambda x: x))
-        parts = written(parts.join(modes, "_leaf").withColumn("_member", same >= F.lit(similar) * F.size("_words")).drop("_places"), "parts")
-        members = parts.filter("_member")
-        recurs = written(in_enough(members, ["_leaf"], min_docs), "recurring")
-        out.append(later(members, recurs, ["_leaf"]))
-        taken = recurs.select("_leaf", F.lit(True).alias("_taken"))
-        rest = parts.join(broadcast_if_small(taken), "_leaf", "left").filter("not (_member and coalesce(_taken, false))").select(*line, "_leaf", "_words", "_used")
+    """Lines to drop by further templates of a leaf: by all words that are frequent at their
+    place, then by all but one of them."""
+    rest = written(rest.dropDuplicates(LINE), "lines-left")
+    masks = F.size(F.filter(F.slice("_words", depth + 1, F.size("_words")), lambda w: w == "<*>"))
+    words_of = rest.select(*LINE, "_leaf", F.size("_words").alias("_n"), (masks + depth).alias("_sure"), F.posexplode("_words").alias("_place", "_word"))
+    words_of = words_of.filter((F.col("_place") >= depth) & (F.col("_word") != "<*>"))
+    frequent = words_of.groupBy("_leaf", "_place", "_word").count().filter(F.col("count") >= min_docs)
+    frequent = written(frequent.select("_leaf", "_place", "_word", F.xxhash64("_place", "_word").alias("_hash")), "frequent")
+    fixed = words_of.join(broadcast_if_small(frequent), ["_leaf", "_place", "_word"], "left")
+    one = F.when(F.col("_hash").isNotNull(), F.struct("_place", "_hash"))
+    parts = fixed.groupBy(*LINE, "_leaf", "_n", "_sure").agg(F.bit_xor(F.coalesce("_hash", F.lit(0))).alias("_own"), F.collect_list(one).alias("_fixed"))
+    alike = lambda fewer: F.col("_sure") + F.size("_fixed") - fewer >= F.lit(similar) * F.col("_n")
+    parts = written(parts.filter(alike(0)), "parts")
+    recurs = written(in_enough(parts, ["_leaf", "_own"], min_docs), "recurring")
+
+    left = parts.filter(alike(1)).join(broadcast_if_small(recurs.select("_leaf", "_own")), ["_leaf", "_own"], "left_anti")
+    fewer = left.select(*LINE, "_leaf", "_own", F.explode("_fixed").alias("_one"))
+    fewer = fewer.select(*LINE, "_leaf", F.col("_one._place").alias("_place"), F.col("_own").bitwiseXOR(F.col("_one._hash")).alias("_own"))
+    fewer = written(fewer, "parts-left")
+    joins = fewer.join(broadcast_if_small(recurs), ["_leaf", "_own"]).select(*LINE, "_first")
+    fewer = fewer.join(broadcast_if_small(joins.select(*LINE).distinct()), LINE, "left_anti")
+    shared = written(in_enough(fewer, ["_leaf", "_place", "_own"], min_docs, "_docs"), "shared")
+    most = F.max(F.struct("_docs", -F.col("_place"), "_own")).alias("_most")
+    picked = fewer.join(broadcast_if_small(shared), ["_leaf", "_place", "_own"]).groupBy(*LINE, "_leaf").agg(most)
+    picked = written(picked.select(*LINE, "_leaf", (-F.col("_most.col2")).alias("_place"), F.col("_most._own").alias("_own")), "picked")
+    again = in_enough(picked, ["_leaf", "_place", "_own"], min_docs)
+    joined = joins.filter("__id != _first").select(*LINE)
+    return [later(parts, recurs, ["_leaf", "_own"]), joined, later(picked, again, ["_leaf", "_place", "_own"])]
 
 
 def repeated_long_lines(docs: DataFrame, text: str, key: str, least_words: int, min_docs: int) -> DataFrame:

@@ -41,12 +41,58 @@ places AS (
   FROM places GROUP BY leaf, place, word
 ), modes AS (SELECT leaf, list(word ORDER BY place) AS modes FROM most WHERE r = 1 GROUP BY leaf),
 found AS (
-  SELECT doc_id, pos, CASE WHEN NOT several OR len(list_filter(list_zip(words, modes), lambda x: x[1] = x[2])) >= CAST({lines.SIMILAR} AS DOUBLE) * len(words)
+  SELECT doc_id, pos, leaf, words, several, CASE WHEN NOT several OR len(list_filter(list_zip(words, modes), lambda x: x[1] = x[2])) >= CAST({lines.SIMILAR} AS DOUBLE) * len(words)
     THEN leaf ELSE leaf || '/' || whole END AS template
   FROM candidates LEFT JOIN modes USING (leaf)
 ), recurs AS (
   SELECT template, min(doc_id) AS first FROM found GROUP BY template HAVING count(DISTINCT doc_id) >= {lines.MIN_DOCS}
-), dropped AS (SELECT doc_id, pos FROM found JOIN recurs USING (template) WHERE doc_id <> first),
+), rest AS (
+  SELECT doc_id, pos, leaf, words FROM found LEFT JOIN recurs USING (template) WHERE several AND first IS NULL
+), words_of AS (
+  SELECT * FROM (
+    SELECT doc_id, pos, leaf, len(words) AS n, {lines.DEPTH} + len(list_filter(words[{lines.DEPTH} + 1:], lambda x: x = '<*>')) AS sure,
+      unnest(words) AS word, generate_subscripts(words, 1) AS place FROM rest
+  ) WHERE place > {lines.DEPTH} AND word <> '<*>'
+), frequent AS (
+  SELECT leaf, place, word, place || ':' || word AS fixed FROM words_of GROUP BY leaf, place, word HAVING count(*) >= {lines.MIN_DOCS}
+), parts AS (
+  SELECT doc_id, pos, leaf, coalesce(list(fixed ORDER BY place) FILTER (fixed IS NOT NULL), []) AS fixed, sure, n
+  FROM words_of LEFT JOIN frequent USING (leaf, place, word) GROUP BY doc_id, pos, leaf, sure, n
+), alike AS (
+  SELECT *, leaf || '/' || array_to_string(fixed, ' ') AS part FROM parts WHERE sure + len(fixed) >= CAST({lines.SIMILAR} AS DOUBLE) * n
+), part_recurs AS (
+  SELECT part, min(doc_id) AS first FROM alike GROUP BY part HAVING count(DISTINCT doc_id) >= {lines.MIN_DOCS}
+), fewer AS (
+  SELECT doc_id, pos, leaf || '/' || array_to_string(list_concat(fixed[1:i - 1], fixed[i + 1:]), ' ') AS part,
+    string_split(fixed[i], ':')[1]::INT AS place
+  FROM (
+    SELECT a.*, unnest(range(1, len(fixed) + 1)) AS i FROM alike a LEFT JOIN part_recurs USING (part)
+    WHERE first IS NULL AND sure + len(fixed) - 1 >= CAST({lines.SIMILAR} AS DOUBLE) * n
+  )
+), joined_lines AS (
+  SELECT doc_id, pos, first FROM fewer JOIN part_recurs USING (part)
+), others AS (
+  SELECT * FROM fewer WHERE (doc_id, pos) NOT IN (SELECT (doc_id, pos) FROM joined_lines)
+), shared_parts AS (
+  SELECT part, place, count(DISTINCT doc_id) AS docs FROM others GROUP BY part, place HAVING docs >= {lines.MIN_DOCS}
+), picked AS (
+  SELECT doc_id, pos, part, place FROM others JOIN shared_parts USING (part, place)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY docs DESC, place) = 1
+), picked_recurs AS (
+  SELECT part, place, min(doc_id) AS first FROM picked GROUP BY part, place HAVING count(DISTINCT doc_id) >= {lines.MIN_DOCS}
+), long_lines AS (
+  SELECT doc_id, pos, array_to_string(words, ' ') AS whole
+  FROM (SELECT doc_id, pos, list_filter(string_split_regex(line, '{_SPACES}'), lambda x: x <> '') AS words FROM lines)
+  WHERE len(words) >= {lines.LONG_WORDS}
+), long_recurs AS (
+  SELECT whole, min(doc_id) AS first FROM long_lines GROUP BY whole HAVING count(DISTINCT doc_id) >= {lines.LONG_DOCS}
+), dropped AS (
+  SELECT doc_id, pos FROM found JOIN recurs USING (template) WHERE doc_id <> first
+  UNION SELECT doc_id, pos FROM alike JOIN part_recurs USING (part) WHERE doc_id <> first
+  UNION SELECT doc_id, pos FROM joined_lines WHERE doc_id <> first
+  UNION SELECT doc_id, pos FROM picked JOIN picked_recurs USING (part, place) WHERE doc_id <> first
+  UNION SELECT doc_id, pos FROM long_lines JOIN long_recurs USING (whole) WHERE doc_id <> first
+),
 gone AS (SELECT doc_id, list(pos) AS ats FROM dropped GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(ats), 0) AS BIGINT) AS n_dropped,
   md5(CASE WHEN ats IS NULL THEN text ELSE array_to_string([string_split(text, chr(10))[i] FOR i IN range(1, len(string_split(text, chr(10))) + 1) IF NOT list_contains(ats, i)], chr(10)) END) AS kept_md5

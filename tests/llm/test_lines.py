@@ -1,5 +1,8 @@
 """Line templates on small fixtures; the SQL twin is held against the sample tables."""
 
+import random
+from hashlib import md5
+
 from gleaner.llm import lines
 
 SCHEMA = "doc_id BIGINT, text STRING, _id STRING"
@@ -40,10 +43,52 @@ def test_long_lines_recur_from_two_documents(spark):
     for k in (2, 3, 7):
         long = " ".join(f"word{i}" for i in range(50))
         rows = [(i, f"own {'abcdefg'[i]}\n{long}\nshort line of some words") for i in range(k)] + [(20, long.replace("word7 ", "word8 "))]
-        got = kept(spark, rows, min_docs=9, long_docs=2)
+        got = kept(spark, rows, min_docs=9)
         assert got[0] == (rows[0][1], 0) and got[20] == (rows[-1][1], 0)
         assert all(got[i] == (f"own {'abcdefg'[i]}\nshort line of some words", 1) for i in range(1, k))
-        assert all(n == 0 for _, n in kept(spark, rows, min_docs=9).values())
+        assert all(n == 0 for _, n in kept(spark, rows, min_docs=9, long_docs=None).values())
+
+
+def in_duckdb(rows):
+    import duckdb
+
+    from gleaner.llm.queries import ORACLES
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    return {i: (n, md5) for i, n, md5 in con.execute(ORACLES["op4_line_templates"]).fetchall()}
+
+
+def test_twin_with_several_templates_of_a_leaf(spark):
+    rng = random.Random(9)
+    names = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
+    forms = ["user {} logged in again", "disk {} is full now", "host {} went down early", "link {} came up late", "node {} shut off soon"]
+    rows = []
+    for k, form in enumerate(forms):
+        for i in range(30 - 5 * k if k < 3 else 12):
+            # two names for the last forms: values of their field are frequent themselves
+            name = rng.choice(names) if k < 3 else names[i % 2]
+            rows.append((len(rows), f"own {'abcdefghij'[i % 10]}{k}\n10:00:0{i} {i} on {form.format(name)}\nend of entry" + " x" * (i % 3)))
+    rng.shuffle(rows)
+    got = {i: (n, md5(text.encode()).hexdigest()) for i, (text, n) in kept(spark, rows, min_docs=lines.MIN_DOCS).items()}
+    assert got == in_duckdb(rows)
+    firsts = [min(i for i, t in rows if form.split(" {}")[0] in t) for form in forms]
+    assert all("on " + form.split(" {}")[0] in dict(rows)[i] for i, form in zip(firsts, forms, strict=True))
+    assert sum(" on " in text for text, _ in kept(spark, rows, min_docs=lines.MIN_DOCS).values()) == len(forms)
+
+
+def test_number_of_tables_does_not_grow_with_lines(spark, monkeypatch):
+    rng, made = random.Random(1), []
+    count = lambda df, name, w=lines.written: (made.append(name), w(df, name))[1]
+    monkeypatch.setattr(lines, "written", count)
+    for n in (12, 48):
+        made.clear()
+        base = [f"w{chr(97 + i % 26)}" for i in range(n)]
+        rows = [(d, " ".join(w if i < 3 or rng.random() < 0.6 else "abc"[rng.randrange(3)] * 2 for i, w in enumerate(base))) for d in range(20)]
+        got = kept(spark, rows, min_docs=lines.MIN_DOCS)
+        assert len(made) <= 15
+        assert {i: (n, md5(t.encode()).hexdigest()) for i, (t, n) in got.items()} == in_duckdb(rows)
 
 
 def test_few_documents_and_repeats_inside_one(spark):

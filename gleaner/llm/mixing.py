@@ -4,7 +4,8 @@ Documents are leaves' rows of a tree: domain, then language, then source. A
 token budget is handed down from the root. Each node shares its budget among its
 children by integer weights; a child that can't use its share (its leaves hold
 too few tokens, over all `epochs`) keeps what it can use, and the rest goes to
-its siblings by their weights. As a node's own limit is what its leaves hold,
+its siblings by their weights. As a node's own limit is what its usable leaves hold (a
+leaf is usable if no weight on its path is 0 or less),
 siblings are filled before anything is left to an ancestor's other children. The
 shares are closed-form (a sort by tokens per weight and running sums), integers
 rounded down, so that at most one token per child is lost.
@@ -66,12 +67,16 @@ def leaf_budgets(leaves: DataFrame, weights: DataFrame, total: int | Column, epo
     source, tokens. `weights`: level (name of a column), name, weight."""
     known = weights.select("level", F.coalesce("name", F.lit("")).alias("name"), F.col("weight").cast("long").alias("w"))
     known = known.groupBy("level", "name").agg(F.max("w").alias("w"))
+    # a leaf whose own path has a weight of 0 or less takes nothing, and is no capacity of the nodes above
+    for level in LEVELS:
+        own = known.filter(F.col("level") == level).select(F.col("name").alias(level), F.col("w").alias(f"_w_{level}"))
+        weight = F.coalesce(f"_w_{level}", F.lit(DEFAULT_WEIGHT))
+        leaves = leaves.join(own, level, "left").withColumn(f"_w_{level}", weight).filter(F.col(f"_w_{level}") > 0)
     out, budget = None, F.lit(total) if isinstance(total, int) else total
     for depth, level in enumerate(LEVELS):
         parents, path = list(LEVELS[:depth]), list(LEVELS[: depth + 1])
-        nodes = leaves.groupBy(*path).agg((F.sum("tokens") * epochs).alias("capacity")).withColumn("name", F.col(level))
-        own = known.filter(F.col("level") == level).drop("level")
-        nodes = nodes.join(own, "name", "left").withColumn("weight", F.coalesce("w", F.lit(DEFAULT_WEIGHT))).drop("w").filter("weight > 0 and capacity > 0")
+        nodes = leaves.groupBy(*path).agg((F.sum("tokens") * epochs).alias("capacity"), F.first(f"_w_{level}").alias("weight"))
+        nodes = nodes.withColumn("name", F.col(level)).filter("capacity > 0")
         if out is None:
             nodes = nodes.crossJoin(budget) if isinstance(budget, DataFrame) else nodes.withColumn("_budget", budget.cast("long"))
         else:

@@ -110,6 +110,7 @@ def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 WEIGHTS = [
     ("domain", "d0", 50), ("domain", "d1", 30), ("domain", "d2", 20),
     ("lang", "en", 40), ("lang", "de", 25), ("lang", "fr", 20), ("lang", "es", 15),
+    ("source", "src4", 0),
 ]
 DOMAIN = "concat('d', coalesce(ascii(right(source, 1)) % 3, 0))"
 
@@ -124,7 +125,7 @@ def _level_sql(depth: int) -> str:
     by = f"PARTITION BY {', '.join(parents)} " if parents else ""
     above = f"JOIN b{depth - 1} a USING ({', '.join(parents)})" if parents else "CROSS JOIN (SELECT n AS budget FROM total) a"
     return f"""
-n{depth} AS (SELECT {path}, {level} AS name, sum(n_tokens) * 2 AS capacity FROM docs GROUP BY {path}),
+n{depth} AS (SELECT {path}, {level} AS name, sum(n_tokens) * 2 AS capacity FROM usable GROUP BY {path}),
 w{depth} AS (
   SELECT n.*, a.budget AS above, coalesce(w.weight, {mixing.DEFAULT_WEIGHT}) AS weight
   FROM n{depth} n {above}
@@ -153,12 +154,17 @@ docs AS (
     coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0)::BIGINT AS n_tokens
   FROM documents
-), total AS (SELECT floor(sum(n_tokens) * 0.6::DOUBLE)::BIGINT AS n FROM docs),"""
+), total AS (SELECT floor(sum(n_tokens) * 0.6::DOUBLE)::BIGINT AS n FROM docs),
+usable AS (
+  SELECT * FROM docs WHERE domain NOT IN (SELECT name FROM weights WHERE level = 'domain' AND weight <= 0)
+    AND lang NOT IN (SELECT name FROM weights WHERE level = 'lang' AND weight <= 0)
+    AND source NOT IN (SELECT name FROM weights WHERE level = 'source' AND weight <= 0)
+),"""
     + ",".join(_level_sql(d) for d in range(3))
     + """,
 turns AS (
   SELECT *, md5('mix/' || epoch || '/' || coalesce(doc_id::VARCHAR, '')) AS digest
-  FROM docs JOIN b2 USING (domain, lang, source), (SELECT unnest([0, 1]) AS epoch)
+  FROM usable JOIN b2 USING (domain, lang, source), (SELECT unnest([0, 1]) AS epoch)
 ), summed AS (
   SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY epoch, digest, text_sum RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM turns
 )

@@ -37,7 +37,9 @@ def test_budgets_against_brute_force(spark, seed):
     got = {(r.domain, r.lang, r.source): r.budget for r in got.collect()}
 
     want = {}
-    capacity = lambda path: sum(t for *p, t in leaves if tuple(p[: len(path)]) == path)
+    # by the contract: what a node can use lies in leaves whose whole path may take tokens
+    usable = lambda p: all(weight.get((lv, n), mixing.DEFAULT_WEIGHT) > 0 for lv, n in zip(mixing.LEVELS, p, strict=True))
+    capacity = lambda path: sum(t for *p, t in leaves if tuple(p[: len(path)]) == path and usable(p))
 
     def hand_down(path, budget):
         if len(path) == 3:
@@ -53,6 +55,16 @@ def test_budgets_against_brute_force(spark, seed):
     assert got == want
 
 
+def test_budget_of_unusable_leaves_goes_to_siblings(spark):
+    leaves = [("A", "x", "s", 1000), ("A", "y", "s", 100), ("B", "y", "s", 1000)]
+    weights = [("lang", "x", 0)]
+    got = mixing.leaf_budgets(
+        spark.createDataFrame(leaves, "domain STRING, lang STRING, source STRING, tokens BIGINT"),
+        spark.createDataFrame(weights, "level STRING, name STRING, weight BIGINT"), 1000, 1,
+    )
+    assert {(r.domain, r.lang): r.budget for r in got.collect()} == {("A", "y"): 100, ("B", "y"): 900}
+
+
 def test_prefixes_of_seeded_epochs(spark):
     rows = [(i, "w " * (1 + i % 5), "x", "s0" if i < 40 else "s1") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING")

@@ -7,11 +7,11 @@ a language's common words are its `COMMON` most frequent ones. Words are told
 apart by hash buckets, so that a reference has a fixed size. A text fails if no
 reference is near in both histograms. Guards: a histogram with fewer than
 `MIN_CHARS` characters or `MIN_WORDS` words says nothing and isn't judged;
-languages whose references have fewer than `MIN_REFERENCE` words have none; with
-no references at all nothing is judged.
+languages whose references have fewer than `MIN_REFERENCE` words have none, and neither
+their documents nor, with no references at all, any are judged.
 
 Rules: null texts have no words. Null languages add to no reference, but their
-documents are judged. Other columns of the input aren't read.
+documents are judged by all. Other columns of the input aren't read.
 """
 
 from __future__ import annotations
@@ -46,6 +46,9 @@ _CLASS[128:192] = 9
 _CLASS[192:] = 8
 
 
+_STIR = (mix(np.arange(1, 257)) >> np.uint64(56)).astype(np.uint8)
+
+
 def _per_document(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     run = np.concatenate([[0], np.cumsum(flags)])
     return run[offsets[1:]] - run[offsets[:-1]]
@@ -61,6 +64,14 @@ def _repeats(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def line_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of long spans. Powers modulo 2 ** 64 alone don't tell some self-similar strings of
+    1,024 bytes and more apart, so that runs of three bytes are hashed as well."""
+    three = data.copy()
+    three[:-2] = (_STIR[data[:-2]] + data[1:-1]) ^ _STIR[data[2:] ^ data[:-2]]
+    return mix(span_hashes(data, first, last) ^ mix(span_hashes(three, first, np.maximum(first, last - 2))))
+
+
 def base_counts(block: Block) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each
     document, and the row and hash of each word."""
@@ -82,7 +93,7 @@ def base_counts(block: Block) -> dict[str, np.ndarray]:
     full = (last > first) & (run[np.maximum(last, first)] > run[first])
     first, last = first[full], last[full]
     line_row = rows_of(first, offsets)
-    keys = mix(span_hashes(data, first, last) + line_row.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    keys = mix(line_hashes(data, first, last) + line_row.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     distinct = np.unique(keys, return_index=True)[1]
     out["n_dup_lines"] = np.bincount(line_row, minlength=n) - np.bincount(line_row[distinct], minlength=n)
 
@@ -145,14 +156,16 @@ class References:
             shares = np.bincount(place, words, COMMON + 1)
             self.languages.append((lang, chars / chars.sum(), place, shares / shares.sum()))
 
-    def kept(self, block: Block, counts: dict[str, np.ndarray]) -> np.ndarray:
+    def kept(self, block: Block, counts: dict[str, np.ndarray], langs: list[str | None]) -> np.ndarray:
+        """Verdicts of a block's documents; `langs`: their languages."""
         n = block.hi - block.lo
         failed = base_failed(counts)
         if not self.languages:
             return ~failed
         chars, buckets, row = class_counts(block), word_buckets(block, counts), counts["row"]
         judged_chars, judged_words = chars.sum(axis=1) >= MIN_CHARS, counts["n_words"] >= MIN_WORDS
-        fits = np.zeros(n, bool)
+        known = {name for name, *_ in self.languages}
+        fits = np.array([lang is not None and lang not in known for lang in langs], bool)
         for _, classes, place, shares in self.languages:
             own = np.bincount(row * (COMMON + 1) + place[buckets], minlength=n * (COMMON + 1)).reshape(n, COMMON + 1)
             fits |= (~judged_chars | (distance(chars, classes) <= MAX_CHARS)) & (~judged_words | (distance(own, shares) <= MAX_WORDS))
@@ -192,7 +205,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Refer
 NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judge(docs: DataFrame, refs: References, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def judge(docs: DataFrame, refs: References, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, with the five numbers, base_failed and kept."""
     shared = docs.sparkSession.sparkContext.broadcast(refs)
 
@@ -201,11 +214,12 @@ def judge(docs: DataFrame, refs: References, text: str = "text", keep: tuple[str
             for b in blocks(batch.column(len(keep))):
                 counts = base_counts(b)
                 own = batch.slice(b.lo, b.hi - b.lo).columns[: len(keep)]
+                langs = batch.column(len(keep) + 1).slice(b.lo, b.hi - b.lo).to_pylist()
                 numbers = [pa.array(counts[x].astype(np.int64)) for x in NUMBERS]
                 yield pa.RecordBatch.from_arrays(
-                    [*own, *numbers, pa.array(base_failed(counts)), pa.array(shared.value.kept(b, counts))], names=[*keep, *NUMBERS, "base_failed", "kept"]
+                    [*own, *numbers, pa.array(base_failed(counts)), pa.array(shared.value.kept(b, counts, langs))], names=[*keep, *NUMBERS, "base_failed", "kept"]
                 )
 
-    taken = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1])
+    taken = docs.select(*keep, F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-2])
     return taken.mapInArrow(tidy(run), f"{kinds}, {', '.join(f'{x} long' for x in NUMBERS)}, base_failed boolean, kept boolean")

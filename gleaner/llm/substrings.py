@@ -22,10 +22,10 @@ cross documents. The steps:
 Common prefixes are only asked for up to `length` bytes. They are taken from the
 text for neighbours in the final order, and not carried through the queues.
 
-Rules: a null text is an empty text. Rows with null ids, and rows whose id has
-several texts (there is no earlier one), lose nothing and are not compared. Rows
-with equal ids and texts are one document, with one result each. Other columns of
-the input aren't read.
+Rules: a null text is an empty text. Rows with null ids lose nothing and are not compared.
+Rows with equal ids and texts are one document, with one result each; several texts of one
+id are documents in the order of their MD5 digests. Other columns of the input aren't
+read.
 """
 
 from __future__ import annotations
@@ -302,16 +302,35 @@ def merged_spans(found: DataFrame, shards: int) -> DataFrame:
     return found.select("doc", "at", "right").mapInArrow(tidy(deal), kind).groupBy("shard").applyInArrow(tidy_group(merge), "id long, spans binary")
 
 
-def removed_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Documents that go whole (id), and the spans of the others (id, spans)."""
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    sums = written(rows.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("sum"), F.octet_length("text").alias("n")), "sums")
-    repeated = written(sums.groupBy("id").agg(F.count("*").alias("k"), (F.min("sum") != F.max("sum")).alias("clash")).filter("k > 1"), "repeated")
+def with_sums(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows of `docs` as id and text, with the digest of the text."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("sum", F.unhex(F.md5(F.col("text").cast("binary"))))
+
+
+def numbers(sums: DataFrame) -> DataFrame | None:
+    """id, sum, number: numbers in the order of id and digest, if an id has several texts."""
+    if sums.groupBy("id").agg((F.min("sum") != F.max("sum")).alias("clash")).filter("clash").isEmpty():
+        return None
+    order = sums.select("id", "sum").distinct().repartitionByRange("id", "sum").sortWithinPartitions("id", "sum")
+    return written(order.withColumn("number", F.monotonically_increasing_id()), "numbers")
+
+
+def numbered(rows: DataFrame, order: DataFrame | None) -> DataFrame:
+    """`rows` (id, sum, ...) with numbers as ids, where there are such."""
+    if order is None:
+        return rows
+    joined = rows.join(broadcast_if_small(order, SMALL), ["id", "sum"], "left")
+    return joined.withColumn("id", F.col("number")).drop("number")
+
+
+def removed_spans(rows: DataFrame, sums: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Documents that go whole (id), and the spans of the others (id, spans). `rows`: id, text; `sums`: id, sum, n."""
+    repeated = written(sums.groupBy("id").count().filter("count > 1").select("id"), "repeated")
     rows = rows.filter(F.octet_length("text") >= length)
     long = sums.filter(F.col("n") >= length)
     if not repeated.isEmpty():
-        clashes = broadcast_if_small(repeated.filter("clash").select("id"), SMALL)
-        rows, long = rows.join(clashes, "id", "left_anti").dropDuplicates(["id"]), long.join(clashes, "id", "left_anti")
+        rows = rows.dropDuplicates(["id"])
     total = long.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-total // shard_bytes))
     kinds = long.groupBy("sum", "n").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least != most")
@@ -327,7 +346,13 @@ def removed_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", leng
 
 def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of `docs`."""
-    copies, spans = removed_spans(docs, text, key, length, shard_bytes)
+    rows = with_sums(docs, text, key)
+    sums = written(rows.filter("id is not null").select("id", "sum", F.octet_length("text").alias("n")), "sums")
+    order = numbers(sums)
+    if order is not None:
+        sums = written(numbered(sums, order), "numbered-sums")
+    own = numbered(rows.filter("id is not null"), order).select("id", "text")
+    copies, spans = removed_spans(own, sums, length, shard_bytes)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +370,10 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", length: in
             columns = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("id"))
+    if order is None:
+        rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("id"))
+    else:
+        rows = numbered(rows.withColumn("doc_id", F.col("id").cast(kind)), order)
     rows = rows.withColumn("long_id", F.when(F.octet_length("text") >= length, F.col("id")))
     rows = rows.join(broadcast_if_small(spans.withColumnRenamed("id", "long_id"), SMALL), "long_id", "left").join(
         broadcast_if_small(copies.select(F.col("id").alias("long_id"), F.lit(1).alias("copy")), SMALL), "long_id", "left"

@@ -97,4 +97,15 @@ def test_odd_rows(spark, odd, nothing):
     assert by[None].n_removed == 0
     assert substrings.digests(nothing).count() == 0
     clash = spark.createDataFrame([(1, "x" * 300), (1, "y" * 300), (2, "x" * 300)], "doc_id BIGINT, text STRING")
-    assert {r.n_removed for r in substrings.digests(clash).filter("doc_id = 1").collect()} == {0}
+    assert sorted((r.doc_id, r.n_removed) for r in substrings.digests(clash).collect()) == [(1, 299), (1, 299), (2, 300)]
+
+
+def test_several_texts_of_an_id_and_repeated_rows(spark):
+    rng, rows = random.Random(21), [r for r in rows_with_repeats() if r[1]]
+    rows = [(i % 20, t) for i, t in rows] + [(3, rows[4][1] + " and more"), (3, rows[4][1]), (None, rows[1][1])]
+    rows += rng.sample(rows, 15)
+    got = sorted((str(r.doc_id), *tuple(r)[1:]) for r in substrings.digests(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(4)).collect())
+    order = sorted({(i, hashlib.md5(t.encode()).digest(), t.encode()) for i, t in rows if i is not None})
+    want = slow([((i, digest), raw) for i, digest, raw in order], 100)
+    none = lambda t: (len(t.encode()), 0, 0, hashlib.sha256(t.encode()).hexdigest())
+    assert got == sorted((str(i), *(none(t) if i is None else want[i, hashlib.md5(t.encode()).digest()])) for i, t in rows)

@@ -98,24 +98,24 @@ def spelled(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
+KEY = ["_none", "_id", "_sum", "_n"]
+
+
 def neighbours(keys: DataFrame) -> DataFrame:
-    """`keys` (_id, _sum, _n: distinct id and text; _copies) with the key of the one before
-    (_before_id, _before_sum, _before_n) in their order, the last one before the first.
+    """`keys` (KEY: distinct id and text) with the key of the one before, _before, in their
+    order, the last one before the first.
 
     The order is by ranges; windows stay inside a range, and only the last key of each
     range goes on to the next."""
-    ranges = keys.repartitionByRange(F.col("_id").asc_nulls_last(), F.col("_sum")).withColumn("_range", F.spark_partition_id())
-    ranges = written(ranges, "ranges")
-    key = F.struct("_id", "_sum", "_n")
-    order = [F.col("_id").asc_nulls_last(), F.col("_sum")]
-    inside = ranges.withColumn("_before", F.lag(key).over(Window.partitionBy("_range").orderBy(*order)))
+    ranges = written(keys.repartitionByRange(*KEY).withColumn("_range", F.spark_partition_id()), "ranges")
+    key = F.struct(*KEY)
+    inside = ranges.withColumn("_before", F.lag(key).over(Window.partitionBy("_range").orderBy(*KEY)))
     # one row for each range
-    last = ranges.groupBy("_range").agg(F.max(F.struct(F.col("_id").isNull(), "_id", "_sum", key.alias("key")))["key"].alias("_last"))
+    last = ranges.groupBy("_range").agg(F.max(key).alias("_last"))
     everyone = Window.orderBy("_range")
     carried = F.coalesce(F.lag("_last").over(everyone), F.last("_last").over(everyone.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     last = written(last.select("_range", carried.alias("_carried")), "range-ends")
-    joined = inside.join(F.broadcast(last), "_range").withColumn("_before", F.coalesce("_before", "_carried"))
-    return joined.select("_id", "_sum", "_n", "_copies", F.col("_before._id").alias("_before_id"), F.col("_before._sum").alias("_before_sum"), F.col("_before._n").alias("_before_n"))
+    return inside.join(F.broadcast(last), "_range").withColumn("_before", F.coalesce("_before", "_carried")).drop("_range", "_carried")
 
 
 def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, scale: int = SCALE, least: int = LEAST) -> DataFrame:
@@ -124,31 +124,26 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
 
     The edited text is the document with its last floor(n_chars / 2) code points replaced by
     the first as many of the next document (all, if it has fewer)."""
+    # a missing id is a flag, so that keys compare by plain equality and texts move once for grouping and joins
     rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = rows.select("_id", F.xxhash64("_text").alias("_sum"), F.length("_text").alias("_n"), "_text")
-    order = written(neighbours(rows.groupBy("_id", "_sum", "_n").agg(F.count("*").alias("_copies"))), "order")
-    # whole texts move once: copies are merged before, and sketches are made after
-    texts = rows.groupBy("_id", "_sum", "_n").agg(F.first("_text").alias("_text"))
-    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sum") == F.col("_s")) & (F.col("_n") == F.col("_m"))
-    texts = texts.join(order.withColumnsRenamed({"_id": "_i", "_sum": "_s", "_n": "_m"}), same).drop("_i", "_s", "_m")
-    texts = written(texts.withColumn("_sketch", sketch(F.col("_text"), size, scale, least)), "sketched")
+    rows = rows.select(F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0)).alias("_id"), F.xxhash64("_text").alias("_sum"), F.length("_text").alias("_n"), "_text")
+    order = written(neighbours(rows.groupBy(*KEY).agg(F.count("*").alias("_copies"))), "order")
+    texts = rows.groupBy(*KEY).agg(F.first("_text").alias("_text")).join(order, KEY)
 
     # the part that the document before takes over
-    head = texts.select(
-        F.col("_before_id").alias("_i"), F.col("_before_sum").alias("_s"), F.col("_before_n").alias("_m"),
-        F.expr("left(_text, _before_n div 2)").alias("_head"), F.col("_sketch").alias("_next"),
-    )
-    pairs = texts.join(head, same)
-    pairs = pairs.select("_id", "_n", "_text", "_sketch", F.col("_copies"), F.struct(F.lit(1).cast("long").alias("times"), "_head", "_next").alias("_last"))
+    before = [F.col(f"_before.{k}").alias(k) for k in KEY]
+    head = texts.select(*before, F.expr("left(_text, _before._n div 2)").alias("_head"), sketch(F.col("_text"), size, scale, least).alias("_next"))
+    pairs = texts.drop("_before").join(head, KEY).withColumn("_sketch", sketch(F.col("_text"), size, scale, least))
+    pairs = pairs.select(*KEY, "_text", "_sketch", "_copies", F.struct(F.lit(1).cast("long").alias("times"), "_head", "_next").alias("_last"))
     # copies of a row follow one another: all but the last have their own text next
     own = F.struct((F.col("_copies") - 1).alias("times"), F.expr("left(_text, _n div 2)").alias("_head"), F.col("_sketch").alias("_next"))
-    each = pairs.select("_id", "_n", "_text", "_sketch", F.explode(F.when(F.col("_copies") > 1, F.array(own, "_last")).otherwise(F.array("_last"))).alias("_with"))
-    each = each.select("_id", "_n", "_sketch", F.concat(F.expr("left(_text, _n - _n div 2)"), F.col("_with._head")).alias("_edited"), F.col("_with._next").alias("_next"), F.col("_with.times").alias("_times"))
+    each = pairs.select("_none", "_id", "_n", "_text", "_sketch", F.explode(F.when(F.col("_copies") > 1, F.array(own, "_last")).otherwise(F.array("_last"))).alias("_with"))
+    each = each.select("_none", "_id", "_n", "_sketch", F.concat(F.expr("left(_text, _n - _n div 2)"), F.col("_with._head")).alias("_edited"), F.col("_with._next").alias("_next"), F.col("_with.times").alias("_times"))
     each = each.withColumn("_edited_sketch", sketch(F.col("_edited"), size, scale, least))
     compared = lambda of: (of(F.col("_sketch"), F.col("_edited_sketch"), scale, least), of(F.col("_sketch"), F.col("_next"), scale, least))
     (near_edited, near_next), (in_edited, in_next) = compared(likeness), compared(containment)
     out = each.select(
-        F.col("_id").alias(key), F.col("_n").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),
+        F.when(~F.col("_none"), F.col("_id")).alias(key), F.col("_n").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),
         spelled(F.col("_sketch")).alias("fingerprint"), spelled(F.col("_edited_sketch")).alias("edited_fingerprint"),
         near_edited.alias("near_edited"), near_next.alias("near_next"), in_edited.alias("contained_edited"), in_next.alias("contained_next"), "_times",
     )

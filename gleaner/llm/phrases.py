@@ -2,14 +2,16 @@
 
 Texts (null: empty) get A-Z in lower case, are split into pieces at `.,;:!?` and line
 ends, and pieces into words at blanks and tabs. All counts are per language (null:
-`und`). Phrases are counted by tries in the tasks and merged by Spark, one pass
-for each length:
+`und`). A phrase found `least` times has parts found as often, so three passes do:
 
-1. words; 2. pairs of words that are frequent; 3. triples whose two pairs are frequent.
+1. words are counted;
+2. a sieve: pairs of frequent words, as 64-bit hashes. Tasks send sorted runs of hashes with
+   their counts, cut by the leading bits of the hash; each cut is merged by itself;
+3. pairs that pass the sieve and triples of two such pairs are counted.
 
-A phrase found `least` times has parts found as often, so nothing frequent is left out.
-What is frequent reaches the tasks as a filter of bits with a fixed largest size
-(`FILTER_BITS`): what passes by error is counted too and goes by its exact count.
+Words and pairs that are frequent reach the next pass as a filter of bits with a fixed largest
+size (`FILTER_BITS`). Equal hashes and false hits only let more phrases be counted: the counts
+of passes 1 and 3 are of the words themselves, and exact.
 
 A task's `PhraseTrie` has a level for language and first word, and below it hash
 containers of the words that follow. A container of over `BURST` phrases bursts: it
@@ -31,11 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gleaner.llm.blocks import blocks, lower_ascii, mix, rows_of, span_hashes, text_array, tidy, word_bounds
+from gleaner.llm.blocks import blocks, lower_ascii, mix, rows_of, span_hashes, text_array, tidy, tidy_group, word_bounds
 from gleaner.sources.tables import broadcast_if_small, written
 
-LEAST, LONGEST, TOP, COVERED = 10, 3, 2000, 50
-BURST, ROOM, WORDS = 4096, 400_000, 400_000
+LEAST, TOP, COVERED = 10, 2000, 50
+BURST, ROOM, WORDS = 4096, 300_000, 400_000
+SIEVE, SIEVE_CUT, SLICES = 3_000_000, 4_000_000, 32
 FILTER_BITS = 1 << 26
 UNKNOWN = "und"
 
@@ -75,34 +78,44 @@ def passes(places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def frequent_filter(frequent: DataFrame, length: int) -> np.ndarray:
-    """Filter of the phrases of a table (lang, w1, ...). Tasks send 64 places at a
-    time; what reaches the driver is bounded by the filter's own size."""
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """Filter of a column `h` of hashes. Tasks send 64 places at a time; what reaches the
+    driver is bounded by the filter's own size."""
     bits = 1 << 16
-    while bits < min(16 * frequent.count(), FILTER_BITS):
+    while bits < min(16 * hashes.count(), FILTER_BITS):
         bits *= 2
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, *words = (binary_hashes(batch.column(i).cast(pa.large_binary())) for i in range(length + 1))
-            at = np.unique(np.concatenate(list(probes(phrase_hashes(lang, words), bits))))
+            at = np.unique(np.concatenate(list(probes(batch.column(0).to_numpy().view(np.uint64), bits))))
             slot, first = np.unique(at >> np.uint64(6), return_index=True)
             if len(slot):
                 held = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
                 yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(held.view(np.int64))], ["slot", "held"])
 
-    columns = frequent.select("lang", *[f"w{k + 1}" for k in range(length)])
-    rows = columns.mapInArrow(places, "slot bigint, held bigint").groupBy("slot").agg(F.bit_or("held").alias("held")).toArrow()
+    rows = hashes.select("h").mapInArrow(places, "slot bigint, held bigint").groupBy("slot").agg(F.bit_or("held").alias("held")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[rows["slot"].to_numpy()] = rows["held"].to_numpy().view(np.uint64)
     return out
 
 
+def word_filter(frequent: DataFrame) -> np.ndarray:
+    """Filter of the words of a table (lang, w1)."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, word = (binary_hashes(batch.column(i).cast(pa.large_binary())) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(phrase_hashes(lang, [word]).view(np.int64))], ["h"])
+
+    return bit_filter(frequent.select("lang", "w1").mapInArrow(hashes, "h bigint"))
+
+
 class PhraseTrie:
     """Counts of phrases as rows (language and first word, words that follow).
 
-    `suffix` holds the following words' numbers, 32 bits each. `spill` and `drain` yield
-    sorted runs: (first, suffix, count) arrays of whole subtrees."""
+    `suffix` holds the second word's number in its upper and one more than the third word's
+    in its lower 32 bits (0: a pair). `spill` and `drain` yield sorted runs: (first, suffix,
+    count) arrays of whole subtrees."""
 
     def __init__(self, burst: int = BURST, room: int = ROOM):
         self.burst, self.room = burst, room
@@ -122,7 +135,7 @@ class PhraseTrie:
                 before = len(below)
                 below.update(suffix[lo:hi])
                 self.size += len(below) - before
-                if len(below) > self.burst and max(below) >> 32:
+                if len(below) > self.burst:
                     self.root[key] = self._split(below)
             else:
                 for rest in suffix[lo:hi]:
@@ -178,78 +191,162 @@ class Numbers:
         return pa.array(list(self.of), pa.binary()).cast(pa.string())
 
 
-def run_counter(length: int, known: np.ndarray | None, room: int = ROOM, most_words: int = WORDS):
-    """A function for mapInArrow: batches (text, lang) to runs (lang, w1.., n) of the
-    phrases of `length` words whose parts, one word shorter, pass the filter `known`."""
+class WordCounts:
+    """Counts of single words: the first level alone."""
+
+    def __init__(self, room: int = ROOM):
+        self.room, self.counts = room, Counter()
+
+    @property
+    def size(self) -> int:
+        return len(self.counts)
+
+    def add(self, first: np.ndarray) -> None:
+        self.counts.update(first.tolist())
+
+    def drain(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        counts, self.counts = self.counts, Counter()
+        first, count = (np.fromiter(v, np.int64, len(counts)) for v in (counts.keys(), counts.values()))
+        order = np.argsort(first)
+        yield first[order], np.zeros(len(first), np.int64), count[order]
+
+    spill = drain
+
+
+class Words:
+    """The words of a block: their document, piece, place in `spelled` (distinct ones)."""
+
+    def __init__(self, block) -> None:
+        data = lower_ascii(block.data)
+        starts, ends = word_bounds(block, _OUTSIDE)
+        self.doc = rows_of(starts, block.offsets)
+        self.piece = np.cumsum(_BREAK[data])[starts] + self.doc
+        sizes = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+        letters = data[~_OUTSIDE[data]]
+        every = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(sizes), pa.py_buffer(letters)]).dictionary_encode()
+        self.spelled, self.at = every.dictionary, every.indices.to_numpy()
+
+    def pairs(self, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the words with their languages, of the pairs, and whether a pair stands in one piece."""
+        plain = binary_hashes(self.spelled)[self.at]
+        return phrase_hashes(salt, [plain]), phrase_hashes(salt[:-1], [plain[:-1], plain[1:]]), self.piece[:-1] == self.piece[1:]
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, pa.Array]]:
+    """Words of the blocks of batches (text, lang) and each word's language."""
+    for batch in batches:
+        lang = text_array(batch.column(1)).fill_null(UNKNOWN).cast(pa.large_binary())
+        for block in blocks(batch.column(0), 1 << 20):
+            words = Words(block)
+            if len(words.doc):
+                yield words, lang.slice(block.lo, block.hi - block.lo)
+
+
+def run_counter(known: np.ndarray | None, room: int = ROOM, most_words: int = WORDS):
+    """A function for mapInArrow: batches (text, lang) to runs (lang, w1, w2, w3, n). Without
+    `known` words alone, else pairs that pass `known` and triples of two such pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, langs, trie = Numbers(), Numbers(), PhraseTrie(room=room)
+        numbers, langs = Numbers(), Numbers()
+        trie = WordCounts(room) if known is None else PhraseTrie(room=room)
 
         def rows(runs) -> Iterator[pa.RecordBatch]:
-            spelled, named, held, n = words.strings(), langs.strings(), [], 0
+            spelled, named, held, n = numbers.strings(), langs.strings(), [], 0
             for part in runs:
                 held.append(part)
                 n += len(part[0])
                 if n >= 1 << 16:
                     yield batch_of(held, spelled, named)
                     held, n = [], 0
-            if held:
+            if n:
                 yield batch_of(held, spelled, named)
 
         def batch_of(held, spelled: pa.Array, named: pa.Array) -> pa.RecordBatch:
             first, suffix, count = (np.concatenate([h[i] for h in held]) for i in range(3))
             low = (1 << 32) - 1
-            at = [first & low, *[(suffix >> (32 * (length - 2 - k))) & low for k in range(length - 1)]]
-            return pa.RecordBatch.from_arrays([named.take(pa.array(first >> 32)), *[spelled.take(pa.array(a)) for a in at], pa.array(count)], _names(length))
-
-        for batch in batches:
-            lang = text_array(batch.column(1)).fill_null(UNKNOWN).cast(pa.large_binary())
-            lang_hash, lang_at = binary_hashes(lang), langs.take(lang.to_pylist())
-            for block in blocks(batch.column(0), 1 << 21):
-                data = lower_ascii(block.data)
-                starts, ends = word_bounds(block, _OUTSIDE)
-                if not len(starts):
-                    continue
-                doc = rows_of(starts, block.offsets)
-                piece = np.cumsum(_BREAK[data])[starts] + doc
-                sizes = np.concatenate([[0], np.cumsum(ends - starts)])
-                spelled = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(sizes.astype(np.int64)), pa.py_buffer(data[~_OUTSIDE[data]])]).dictionary_encode()
-                at = spelled.indices.to_numpy()
-                number = words.take(spelled.dictionary.to_pylist())[at]
-                n = len(starts) - length + 1
-                if n <= 0:
-                    continue
-                lang_of, keep = block.lo + doc, piece[:n] == piece[length - 1 :]
-                if known is not None:
-                    hashes, salt = binary_hashes(spelled.dictionary)[at], lang_hash[lang_of]
-                    m = n + 1
-                    part = passes(known, phrase_hashes(salt[:m], [hashes[k : k + m] for k in range(length - 1)]))
-                    keep &= part[:n] & part[1:]
-                here = np.flatnonzero(keep)
-                suffix = np.zeros(len(here), np.int64)
-                for k in range(1, length):
-                    suffix = (suffix << 32) | number[here + k]
-                trie.add((lang_at[lang_of[here]] << 32) | number[here], suffix)
-                if trie.size > trie.room:
-                    yield from rows(trie.spill())
-                if len(words.of) > most_words:
-                    yield from rows(trie.drain())
-                    words = Numbers()
+            second, third = suffix >> 32, (suffix & low) - 1
+            none = np.full(len(first), known is None)
+            at = [pa.array(first & low), pa.array(second, mask=none), pa.array(third, mask=none | (third < 0))]
+            return pa.RecordBatch.from_arrays([named.take(pa.array(first >> 32)), *[spelled.take(a) for a in at], pa.array(count)], COLUMNS)
+
+        for words, lang in _read(batches):
+            number = numbers.take(words.spelled.to_pylist())[words.at]
+            first = (langs.take(lang.to_pylist())[words.doc] << 32) | number
+            if known is None:
+                trie.add(first)
+            else:
+                _, pairs, one_piece = words.pairs(binary_hashes(lang)[words.doc])
+                one_piece &= passes(known, pairs)
+                two = np.flatnonzero(one_piece)
+                three = np.flatnonzero(one_piece[1:] & one_piece[:-1])
+                suffix = np.concatenate([number[two + 1] << 32, (number[three + 1] << 32) | (number[three + 2] + 1)])
+                trie.add(first[np.concatenate([two, three])], suffix)
+            if trie.size > trie.room:
+                yield from rows(trie.spill())
+            if len(numbers.of) > most_words:
+                yield from rows(trie.drain())
+                numbers = Numbers()
         yield from rows(trie.drain())
 
     return tidy(run)
 
 
-def _names(length: int) -> list[str]:
-    return ["lang", *[f"w{k + 1}" for k in range(length)], "n"]
+COLUMNS = ["lang", "w1", "w2", "w3", "n"]
 
 
-def phrase_counts(docs: DataFrame, length: int, known: np.ndarray | None, text: str, lang: str, **limits) -> DataFrame:
-    """lang, w1.., n: exact counts, written."""
-    schema = ", ".join(f"{c} bigint" if c == "n" else f"{c} string" for c in _names(length))
-    rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    runs = rows.mapInArrow(run_counter(length, known, **limits), schema)
-    return runs.groupBy(*_names(length)[:-1]).agg(F.sum("n").alias("n"))
+def phrase_counts(rows: DataFrame, known: np.ndarray | None, **limits) -> DataFrame:
+    """lang, w1, w2, w3 (null where a phrase is shorter), n: exact counts."""
+    runs = rows.mapInArrow(run_counter(known, **limits), "lang string, w1 string, w2 string, w3 string, n bigint")
+    return runs.groupBy(*COLUMNS[:-1]).agg(F.sum("n").alias("n"))
+
+
+def sieve_runs(known: np.ndarray, cuts: int, most: int, held: int = SIEVE):
+    """A function for mapInArrow: batches (text, lang) to runs of pairs of words that pass
+    `known`: cut (leading bits of the hash), sorted hashes, counts up to `most`."""
+    shift = np.uint64(64 - cuts.bit_length() + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            hashes, count = np.unique(np.concatenate(waiting), return_counts=True)
+            count = np.minimum(count, most).astype(np.uint8)
+            cut = hashes >> shift if cuts > 1 else np.zeros(len(hashes), np.uint64)
+            at = np.flatnonzero(np.diff(cut, prepend=cut[0] + np.uint64(1))) if len(cut) else np.zeros(0, np.int64)
+            bounds = [*at.tolist(), len(hashes)]
+            blobs = [[a[lo:hi].tobytes() for lo, hi in zip(bounds, bounds[1:], strict=False)] for a in (hashes, count)]
+            yield pa.RecordBatch.from_arrays([pa.array(cut[at].astype(np.int64)), *[pa.array(b, pa.binary()) for b in blobs]], ["cut", "hashes", "counts"])
+
+        for words, lang in _read(batches):
+            single, pairs, one_piece = words.pairs(binary_hashes(lang)[words.doc])
+            frequent = passes(known, single)
+            waiting.append(pairs[one_piece & frequent[:-1] & frequent[1:]])
+            n += len(waiting[-1])
+            if n > held:
+                yield from rows()
+                waiting, n = [], 0
+        if n:
+            yield from rows()
+
+    return tidy(run)
+
+
+def sieved_pairs(rows: DataFrame, known: np.ndarray, n_words: int, least: int) -> DataFrame:
+    """h: hashes of pairs found `least` times or more."""
+    cuts = 1
+    while cuts * SIEVE_CUT < n_words:
+        cuts *= 2
+    most = min(least, 255)
+
+    def merge(runs: pa.Table) -> pa.Table:
+        hashes, counts = (np.concatenate([np.frombuffer(b.as_py(), t) for b in runs[c]]) for c, t in (("hashes", np.uint64), ("counts", np.uint8)))
+        order = np.argsort(hashes)
+        hashes, starts = np.unique(hashes[order], return_index=True)
+        total = np.add.reduceat(counts[order].astype(np.int64), starts)
+        return pa.table({"h": pa.array(hashes[total >= most].view(np.int64))})
+
+    runs = rows.mapInArrow(sieve_runs(known, cuts, most), "cut bigint, hashes binary, counts binary")
+    return runs.groupBy("cut").applyInArrow(tidy_group(merge), "h bigint")
 
 
 def cut_score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
@@ -263,12 +360,14 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases of two and
     three words. `covered`: a phrase goes if a longer one that holds it is found in so
     many hundredths of its places."""
-    counted = lambda length, known: phrase_counts(docs, length, known, text, lang, **limits)
-    singles = written(counted(1, None), "words")
-    totals = singles.groupBy("lang").agg(F.sum("n").alias("total"))
+    rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    singles = written(phrase_counts(rows, None, **limits).select("lang", "w1", "n"), "words")
+    totals = written(singles.groupBy("lang").agg(F.sum("n").alias("total")), "word-totals")
     one = written(singles.filter(F.col("n") >= least), "frequent-words")
-    two = written(counted(2, frequent_filter(one, 1)).filter(F.col("n") >= least), "frequent-pairs")
-    three = written(counted(3, frequent_filter(two, 2)).filter(F.col("n") >= least), "frequent-triples")
+    n_words = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
+    pairs = written(sieved_pairs(rows, word_filter(one), n_words, least), "sieved-pairs")
+    several = written(phrase_counts(rows, bit_filter(pairs), **limits).filter(F.col("n") >= least), "frequent-phrases")
+    two, three = several.filter("w3 is null").drop("w3"), several.filter("w3 is not null")
 
     def with_count(rows: DataFrame, part: list[str], name: str) -> DataFrame:
         counts = one if len(part) == 1 else two
@@ -289,6 +388,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     triples = triples.withColumn("cut", F.least(*cuts)).select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", "cut.l", "cut.r", "cut.score")
 
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = pairs.unionByName(triples).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # a language's best of each slice first, so that its last task sees SLICES * top rows at most
+    sliced = pairs.unionByName(triples).withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(SLICES)))
+    sliced = sliced.withColumn("rank", F.row_number().over(order.partitionBy("lang", "slice"))).filter(F.col("rank") <= top)
+    best = sliced.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     best = best.join(totals.withColumnRenamed("total", "n"), "lang")
     return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -66,7 +66,7 @@ def test_trie_bursts_and_spills():
     import numpy as np
 
     rng = random.Random(1)
-    rows = [(rng.randrange(3), (rng.randrange(20) << 32) | rng.randrange(50)) for _ in range(6000)]
+    rows = [(rng.randrange(3), (rng.randrange(20) << 32) | rng.randrange(51)) for _ in range(6000)]
     trie, got = phrases.PhraseTrie(burst=40, room=500), Counter()
 
     def take(runs):
@@ -85,16 +85,25 @@ def test_trie_bursts_and_spills():
     assert got == Counter(rows) and trie.size == 0
 
 
-def test_filter_lets_all_frequent_phrases_pass(spark):
+def test_sieve_keeps_all_frequent_pairs(spark):
     import numpy as np
     import pyarrow as pa
 
-    rows = [("en", f"é{i}", f"w{i * i}") for i in range(3000)]
-    held = phrases.frequent_filter(spark.createDataFrame(rows, "lang STRING, w1 STRING, w2 STRING"), 2)
     hashes = lambda values: phrases.binary_hashes(pa.array([v.encode() for v in values], pa.large_binary()))
-    all_of = lambda rows: phrases.passes(held, phrases.phrase_hashes(hashes([r[0] for r in rows]), [hashes([r[1] for r in rows]), hashes([r[2] for r in rows])]))
-    assert all_of(rows).all()
-    assert np.mean(all_of([("de", *r[1:]) for r in rows])) < 0.02
+    rows = [("en", f"é{i}") for i in range(3000)]
+    held = phrases.word_filter(spark.createDataFrame(rows, "lang STRING, w1 STRING"))
+    of = lambda rows: phrases.passes(held, phrases.phrase_hashes(hashes([r[0] for r in rows]), [hashes([r[1] for r in rows])]))
+    assert of(rows).all() and np.mean(of([("de", w) for _, w in rows])) < 0.02
+
+    rng, words = random.Random(6), "a b c d e f g".split()
+    texts = [" ".join(rng.choice(words) for _ in range(50)) for _ in range(40)]
+    known = phrases.word_filter(spark.createDataFrame([("en", w) for w in words], "lang STRING, w1 STRING"))
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text STRING, lang STRING").repartition(4)
+    pairs = Counter(p for t in texts for p in zip(t.split(), t.split()[1:], strict=False))
+    for cut, n_words in ((phrases.SIEVE_CUT, 100), (phrases.SIEVE_CUT, 9 * phrases.SIEVE_CUT)):
+        got = {r.h for r in phrases.sieved_pairs(docs, known, n_words, 40).collect()}
+        first, second = zip(*[p for p, n in pairs.items() if n >= 40], strict=True)
+        assert got == set(phrases.phrase_hashes(np.repeat(hashes(["en"]), len(first)), [hashes(first), hashes(second)]).view(np.int64).tolist())
 
 
 def test_scores_are_exact(spark):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functions as F
 
 from gleaner import schemas
 from gleaner.functions.values import DEFAULT_EXPIRY_DAYS
@@ -34,17 +34,19 @@ def read_seen(spark: SparkSession, path: str, before_run: int | None = None) ->
 
 def append_seen(new: DataFrame, path: str, run: int, now) -> None:
     """Add the keys of `new`, one row per key, to the store."""
-    keys = new.select("link_key", at(now).alias("seen_at"))
-    keys.withColumn("seen_date", F.to_date("seen_at")).write.mode("overwrite").partitionBy(
-        "seen_date"
-    ).parquet(f"{path}/run={run}")
+    _by_day(new.select("link_key", at(now).alias("seen_at"))).parquet(f"{path}/run={run}")
+
+
+def _by_day(keys: DataFrame) -> DataFrameWriter:
+    """A writer of keys in a folder for each day. Days are dealt out before: a small one
+    is one file, a large one is split by size."""
+    dated = keys.select("link_key", "seen_at", F.to_date("seen_at").alias("seen_date"))
+    return dated.hint("rebalance", "seen_date").write.mode("overwrite").partitionBy("seen_date")
 
 
 def write_compacted(store: DataFrame, path: str) -> None:
     """Write a store to a new place as its only run, after `cleanup`."""
-    store.select("link_key", "seen_at", F.to_date("seen_at").alias("seen_date")).write.mode(
-        "overwrite"
-    ).partitionBy("seen_date").parquet(f"{path}/run=0")
+    _by_day(store).parquet(f"{path}/run=0")
 
 
 def at(now: datetime | str | Column) -> Column:

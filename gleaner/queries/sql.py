@@ -112,7 +112,7 @@ STATUS_OF = by_turns("page_id", STATUS)
 GOOD_ITEMS = f"good_items AS (SELECT * FROM set_items WHERE {STATUS_OF} = 200)"
 
 SEEN = """seen AS (
-  SELECT link_key, min(TIMESTAMP '2024-01-01' + to_days(CAST(src_ord % 365 AS INTEGER))) AS seen_at
+  SELECT link_key, min(TIMESTAMP '2024-01-01' + to_days(CAST(src_ord % 12 * 30 AS INTEGER))) AS seen_at
   FROM set_items GROUP BY link_key)"""
 ALIVE = f"alive AS (SELECT * FROM seen WHERE seen_at > TIMESTAMP '{NOW}' - INTERVAL 180 DAY)"
 FIRST = """firsts AS (

@@ -28,15 +28,20 @@ def _stream(spark, sf, name):
 
 
 def _landed(spark, sf, name, order):
-    """A table as a stream of `BATCHES` micro-batches, landed in the order of a column."""
+    """A table as a stream of about `BATCHES` micro-batches, landed in the order of a
+    column. Each part is written by all tasks; a stream takes files in the order of landing."""
     batch = inputs.table(spark, sf, name)
     place = F.col(order).cast("timestamp").cast("double") if order == "ts" else F.col(order).cast("double")
     low, high = batch.agg(F.min(place), F.max(place)).first()
-    part = F.least(F.floor((place - low) / (max(high - low, 1) / BATCHES)), F.lit(BATCHES - 1))
     path = new_dir(spark, name)
-    for n in range(BATCHES):
-        batch.filter(part == n).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    if low is None:
+        batch.limit(0).write.parquet(path)
+    else:
+        part = F.least(F.floor((place - low) / (max(high - low, 1) / BATCHES)), F.lit(BATCHES - 1))
+        for n in range(BATCHES):
+            batch.filter(part == n).write.mode("append").parquet(path)
+    files = len(spark.read.schema(batch.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", max(1, -(-files // BATCHES))).parquet(path)
 
 
 @query(

@@ -433,9 +433,13 @@ def node_table(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores when the scan of a small table has at least four times fewer
-    splits than there are task slots. Other tables keep their scan tasks: no shuffle."""
+    """Use all cores when a small table's rows come in at least four times fewer tasks
+    than there are slots: a file of one row group has several splits, but one with
+    rows. Tables of more splits than slots keep their scan tasks: no shuffle, no counting."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if 4 * df.rdd.getNumPartitions() > slots:
+    splits = df.rdd.getNumPartitions()
+    if splits > slots:
         return df
-    return df.repartition(slots, key)
+    if 4 * splits > slots:
+        splits = df.select(F.spark_partition_id()).distinct().count()
+    return df if 4 * splits > slots else df.repartition(slots, key)

@@ -22,20 +22,24 @@ _OPTIONS = {"columnNameOfCorruptRecord": "_corrupt_record"}
 _XML_NAMES = {"amp", "lt", "gt", "quot", "apos"}
 # entity names of HTML 4, by the standard library's table
 _ENTITIES = {f"&{name};": chr(code) for name, code in sorted(name2codepoint.items()) if name not in _XML_NAMES}
+_XML = rf"(?:{'|'.join(sorted(_XML_NAMES))})"
+_NAMED = rf"&(?!{_XML};)[A-Za-z][A-Za-z0-9]*;"
 
 
 def lenient(body: Column) -> Column:
     """A body that Spark's XML reader accepts where only its entities or control
     characters are wrong: names of HTML entities become characters, any other
     ampersand that starts no entity is taken as text, control characters go."""
-    entity = r"(?s)([^&]++|&[A-Za-z][A-Za-z0-9]*;|&)"
-    known = F.create_map(*[F.lit(x) for pair in _ENTITIES.items() for x in pair])
-    xml = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6});)"
-    named = F.array_join(
-        F.transform(F.regexp_extract_all(body, F.lit(entity), F.lit(1)), lambda p: F.coalesce(F.element_at(known, p), p)), ""
-    )
-    some = F.when(body.rlike(r"&[A-Za-z]"), named).otherwise(body)
-    return F.regexp_replace(F.regexp_replace(some, xml, "&amp;"), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", "")
+    # one literal after constant folding; pieces start with a name, all but the first
+    known = F.str_to_map(F.lit("\x01".join(f"{name}\x02{char}" for name, char in _ENTITIES.items())), F.lit("\x01"), F.lit("\x02"))
+
+    def named(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^&[A-Za-z][A-Za-z0-9]*;", 0)
+        return F.concat(F.coalesce(F.element_at(known, name), name), F.substr(piece, F.length(name) + 1))
+
+    some = F.when(body.rlike(_NAMED), F.array_join(F.transform(F.split(body, f"(?={_NAMED})"), named), "")).otherwise(body)
+    bare = rf"&(?!(?:{_XML}|#[0-9]{{1,7}}|#x[0-9A-Fa-f]{{1,6}});)"
+    return F.regexp_replace(F.regexp_replace(some, bare, "&amp;"), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", "")
 
 
 def _item(i: Column, link: Column, title: Column, description: Column) -> Column:

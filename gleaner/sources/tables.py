@@ -41,9 +41,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
 SMALL = 64 << 20
 
 
+_WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+
+
 def measured_bytes(df: DataFrame) -> int:
-    """Size of the rows of `df` as text, by counting."""
-    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    """Size of the rows of `df`, by counting: fixed widths, lengths of texts, and the
+    JSON form of nested columns only."""
+    fixed, sized = 0, []
+    for field in df.schema.fields:
+        kind, column = field.dataType.simpleString(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            sized.append(F.octet_length(column))
+        elif kind.startswith(("array", "map", "struct")):
+            sized.append(F.octet_length(F.to_json(F.struct(column))))
+        else:
+            fixed += _WIDTHS.get(kind, 16 if kind.startswith("decimal") else 8)
+    row = F.lit(fixed)
+    for part in sized:
+        row = row + F.coalesce(part, F.lit(0))
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = SMALL) -> DataFrame:

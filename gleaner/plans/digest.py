@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from gleaner.functions.values import DEFAULT_EXPIRY_DAYS
-from gleaner.operators import sections as body, store
+from gleaner.operators import levels, sections as body, store
 from gleaner.operators.items import explode_items, first_of_run, with_key
 from gleaner.plans.source_sets import source_pages, source_sets
 
@@ -45,10 +45,12 @@ def run_digest(
     run: int = 0,
     days: int = DEFAULT_EXPIRY_DAYS,
     missing: bool = True,
+    keep_from: int | None = None,
 ) -> Run:
     """Run once: write the sets, the new items and both bodies below `out`, and
-    add the new keys to the store at `seen_path` as run number `run`. All folders
-    are shared by the executors. Without a store (one-off and test runs) nothing
+    add the new keys to the store at `seen_path` as run number `run`, which merges
+    its segments, drops expired keys and deletes what runs from `keep_from` (this one,
+    if not given) on don't need to be repeated. All folders are shared by the executors. Without a store (one-off and test runs) nothing
     is looked up or remembered. Of several pages of a source the newest counts;
     of equally new ones any. `missing`: sources without a page are told about.
 
@@ -62,12 +64,13 @@ def run_digest(
     sets = spark.read.parquet(done.sets)
     seen = None
     if seen_path is not None:
-        live = store.alive(store.read_seen(spark, seen_path, before_run=run), now, days)
-        seen = store.relevant(live, with_key(explode_items(sets)))
+        keys = with_key(explode_items(sets))
+        seen = store.seen_before(spark, seen_path, keys, now, days, before_run=run)
     run_items(sets, seen, now, days).write.mode("overwrite").parquet(done.items)
     items = spark.read.parquet(done.items)
     body.write_body(digest(sets, items, html=True), done.html)
     body.write_body(digest(sets, items, html=False), done.text)
     if seen_path is not None:
-        store.append_seen(items, seen_path, run, now)
+        store.commit_run(items.select("link_key"), seen_path, run, now, days)
+        levels.vacuum(spark, seen_path, run if keep_from is None else keep_from)
     return done

@@ -107,7 +107,7 @@ def newsletter(spark, sf):
     """A full run: sources, pages, items, seen store, digest."""
     all_sets = inputs.written_sets(spark, sf)
     out = new_dir(spark, "run")
-    store.write_compacted(inputs.seen_from(all_sets), f"{out}/seen")
+    store.commit_run(inputs.seen_from(all_sets), f"{out}/seen", 0, inputs.NOW, inputs.EXPIRY_DAYS)
     run = run_digest(
         inputs.sources(spark, sf), inputs.fetched(spark, sf), inputs.NOW, out, f"{out}/seen", 1,
         inputs.EXPIRY_DAYS,

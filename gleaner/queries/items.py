@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from gleaner import inputs
 from gleaner.functions import values as v
-from gleaner.operators import items as op, store
+from gleaner.operators import items as op, levels, store
 from gleaner.plans.digest import run_items
 from gleaner.plans.source_sets import detected, source_pages as join_pages, source_sets, with_route
 from gleaner.queries import sql
 from gleaner.queries.feeds import FEED_ITEMS
 from gleaner.queries.registry import query
 from gleaner.queries.scalars import STATUS_MESSAGES
-from gleaner.sources.tables import written
+from gleaner.sources.tables import new_dir, written
 
 
 def _raw_items(spark, sf, **settings):
@@ -260,3 +262,40 @@ def repeat_items(spark, sf):
     return op.items_in_both(before, op.with_key(items), ["link_key"]).select(
         "src", "link_url", "caption"
     )
+
+
+_RUNS, _RUN_DAYS, _KEPT_DAYS = 6, 20, 50
+
+
+def _run_times():
+    return [datetime(2024, 1, 1) + timedelta(days=_RUN_DAYS * n) for n in range(_RUNS)]
+
+
+def _seen_compacted_sql():
+    """The stores after each run, one after the other."""
+    steps, before = [], "SELECT '' AS link_key, TIMESTAMP '2000-01-01' AS seen_at WHERE false"
+    for n, now in enumerate(_run_times()):
+        steps.append(
+            f"live{n} AS (SELECT * FROM ({before}) WHERE seen_at > TIMESTAMP '{now}' - INTERVAL {_KEPT_DAYS} DAY), "
+            f"store{n} AS (SELECT * FROM live{n} UNION ALL SELECT DISTINCT link_key, TIMESTAMP '{now}' FROM "
+            f"(SELECT * FROM set_items WHERE src_ord % {_RUNS} = {n} OR src_ord % 4 = {n % 4}) i "
+            f"ANTI JOIN live{n} l ON i.link_key = l.link_key)"
+        )
+        before = f"SELECT * FROM store{n}"
+    return f"WITH {sql.SET_ITEMS}, {', '.join(steps)} {before}"
+
+
+@query("seen_compacted", _seen_compacted_sql())
+def seen_compacted(spark, sf):
+    """Six runs on one store, each over a part of the pages, a quarter of which every
+    fourth run sees again; the store merges and drops keys as it goes."""
+    items = written(op.with_key(op.explode_items(inputs.sets(spark, sf))), "items")
+    path = new_dir(spark, "seen")
+    for n, now in enumerate(_run_times()):
+        part = items.filter((F.col("src_ord") % _RUNS == n) | (F.col("src_ord") % 4 == n % 4))
+        keys = part.select("link_key").distinct()
+        seen = store.seen_before(spark, path, keys, now, _KEPT_DAYS, before_run=n)
+        new = keys.join(seen, "link_key", "left_anti")
+        store.commit_run(new, path, n, now, _KEPT_DAYS, fanout=2)
+        levels.vacuum(spark, path, n)
+    return store.alive(store.read_seen(spark, path), _run_times()[-1], _KEPT_DAYS)

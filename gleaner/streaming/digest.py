@@ -59,16 +59,20 @@ def run_when_due(
     replaces its own digests; the store is `out/seen`.
     """
 
-    def run(number: int, now) -> None:
-        run_digest(sources, read_pages(), now, f"{out}/{number}", f"{out}/seen", number, days)
+    def run(number: int, now, first: int) -> None:
+        run_digest(
+            sources, read_pages(), now, f"{out}/{number}", f"{out}/seen", number, days, keep_from=first
+        )
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         hours = F.unix_timestamp(F.col("date").cast("timestamp")) / 3600 + F.col("hour")
         # at most 24 a day
-        for (number,) in batch.select(hours.cast("bigint").alias("n")).distinct().orderBy("n").collect():
-            run(number, F.timestamp_seconds(F.lit(number * 3600)))
+        due_hours = batch.select(hours.cast("bigint").alias("n")).distinct().orderBy("n").collect()
+        for (number,) in due_hours:
+            # the batch is repeated from its first hour, should it fail
+            run(number, F.timestamp_seconds(F.lit(number * 3600)), due_hours[0].n)
 
-    run(0, started)
+    run(0, started, 0)
     query = (
         due.writeStream.foreachBatch(run_batch)
         .option("checkpointLocation", checkpoint)

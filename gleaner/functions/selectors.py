@@ -5,10 +5,11 @@ struct over a page's nodes. Selectors therefore may differ from row to row:
 a million sources with a million selectors still make one plan.
 
 Covered: `tag`, `*`, `#id`, `.class`, `[attr]` and `[attr=value]` with the
-operators `=`, `!=`, `~=`, `|=`, `^=`, `$=`, `*=`, `:nth-of-type()` and
-`:nth-child()` with a number, `odd`, `even` or `an+b`, `:first-of-type`,
-`:first-child`, `:last-child`, `:only-child`, `:empty`, `:not()` with one simple
-selector, the combinators blank, `>`, `+`, `~`, and selector lists. Anything else
+operators `=`, `!=`, `~=`, `|=`, `^=`, `$=`, `*=`, `:nth-of-type()`, `:nth-child()`,
+`:nth-last-of-type()` and `:nth-last-child()` with a number, `odd`, `even` or `an+b`,
+the first, last and only of both kinds, `:empty`, `:not()` and `:has()` with one simple
+selector, the combinators blank, `>`, `+`, `~`, and selector lists. Names may hold letters
+beyond ASCII and escaped signs (`.wide\\:box`), but no escapes by number. Anything else
 is invalid.
 """
 
@@ -19,15 +20,18 @@ from pyspark.sql import Column, functions as F
 from gleaner.functions.text import let
 from gleaner.operators.links import is_element, node_at
 
-_IDENT = r"-?[A-Za-z_][A-Za-z0-9_-]*"
+_ESCAPE = r"\\[^0-9A-Fa-f\n\r\f]"
+_IDENT = rf"-?(?:[A-Za-z_]|[^\x00-\x7F]|{_ESCAPE})(?:[A-Za-z0-9_-]|[^\x00-\x7F]|{_ESCAPE})*"
+# of a sign that is not escaped itself
+_BARE = r"(?<!\\)"
 _VALUE = rf"(?:\"[^\"]*\"|'[^']*'|{_IDENT})"
 _ATTRIBUTE = rf"\[\s*{_IDENT}\s*(?:[~|^$*!]?=\s*{_VALUE}\s*)?\]"
 _PLACE = r"(?:odd|even|[+-]?[0-9]*n(?:\s*[+-]\s*[0-9]+)?|[+-]?[0-9]+)"
 _SIMPLE = rf"(?:{_IDENT}|\*|#{_IDENT}|\.{_IDENT}|{_ATTRIBUTE})"
-_NOT = rf":not\(\s*{_SIMPLE}\s*\)"
+_NESTED = rf":(?:not|has)\(\s*{_SIMPLE}\s*\)"
 _QUALIFIER = (
-    rf"(?:#{_IDENT}|\.{_IDENT}|{_ATTRIBUTE}|{_NOT}|:nth-(?:of-type|child)\(\s*{_PLACE}\s*\)"
-    r"|:first-(?:of-type|child)|:last-child|:only-child|:empty)"
+    rf"(?:#{_IDENT}|\.{_IDENT}|{_ATTRIBUTE}|{_NESTED}|:nth-(?:last-)?(?:of-type|child)\(\s*{_PLACE}\s*\)"
+    r"|:(?:first|last|only)-(?:of-type|child)|:empty)"
 )
 _COMPOUND = rf"(?:(?:{_IDENT}|\*){_QUALIFIER}*+|{_QUALIFIER}++)"
 _BLANKS = r"[\t\n\f\r ]+"
@@ -35,12 +39,15 @@ _COMBINATOR = r"(?:\s*[>+~]\s*|\s+)"
 _CHAIN = rf"{_COMPOUND}(?:{_COMBINATOR}{_COMPOUND})*+"
 _LIST = rf"^\s*{_CHAIN}(?:\s*,\s*{_CHAIN})*+\s*$"
 
+SIMPLE = (
+    "STRUCT<tag: STRING, id: STRING, class: STRING, attr: STRUCT<attr: STRING, op: STRING, value: STRING>>"
+)
 STEP = (
     "STRUCT<comb: STRING, tag: STRING, id: STRING, classes: ARRAY<STRING>, "
     "attrs: ARRAY<STRUCT<attr: STRING, op: STRING, value: STRING>>, "
-    "nth: STRUCT<a: INT, b: INT>, child: STRUCT<a: INT, b: INT>, last: BOOLEAN, empty: BOOLEAN, "
-    "nots: ARRAY<STRUCT<tag: STRING, id: STRING, class: STRING, "
-    "attr: STRUCT<attr: STRING, op: STRING, value: STRING>>>>"
+    "nth: STRUCT<a: INT, b: INT>, child: STRUCT<a: INT, b: INT>, "
+    "nth_end: STRUCT<a: INT, b: INT>, child_end: STRUCT<a: INT, b: INT>, empty: BOOLEAN, "
+    f"nots: ARRAY<{SIMPLE}>, has: ARRAY<{SIMPLE}>>"
 )
 
 
@@ -63,14 +70,22 @@ def _chain(chain: Column) -> Column:
     return F.transform(parts, _step)
 
 
+def _name(text: Column) -> Column:
+    """A name without the backslashes of its escapes."""
+    return F.regexp_replace(text, r"\\(.)", "$1")
+
+
 def _step(part: Column) -> Column:
     def first(pattern):
-        return F.nullif(F.regexp_extract(part, pattern, 1), F.lit(""))
+        return _name(F.nullif(F.regexp_extract(part, pattern, 1), F.lit("")))
+
+    def nested(kind):
+        pattern = rf"{_BARE}:{kind}\(\s*({_SIMPLE})\s*\)"
+        return F.transform(F.regexp_extract_all(part, F.lit(pattern), F.lit(1)), simple)
 
-    # what stands in :not() and brackets is looked at on its own, so that no value
-    # is taken for a class
-    nots = F.regexp_extract_all(part, F.lit(rf":not\(\s*({_SIMPLE})\s*\)"), F.lit(1))
-    own = F.regexp_replace(part, _NOT, "")
+    # what stands in :not(), :has() and brackets is looked at on its own, so that no
+    # value is taken for a class
+    own = F.regexp_replace(part, _BARE + _NESTED, "")
     attr_texts = F.regexp_extract_all(own, F.lit(rf"({_ATTRIBUTE})"), F.lit(1))
     bare = F.regexp_replace(own, _ATTRIBUTE, "")
     comb = F.trim(F.regexp_extract(part, r"^(\s*[>+~]?\s*)", 1))
@@ -82,33 +97,32 @@ def _step(part: Column) -> Column:
         quoted = F.coalesce(
             F.nullif(group(r"=\s*\"([^\"]*)\"\s*\]$"), F.lit("")),
             F.nullif(group(r"=\s*'([^']*)'\s*\]$"), F.lit("")),
-            group(rf"=\s*({_IDENT})\s*\]$"),
+            _name(group(rf"=\s*({_IDENT})\s*\]$")),
         )
         return F.struct(
-            F.lower(group(rf"^\[\s*({_IDENT})")).alias("attr"),
+            F.lower(_name(group(rf"^\[\s*({_IDENT})"))).alias("attr"),
             group(rf"^\[\s*{_IDENT}\s*([~|^$*!]?=)").alias("op"),
             quoted.alias("value"),
         )
 
-    def place(kind):
-        text = F.regexp_replace(F.regexp_extract(bare, rf":nth-{kind}\(\s*({_PLACE})\s*\)", 1), r"\s", "")
+    def place(kind, end=False):
+        counted = f"last-{kind}" if end else kind
+        text = F.regexp_replace(F.regexp_extract(bare, rf"{_BARE}:nth-{counted}\(\s*({_PLACE})\s*\)", 1), r"\s", "")
         step, rest = F.regexp_extract(text, "^([+-]?[0-9]*)n", 1), F.regexp_extract(text, "n([+-][0-9]+)$", 1)
         a = F.when(step.isin("", "+"), 1).when(step == "-", -1).otherwise(step.try_cast("int"))
         pair = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
-        first = F.contains(bare, F.lit(f":first-{kind}"))
-        if kind == "child":
-            first = first | F.contains(bare, F.lit(":only-child"))
+        only = f"{_BARE}:(?:only|{'last' if end else 'first'})-{kind}(?![A-Za-z0-9_-])"
         return (
-            F.when(first, pair(F.lit(0), F.lit(1)))
+            F.when(bare.rlike(only), pair(F.lit(0), F.lit(1)))
             .when(text == "odd", pair(F.lit(2), F.lit(1)))
             .when(text == "even", pair(F.lit(2), F.lit(0)))
             .when(F.contains(text, F.lit("n")), pair(a, F.coalesce(rest.try_cast("int"), F.lit(0))))
             .when(text != "", pair(F.lit(0), text.try_cast("int")))
         )
 
-    def negated(t):
+    def simple(t):
         def found(pattern):
-            return F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
+            return _name(F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")))
 
         return F.struct(
             F.lower(found(rf"^({_IDENT}|\*)$")).alias("tag"),
@@ -120,14 +134,16 @@ def _step(part: Column) -> Column:
     return F.struct(
         comb.alias("comb"),
         F.lower(first(rf"^\s*[>+~]?\s*({_IDENT})")).alias("tag"),
-        F.nullif(F.regexp_extract(bare, rf"#({_IDENT})", 1), F.lit("")).alias("id"),
-        F.regexp_extract_all(bare, F.lit(rf"\.({_IDENT})"), F.lit(1)).alias("classes"),
+        _name(F.nullif(F.regexp_extract(bare, rf"{_BARE}#({_IDENT})", 1), F.lit(""))).alias("id"),
+        F.transform(F.regexp_extract_all(bare, F.lit(rf"{_BARE}\.({_IDENT})"), F.lit(1)), _name).alias("classes"),
         F.transform(attr_texts, attr).alias("attrs"),
         place("of-type").alias("nth"),
         place("child").alias("child"),
-        (F.contains(bare, F.lit(":last-child")) | F.contains(bare, F.lit(":only-child"))).alias("last"),
-        F.contains(bare, F.lit(":empty")).alias("empty"),
-        F.transform(nots, negated).alias("nots"),
+        place("of-type", end=True).alias("nth_end"),
+        place("child", end=True).alias("child_end"),
+        bare.rlike(_BARE + ":empty").alias("empty"),
+        nested("not").alias("nots"),
+        nested("has").alias("has"),
     )
 
 
@@ -158,31 +174,74 @@ def in_place(place: Column, number: Column) -> Column:
     )
 
 
-def matches_step(n: Column, step: Column, nodes: Column) -> Column:
-    """Whether an element fits one step, its combinator left aside."""
-    own_classes = F.split(F.coalesce(F.element_at(n.attrs, "class"), F.lit("")), _BLANKS)
-    # looked for only where a step asks
-    followed = F.exists(nodes, lambda m: is_element(m) & (m.parent == n.parent) & (m.sib > n.sib))
-    filled = F.exists(F.slice(nodes, n.nid + 2, n.last - n.nid), lambda m: m.kind != "comment")
-    refused = F.exists(
-        step.nots,
-        lambda x: (x.tag == "*")
-        | F.coalesce(n.tag == x.tag, F.lit(False))
+def _classes(n: Column) -> Column:
+    return F.split(F.coalesce(F.element_at(n.attrs, "class"), F.lit("")), _BLANKS)
+
+
+def matches_simple(n: Column, x: Column) -> Column:
+    """Whether an element fits one simple selector."""
+    return is_element(n) & (
+        F.coalesce((x.tag == "*") | (n.tag == x.tag), F.lit(False))
         | F.coalesce(F.element_at(n.attrs, "id") == x.id, F.lit(False))
-        | F.coalesce(F.array_contains(own_classes, x["class"]), F.lit(False))
-        | (x.attr.isNotNull() & matches_attribute(F.element_at(n.attrs, x.attr.attr), x.attr)),
+        | F.coalesce(F.array_contains(_classes(n), x["class"]), F.lit(False))
+        | (x.attr.isNotNull() & matches_attribute(F.element_at(n.attrs, x.attr.attr), x.attr))
     )
+
+
+def inner_counts(nodes: Column, x: Column) -> Column:
+    """For each node, how many nodes below it fit a simple selector: those that start
+    up to its end less those that start up to itself."""
+    starts = F.transform(F.filter(nodes, lambda n: matches_simple(n, x)), lambda n: n.nid)
+
+    def counts(starts):
+        ended = rank_below(starts, F.transform(nodes, lambda n: n.last + 1))
+        begun = rank_below(starts, F.transform(nodes, lambda n: n.nid + 1))
+        return F.zip_with(ended, begun, lambda a, b: a - b)
+
+    return let(starts, counts)
+
+
+def places_from_end(nodes: Column) -> Column:
+    """For each node, its place from the end among the elements of its parent and among
+    those of its tag too: ARRAY<STRUCT<child, nth>>, by two sorts for the whole page."""
+    last = F.lit(2**31 - 1)
+
+    def later(key):
+        own = F.transform(F.filter(nodes, is_element), lambda n: key(n, None))
+        ends = rank_below(own, F.transform(nodes, lambda n: key(n, last)))
+        starts = rank_below(own, F.transform(nodes, lambda n: key(n, None)))
+        return F.zip_with(ends, starts, lambda a, b: a - b)
+
+    def among_all(n, place):
+        return F.struct(n.parent.alias("p"), (n.sib if place is None else place).alias("s"))
+
+    def among_tag(n, place):
+        return F.struct(n.parent.alias("p"), n.tag.alias("t"), (n.nth if place is None else place).alias("s"))
+
+    return F.zip_with(
+        later(among_all), later(among_tag), lambda c, t: F.struct(c.alias("child"), t.alias("nth"))
+    )
+
+
+def matches_step(n: Column, step: Column, nodes: Column, ends: Column, inner: Column) -> Column:
+    """Whether an element fits one step, its combinator left aside. `ends` are the
+    `places_from_end`, NULL where no step asks for them, `inner` the counts of each
+    `:has()` of the step."""
+    filled = F.exists(F.slice(nodes, n.nid + 2, n.last - n.nid), lambda m: m.kind != "comment")
+    end = F.get(ends, n.nid)
     return (
         is_element(n)
         & (step.tag.isNull() | (n.tag == step.tag))
         & (step.id.isNull() | F.coalesce(F.element_at(n.attrs, "id") == step.id, F.lit(False)))
-        & ((F.size(step.classes) == 0) | (F.size(F.array_except(step.classes, own_classes)) == 0))
+        & ((F.size(step.classes) == 0) | (F.size(F.array_except(step.classes, _classes(n))) == 0))
         & F.forall(step.attrs, lambda a: matches_attribute(F.element_at(n.attrs, a.attr), a))
         & in_place(step.nth, n.nth)
         & in_place(step.child, n.sib + 1)
-        & F.when(step.last, ~followed).otherwise(True)
+        & F.when(step.nth_end.isNull(), True).otherwise(in_place(step.nth_end, end.nth))
+        & F.when(step.child_end.isNull(), True).otherwise(in_place(step.child_end, end.child))
         & F.when(step.empty, ~filled).otherwise(True)
-        & F.when(F.size(step.nots) > 0, ~F.coalesce(refused, F.lit(False))).otherwise(True)
+        & ~F.exists(step.nots, lambda x: matches_simple(n, x))
+        & F.forall(inner, lambda counts: F.get(counts, n.nid) > 0)
     )
 
 
@@ -243,7 +302,18 @@ def select(nodes: Column, selector: Column) -> Column:
     matched exactly without backtracking.
     """
 
-    def chain(steps):
+    def asks(steps):
+        return F.exists(steps, lambda s: s.nth_end.isNotNull() | s.child_end.isNotNull())
+
+    def fits(step, ends, linked):
+        return let(
+            F.transform(step.has, lambda x: inner_counts(nodes, x)),
+            lambda inner: F.transform(
+                nodes, lambda n: matches_step(n, step, nodes, ends, inner) & linked(n)
+            ),
+        )
+
+    def chain(steps, ends):
         def advance(flags, step):
             # counts are needed by `~` and the blank only
             counts = F.when(step.comb == "~", earlier_sibling_counts(nodes, flags)).when(
@@ -259,17 +329,20 @@ def select(nodes: Column, selector: Column) -> Column:
 
             return let(
                 counts,
-                lambda counts: F.transform(nodes, lambda n: matches_step(n, step, nodes) & linked(n, counts)),
+                lambda counts: fits(step, ends, lambda n: linked(n, counts)),
             )
 
-        start = F.transform(nodes, lambda n: matches_step(n, F.get(steps, F.lit(0)), nodes))
+        start = fits(F.get(steps, F.lit(0)), ends, lambda n: F.lit(True))
         return F.aggregate(F.slice(steps, F.lit(2), F.size(steps) - 1), start, advance)
 
     def either(a, b):
         return F.zip_with(a, b, lambda x, y: x | y)
 
     none = F.transform(nodes, lambda n: F.lit(False))
-    flags = F.aggregate(selector, none, lambda acc, steps: either(acc, chain(steps)))
+    flags = let(
+        F.when(F.exists(selector, asks), places_from_end(nodes)),
+        lambda ends: F.aggregate(selector, none, lambda acc, steps: either(acc, chain(steps, ends))),
+    )
     return let(
         flags,
         lambda f: F.transform(

@@ -126,7 +126,10 @@ _SELECTORS = {
     "A[HREF]": "n", "li:nth-child(odd) a": "(n + 1) // 2", "li:nth-child(2n) a": "n // 2",
     "li:last-child a": "1", "li:nth-of-type(-n+2) a": "least(n, 2)", "a:not([href])": "0",
     "li:not(.x) > a": "n", "a[title!=\"x, y\"]": "n", "li:only-child": "CAST(n = 1 AS INTEGER)",
-    "nav a:only-child": "n",
+    "nav a:only-child": "n", "li:nth-last-child(2) a": "CAST(n > 1 AS INTEGER)",
+    "li:nth-last-of-type(odd) > a": "(n + 1) // 2", "li:nth-last-child(-n+3)": "least(n, 3)",
+    "nav:has(a) li": "n", "li:has(a[href])": "n", "ul:has(li) > li:last-of-type": "1",
+    "li:has(ul), a:has(*)": "0", "nav:has(.a\\:b) a": "0", "li:nth-last-child(2) ~ li": "CAST(n > 1 AS INTEGER)",
 }
 
 

@@ -63,6 +63,15 @@ CASES = {
     "li > :not(a) a": ["/4", "/5"],
     "div:not(.box) a, a[title=\"x, y\"]": ["/5"],
     "a:empty": [],
+    "li:nth-last-child(2) a": ["/3"],
+    "li:nth-last-child(n+2) a": ["/1", "/2", "/3"],
+    "a:nth-last-of-type(2)": ["/1"],
+    "a:last-of-type": ["/2", "/3", "/4", "/5"],
+    "a:only-of-type": ["/3", "/4", "/5"],
+    "li:has(b) a": ["/4"],
+    "li:has([data-k]) > a, div:has(div) a": ["/3", "/5"],
+    "li:not(.x):has(div) a": ["/5"],
+    "ul:has(p) a": [],
 }
 
 
@@ -90,3 +99,19 @@ def test_classes_and_siblings(spark):
         ).alias("texts"),
     )
     assert {r.s: r.texts for r in df.collect()} == cases
+
+
+def test_escaped_and_other_names(spark):
+    page = '<p class="wide:box é">1</p><p class="wide" id="a.b">2</p><p class="box">3</p><i-é>4</i-é>'
+    cases = {r".wide\:box": ["1"], r"#a\.b": ["2"], ".é": ["1"], r"p:not(.wide\:box)": ["2", "3"],
+             r".\:first-child": [], r"p.box:nth-last-of-type(1)": ["3"], r"body:has(#a\.b) .wide": ["2"]}
+    pages = spark.createDataFrame([(s, page) for s in cases], "s STRING, html STRING")
+    found = selectors.select(F.col("nodes"), selectors.parse(F.col("s")))
+    df = with_nodes(pages).select("s", F.transform(found, lambda i: F.get("nodes", i + 1).txt).alias("texts"))
+    assert {r.s: r.texts for r in df.collect()} == cases
+
+
+def test_many_siblings_take_no_longer_than_a_sort(spark):
+    page = spark.createDataFrame([("<ul>" + "<li>x</li>" * 30000 + "</ul>",)], "html STRING")
+    last = selectors.select(F.col("nodes"), selectors.parse(F.lit("ul:has(li) > li:nth-last-child(-n+2)")))
+    assert with_nodes(page).select(F.size(last)).first()[0] == 2

@@ -7,8 +7,8 @@ a million sources with a million selectors still make one plan.
 Covered: `tag`, `*`, `#id`, `.class`, `[attr]` and `[attr=value]` with the
 operators `=`, `!=`, `~=`, `|=`, `^=`, `$=`, `*=`, `:nth-of-type()`, `:nth-child()`,
 `:nth-last-of-type()` and `:nth-last-child()` with a number, `odd`, `even` or `an+b`,
-the first, last and only of both kinds, `:empty`, `:not()` and `:has()` with one simple
-selector, the combinators blank, `>`, `+`, `~`, and selector lists. Names may hold letters
+the first, last and only of both kinds, `:empty`, `:not()` and `:has()` with tag, id,
+classes and attributes of one element, the combinators blank, `>`, `+`, `~`, and selector lists. Names may hold letters
 beyond ASCII and escaped signs (`.wide\\:box`), but no escapes by number. Anything else
 is invalid.
 """
@@ -27,10 +27,11 @@ _BARE = r"(?<!\\)"
 _VALUE = rf"(?:\"[^\"]*\"|'[^']*'|{_IDENT})"
 _ATTRIBUTE = rf"\[\s*{_IDENT}\s*(?:[~|^$*!]?=\s*{_VALUE}\s*)?\]"
 _PLACE = r"(?:odd|even|[+-]?[0-9]*n(?:\s*[+-]\s*[0-9]+)?|[+-]?[0-9]+)"
-_SIMPLE = rf"(?:{_IDENT}|\*|#{_IDENT}|\.{_IDENT}|{_ATTRIBUTE})"
-_NESTED = rf":(?:not|has)\(\s*{_SIMPLE}\s*\)"
+_MARK = rf"(?:#{_IDENT}|\.{_IDENT}|{_ATTRIBUTE})"
+_PLAIN = rf"(?:(?:{_IDENT}|\*){_MARK}*+|{_MARK}++)"
+_NESTED = rf":(?:not|has)\(\s*{_PLAIN}\s*\)"
 _QUALIFIER = (
-    rf"(?:#{_IDENT}|\.{_IDENT}|{_ATTRIBUTE}|{_NESTED}|:nth-(?:last-)?(?:of-type|child)\(\s*{_PLACE}\s*\)"
+    rf"(?:{_MARK}|{_NESTED}|:nth-(?:last-)?(?:of-type|child)\(\s*{_PLACE}\s*\)"
     r"|:(?:first|last|only)-(?:of-type|child)|:empty)"
 )
 _COMPOUND = rf"(?:(?:{_IDENT}|\*){_QUALIFIER}*+|{_QUALIFIER}++)"
@@ -39,15 +40,15 @@ _COMBINATOR = r"(?:\s*[>+~]\s*|\s+)"
 _CHAIN = rf"{_COMPOUND}(?:{_COMBINATOR}{_COMPOUND})*+"
 _LIST = rf"^\s*{_CHAIN}(?:\s*,\s*{_CHAIN})*+\s*$"
 
-SIMPLE = (
-    "STRUCT<tag: STRING, id: STRING, class: STRING, attr: STRUCT<attr: STRING, op: STRING, value: STRING>>"
+_PLAIN_FIELDS = (
+    "tag: STRING, id: STRING, classes: ARRAY<STRING>, "
+    "attrs: ARRAY<STRUCT<attr: STRING, op: STRING, value: STRING>>"
 )
 STEP = (
-    "STRUCT<comb: STRING, tag: STRING, id: STRING, classes: ARRAY<STRING>, "
-    "attrs: ARRAY<STRUCT<attr: STRING, op: STRING, value: STRING>>, "
+    f"STRUCT<comb: STRING, {_PLAIN_FIELDS}, "
     "nth: STRUCT<a: INT, b: INT>, child: STRUCT<a: INT, b: INT>, "
     "nth_end: STRUCT<a: INT, b: INT>, child_end: STRUCT<a: INT, b: INT>, empty: BOOLEAN, "
-    f"nots: ARRAY<{SIMPLE}>, has: ARRAY<{SIMPLE}>>"
+    f"nots: ARRAY<STRUCT<{_PLAIN_FIELDS}>>, has: ARRAY<STRUCT<{_PLAIN_FIELDS}>>>"
 )
 
 
@@ -75,36 +76,53 @@ def _name(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(.)", "$1")
 
 
-def _step(part: Column) -> Column:
+def _attribute(a: Column) -> Column:
+    """One selector in brackets."""
+
+    def group(pattern, n=1):
+        return F.regexp_extract(a, pattern, n)
+
+    quoted = F.coalesce(
+        F.nullif(group(r"=\s*\"([^\"]*)\"\s*\]$"), F.lit("")),
+        F.nullif(group(r"=\s*'([^']*)'\s*\]$"), F.lit("")),
+        _name(group(rf"=\s*({_IDENT})\s*\]$")),
+    )
+    return F.struct(
+        F.lower(_name(group(rf"^\[\s*({_IDENT})"))).alias("attr"),
+        group(rf"^\[\s*{_IDENT}\s*([~|^$*!]?=)").alias("op"),
+        quoted.alias("value"),
+    )
+
+
+def _plain(text: Column) -> list[Column]:
+    """Tag, id, classes and attributes that an element has to have."""
+    # values in brackets are no classes
+    bare = F.regexp_replace(text, _ATTRIBUTE, "")
+
     def first(pattern):
-        return _name(F.nullif(F.regexp_extract(part, pattern, 1), F.lit("")))
+        return _name(F.nullif(F.regexp_extract(bare, pattern, 1), F.lit("")))
+
+    classes = F.regexp_extract_all(bare, F.lit(rf"{_BARE}\.({_IDENT})"), F.lit(1))
+    attributes = F.regexp_extract_all(text, F.lit(rf"({_ATTRIBUTE})"), F.lit(1))
+    return [
+        F.lower(first(rf"^({_IDENT})")).alias("tag"),
+        first(rf"{_BARE}#({_IDENT})").alias("id"),
+        F.transform(classes, _name).alias("classes"),
+        F.transform(attributes, _attribute).alias("attrs"),
+    ]
+
 
+def _step(part: Column) -> Column:
     def nested(kind):
-        pattern = rf"{_BARE}:{kind}\(\s*({_SIMPLE})\s*\)"
-        return F.transform(F.regexp_extract_all(part, F.lit(pattern), F.lit(1)), simple)
+        pattern = rf"{_BARE}:{kind}\(\s*({_PLAIN})\s*\)"
+        found = F.regexp_extract_all(part, F.lit(pattern), F.lit(1))
+        return F.transform(found, lambda t: F.struct(*_plain(t)))
 
-    # what stands in :not(), :has() and brackets is looked at on its own, so that no
-    # value is taken for a class
-    own = F.regexp_replace(part, _BARE + _NESTED, "")
-    attr_texts = F.regexp_extract_all(own, F.lit(rf"({_ATTRIBUTE})"), F.lit(1))
+    # what stands in :not() and :has() is looked at on its own
+    own = F.regexp_replace(F.regexp_replace(part, _BARE + _NESTED, ""), r"^\s*[>+~]?\s*", "")
     bare = F.regexp_replace(own, _ATTRIBUTE, "")
     comb = F.trim(F.regexp_extract(part, r"^(\s*[>+~]?\s*)", 1))
 
-    def attr(a):
-        def group(pattern, n=1):
-            return F.regexp_extract(a, pattern, n)
-
-        quoted = F.coalesce(
-            F.nullif(group(r"=\s*\"([^\"]*)\"\s*\]$"), F.lit("")),
-            F.nullif(group(r"=\s*'([^']*)'\s*\]$"), F.lit("")),
-            _name(group(rf"=\s*({_IDENT})\s*\]$")),
-        )
-        return F.struct(
-            F.lower(_name(group(rf"^\[\s*({_IDENT})"))).alias("attr"),
-            group(rf"^\[\s*{_IDENT}\s*([~|^$*!]?=)").alias("op"),
-            quoted.alias("value"),
-        )
-
     def place(kind, end=False):
         counted = f"last-{kind}" if end else kind
         text = F.regexp_replace(F.regexp_extract(bare, rf"{_BARE}:nth-{counted}\(\s*({_PLACE})\s*\)", 1), r"\s", "")
@@ -120,23 +138,9 @@ def _step(part: Column) -> Column:
             .when(text != "", pair(F.lit(0), text.try_cast("int")))
         )
 
-    def simple(t):
-        def found(pattern):
-            return _name(F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")))
-
-        return F.struct(
-            F.lower(found(rf"^({_IDENT}|\*)$")).alias("tag"),
-            found(rf"^#({_IDENT})$").alias("id"),
-            found(rf"^\.({_IDENT})$").alias("class"),
-            F.when(F.startswith(t, F.lit("[")), attr(t)).alias("attr"),
-        )
-
     return F.struct(
         comb.alias("comb"),
-        F.lower(first(rf"^\s*[>+~]?\s*({_IDENT})")).alias("tag"),
-        _name(F.nullif(F.regexp_extract(bare, rf"{_BARE}#({_IDENT})", 1), F.lit(""))).alias("id"),
-        F.transform(F.regexp_extract_all(bare, F.lit(rf"{_BARE}\.({_IDENT})"), F.lit(1)), _name).alias("classes"),
-        F.transform(attr_texts, attr).alias("attrs"),
+        *_plain(own),
         place("of-type").alias("nth"),
         place("child").alias("child"),
         place("of-type", end=True).alias("nth_end"),
@@ -178,20 +182,21 @@ def _classes(n: Column) -> Column:
     return F.split(F.coalesce(F.element_at(n.attrs, "class"), F.lit("")), _BLANKS)
 
 
-def matches_simple(n: Column, x: Column) -> Column:
-    """Whether an element fits one simple selector."""
-    return is_element(n) & (
-        F.coalesce((x.tag == "*") | (n.tag == x.tag), F.lit(False))
-        | F.coalesce(F.element_at(n.attrs, "id") == x.id, F.lit(False))
-        | F.coalesce(F.array_contains(_classes(n), x["class"]), F.lit(False))
-        | (x.attr.isNotNull() & matches_attribute(F.element_at(n.attrs, x.attr.attr), x.attr))
+def matches_plain(n: Column, x: Column) -> Column:
+    """Whether an element has the tag, id, classes and attributes that are asked for."""
+    return (
+        is_element(n)
+        & (x.tag.isNull() | (n.tag == x.tag))
+        & (x.id.isNull() | F.coalesce(F.element_at(n.attrs, "id") == x.id, F.lit(False)))
+        & ((F.size(x.classes) == 0) | (F.size(F.array_except(x.classes, _classes(n))) == 0))
+        & F.forall(x.attrs, lambda a: matches_attribute(F.element_at(n.attrs, a.attr), a))
     )
 
 
 def inner_counts(nodes: Column, x: Column) -> Column:
-    """For each node, how many nodes below it fit a simple selector: those that start
+    """For each node, how many nodes below it fit: those that start
     up to its end less those that start up to itself."""
-    starts = F.transform(F.filter(nodes, lambda n: matches_simple(n, x)), lambda n: n.nid)
+    starts = F.transform(F.filter(nodes, lambda n: matches_plain(n, x)), lambda n: n.nid)
 
     def counts(starts):
         ended = rank_below(starts, F.transform(nodes, lambda n: n.last + 1))
@@ -230,17 +235,13 @@ def matches_step(n: Column, step: Column, nodes: Column, ends: Column, inner: Co
     filled = F.exists(F.slice(nodes, n.nid + 2, n.last - n.nid), lambda m: m.kind != "comment")
     end = F.get(ends, n.nid)
     return (
-        is_element(n)
-        & (step.tag.isNull() | (n.tag == step.tag))
-        & (step.id.isNull() | F.coalesce(F.element_at(n.attrs, "id") == step.id, F.lit(False)))
-        & ((F.size(step.classes) == 0) | (F.size(F.array_except(step.classes, _classes(n))) == 0))
-        & F.forall(step.attrs, lambda a: matches_attribute(F.element_at(n.attrs, a.attr), a))
+        matches_plain(n, step)
         & in_place(step.nth, n.nth)
         & in_place(step.child, n.sib + 1)
         & F.when(step.nth_end.isNull(), True).otherwise(in_place(step.nth_end, end.nth))
         & F.when(step.child_end.isNull(), True).otherwise(in_place(step.child_end, end.child))
         & F.when(step.empty, ~filled).otherwise(True)
-        & ~F.exists(step.nots, lambda x: matches_simple(n, x))
+        & ~F.exists(step.nots, lambda x: matches_plain(n, x))
         & F.forall(inner, lambda counts: F.get(counts, n.nid) > 0)
     )
 

@@ -72,6 +72,8 @@ CASES = {
     "li:has([data-k]) > a, div:has(div) a": ["/3", "/5"],
     "li:not(.x):has(div) a": ["/5"],
     "ul:has(p) a": [],
+    "li:has(a[data-k]) a, ul:has(div.x) a": ["/3"],
+    "li a:not([data-k][href='/3']):not(a[href='/1'])": ["/2", "/4", "/5"],
 }
 
 

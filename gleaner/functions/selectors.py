@@ -94,10 +94,13 @@ def _attribute(a: Column) -> Column:
     )
 
 
-def _plain(text: Column) -> list[Column]:
-    """Tag, id, classes and attributes that an element has to have."""
+def _bare(text: Column) -> Column:
     # values in brackets are no classes
-    bare = F.regexp_replace(text, _ATTRIBUTE, "")
+    return F.regexp_replace(text, _ATTRIBUTE, "")
+
+
+def _plain(text: Column, bare: Column) -> list[Column]:
+    """Tag, id, classes and attributes that an element has to have."""
 
     def first(pattern):
         return _name(F.nullif(F.regexp_extract(bare, pattern, 1), F.lit("")))
@@ -116,39 +119,45 @@ def _step(part: Column) -> Column:
     def nested(kind):
         pattern = rf"{_BARE}:{kind}\(\s*({_PLAIN})\s*\)"
         found = F.regexp_extract_all(part, F.lit(pattern), F.lit(1))
-        return F.transform(found, lambda t: F.struct(*_plain(t)))
+        return F.transform(found, lambda t: let(_bare(t), lambda bare: F.struct(*_plain(t, bare))))
 
     # what stands in :not() and :has() is looked at on its own
     own = F.regexp_replace(F.regexp_replace(part, _BARE + _NESTED, ""), r"^\s*[>+~]?\s*", "")
-    bare = F.regexp_replace(own, _ATTRIBUTE, "")
     comb = F.trim(F.regexp_extract(part, r"^(\s*[>+~]?\s*)", 1))
 
-    def place(kind, end=False):
+    def place(bare, kind, end=False):
         counted = f"last-{kind}" if end else kind
         text = F.regexp_replace(F.regexp_extract(bare, rf"{_BARE}:nth-{counted}\(\s*({_PLACE})\s*\)", 1), r"\s", "")
+        only = f"{_BARE}:(?:only|{'last' if end else 'first'})-{kind}(?![A-Za-z0-9_-])"
+        return let(text, lambda text: F.when(bare.rlike(only), pair(F.lit(0), F.lit(1))).otherwise(formula(text)))
+
+    def pair(a, b):
+        return F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+
+    def formula(text):
         step, rest = F.regexp_extract(text, "^([+-]?[0-9]*)n", 1), F.regexp_extract(text, "n([+-][0-9]+)$", 1)
         a = F.when(step.isin("", "+"), 1).when(step == "-", -1).otherwise(step.try_cast("int"))
-        pair = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
-        only = f"{_BARE}:(?:only|{'last' if end else 'first'})-{kind}(?![A-Za-z0-9_-])"
         return (
-            F.when(bare.rlike(only), pair(F.lit(0), F.lit(1)))
-            .when(text == "odd", pair(F.lit(2), F.lit(1)))
+            F.when(text == "odd", pair(F.lit(2), F.lit(1)))
             .when(text == "even", pair(F.lit(2), F.lit(0)))
             .when(F.contains(text, F.lit("n")), pair(a, F.coalesce(rest.try_cast("int"), F.lit(0))))
             .when(text != "", pair(F.lit(0), text.try_cast("int")))
         )
 
-    return F.struct(
-        comb.alias("comb"),
-        *_plain(own),
-        place("of-type").alias("nth"),
-        place("child").alias("child"),
-        place("of-type", end=True).alias("nth_end"),
-        place("child", end=True).alias("child_end"),
-        bare.rlike(_BARE + ":empty").alias("empty"),
-        nested("not").alias("nots"),
-        nested("has").alias("has"),
-    )
+    def whole(own, bare):
+        return F.struct(
+            comb.alias("comb"),
+            *_plain(own, bare),
+            place(bare, "of-type").alias("nth"),
+            place(bare, "child").alias("child"),
+            place(bare, "of-type", end=True).alias("nth_end"),
+            place(bare, "child", end=True).alias("child_end"),
+            bare.rlike(_BARE + ":empty").alias("empty"),
+            nested("not").alias("nots"),
+            nested("has").alias("has"),
+        )
+
+    return let(own, lambda own: let(_bare(own), lambda bare: whole(own, bare)))
 
 
 def matches_attribute(have: Column, a: Column) -> Column:
@@ -316,14 +325,17 @@ def select(nodes: Column, selector: Column) -> Column:
 
     def chain(steps, ends):
         def advance(flags, step):
-            # counts are needed by `~` and the blank only
-            counts = F.when(step.comb == "~", earlier_sibling_counts(nodes, flags)).when(
-                step.comb == "", flagged_ancestor_counts(nodes, flags)
+            # the first step has no flags; counts are needed by `~` and the blank only
+            counts = (
+                F.when(flags.isNull(), None)
+                .when(step.comb == "~", earlier_sibling_counts(nodes, flags))
+                .when(step.comb == "", flagged_ancestor_counts(nodes, flags))
             )
 
             def linked(n, counts):
                 return (
-                    F.when(step.comb == ">", F.coalesce(F.get(flags, n.parent), F.lit(False)))
+                    F.when(flags.isNull(), True)
+                    .when(step.comb == ">", F.coalesce(F.get(flags, n.parent), F.lit(False)))
                     .when(step.comb == "+", F.coalesce(F.get(flags, n.prev), F.lit(False)))
                     .otherwise(F.get(counts, n.nid) > 0)
                 )
@@ -333,8 +345,7 @@ def select(nodes: Column, selector: Column) -> Column:
                 lambda counts: fits(step, ends, lambda n: linked(n, counts)),
             )
 
-        start = fits(F.get(steps, F.lit(0)), ends, lambda n: F.lit(True))
-        return F.aggregate(F.slice(steps, F.lit(2), F.size(steps) - 1), start, advance)
+        return F.aggregate(steps, F.lit(None).cast("array<boolean>"), advance)
 
     def either(a, b):
         return F.zip_with(a, b, lambda x, y: x | y)

@@ -6,7 +6,7 @@ term's weight in a text is its relative frequency times its inverse document
 frequency, which is counted over all documents with a language. The weights are
 learned by follow-the-regularised-leader (proximal, per-coordinate rates) with L1
 and L2 penalties from a bounded sample, up to `PER_LANG` documents of each
-language; a temperature that calibrates the probabilities is fitted on a fifth of
+language and `MOST` in all; a temperature that calibrates the probabilities is fitted on a fifth of
 the sample that training leaves out.
 
 Rules: texts that are null or have no letter are `und` with score 0; so is every
@@ -28,7 +28,7 @@ from gleaner.llm.bpe import LETTER, _classes, _once
 from gleaner.sources.tables import broadcast_if_small
 
 ORDER, BUCKETS, SCALE = 3, 1 << 15, 10.0
-PER_LANG, PASSES = 1200, 2
+PER_LANG, MOST, PASSES = 1200, 24000, 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 UNKNOWN = "und"
 
@@ -91,17 +91,22 @@ def frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
 
 
 def sample(docs: DataFrame, key: str, text: str, lang: str, most: int = PER_LANG) -> DataFrame:
-    """id, lang, text: up to `most` documents of each language, by the least
-    hashes of their ids. Languages with more are thinned by their hashes first."""
+    """id, lang, text: up to `most` documents of each language, fewer where that
+    would be more than `MOST` in all, by the least hashes of their ids. Languages with
+    more are thinned by their hashes first. One text of an id counts, the one with the
+    least hash, in however many rows the id stands."""
     ids = docs.select(F.col(key).alias("_id"), F.col(lang).alias("_lang")).filter("_id is not null")
-    counts = ids.groupBy("_lang").agg(F.count("*").alias("_n"))
+    # ids are counted roughly; twice as many as needed pass the thinning
+    counts = ids.groupBy("_lang").agg(F.approx_count_distinct("_id").alias("_n"))
+    most = max(1, min(most, MOST // max(1, counts.count())))
     rank = F.xxhash64(F.col("_id").cast("string"))
     spread = (rank.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     ids = ids.join(broadcast_if_small(counts), "_lang").filter(spread * F.col("_n") <= 2.0 * most + 50)
-    chosen = ids.withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy(spread, "_id"))).filter(F.col("_r") <= most)
+    chosen = ids.distinct().withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy(spread, "_id"))).filter(F.col("_r") <= most)
     chosen = chosen.select("_id", "_lang")
     rows = docs.select(F.col(key).alias("_id"), F.col(lang).alias("_lang"), F.col(text).cast("string").alias("_text"))
-    return rows.join(broadcast_if_small(chosen), ["_id", "_lang"])
+    rows = rows.join(broadcast_if_small(chosen), ["_id", "_lang"])
+    return rows.groupBy("_id", "_lang").agg(F.min(F.struct(F.md5("_text"), "_text"))["_text"].alias("_text"))
 
 
 class Model:

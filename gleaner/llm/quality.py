@@ -96,7 +96,7 @@ def document_frequencies(df: DataFrame, text: str = "text") -> tuple[int, np.nda
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, key: str = "doc_id") -> DataFrame:
     """Up to `most` / 2 rows of each label, by the least hashes of their ids."""
-    rows = labels.select(F.col(key).alias("_id"), F.col("quality").cast("int").alias("_label")).filter("_label in (0, 1) and _id is not null")
+    rows = labels.select(F.col(key).alias("_id"), F.col("quality").cast("int").alias("_label")).filter("_label in (0, 1) and _id is not null").distinct()
     rows = rows.join(docs.select(F.col(key).alias("_id")).distinct(), "_id")
     order = [F.xxhash64(F.col("_id").cast("string")), F.col("_id")]
     return rows.filter("_label = 0").orderBy(*order).limit(most // 2).union(rows.filter("_label = 1").orderBy(*order).limit(most // 2))
@@ -156,6 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.int64()), own.column(1), pa.array(rows, pa.binary())], names=["id", "label", "counts"])
 
     rows = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(sample), "_id")
+    # an id may stand in any number of rows: one text of each counts, the one with the least hash
+    rows = rows.groupBy("_id", "_label").agg(F.min(F.struct(F.md5("_text"), "_text"))["_text"].alias("_text"))
     rows = rows.select(F.col("_id").cast("long"), "_label", "_text").mapInArrow(tidy(run), "id long, label int, counts binary").toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("counts", "ascending")])
     counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
     return Model(idf, counts, rows["label"].to_numpy())

@@ -1,8 +1,12 @@
 """Learned operators: held-out results on the sample tables, and odd rows."""
 
+import math
 import os
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import langid, quality
 from gleaner.llm.queries.corpus import HELD_OUT
@@ -54,6 +58,49 @@ def test_language_of_odd_rows(spark, odd, nothing):
     assert langid.predict(nothing, langid.fit(nothing)).count() == 0
 
 
+def test_samples_are_bounded_in_rows(spark, odd):
+    """An id in very many rows, with two texts, is one document to learn from."""
+    many = spark.range(100_000).select(F.lit(5).cast("bigint").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a common text, often repeated").otherwise("another text of this id").alias("text"), F.lit("en").alias("lang"))
+    docs = many.union(odd.select(F.col("doc_id").cast("bigint"), "text", "lang"))
+    labels = spark.createDataFrame([(5, 1), (8, 0), (9, 0)], "doc_id BIGINT, quality INT")
+    model = quality.fit(docs, labels)
+    assert len(model.labels) == 3
+    rows = langid.sample(docs.filter("text is not null and lang is not null"), "doc_id", "text", "lang").collect()
+    assert len(rows) == len({(r._id, r._lang) for r in rows}) and 5 in {r._id for r in rows}
+    assert len(langid.fit(docs).langs) >= 1
+
+
+def test_sample_of_very_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST", 60)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id % 30) AS lang")
+    rows = langid.sample(docs, "doc_id", "text", "lang").groupBy("_lang").count().collect()
+    assert len(rows) == 30 and {r["count"] for r in rows} == {2}
+
+
+def test_votes_against_plain_python(spark, odd):
+    """Each score is the vote of the nearest labelled vectors, weighted by e to the cosine times the sharpness."""
+    texts = [f"{w} {w} story number {i} about {w}s and a {v}" for i, (w, v) in enumerate([("river", "boat"), ("train", "coast"), ("spam!!", "$$$"), ("cheap", "click")] * 9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(0, 36) if i % 5], "doc_id BIGINT, quality INT")
+    model = quality.fit(docs, labels)
+    vectors, marks = model.vectors.astype(float).tolist(), model.labels.tolist()
+    counts = {}
+    def keep(batches):
+        for batch in batches:
+            for b in quality.blocks(batch.column(1)):
+                rows = quality.term_counts(b).astype("float32")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.lo, b.hi - b.lo), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "c"])
+    for r in docs.mapInArrow(keep, "doc_id long, c binary").collect():
+        counts[r.doc_id] = np.frombuffer(r.c, np.float32)[None]
+    for r in quality.score(docs, model).collect():
+        own = model.project(quality.weights(counts[r.doc_id].copy(), model.idf))[0].astype(float).tolist()
+        sims = sorted(((sum(a * b for a, b in zip(own, v)), m) for v, m in zip(vectors, marks)), reverse=True)
+        near = sims[: quality.NEIGHBOURS]
+        votes = [(math.exp(quality.SHARPNESS * (s - near[0][0])), m) for s, m in near]
+        want = sum(w * m for w, m in votes) / sum(w for w, _ in votes)
+        assert abs(r.score - want) < 1e-3, r
+
+
 def test_penalty_makes_weights_sparse(spark, odd):
     model = langid.fit(odd)
     assert model.weights.any() and (model.weights == 0).mean() > 0.5

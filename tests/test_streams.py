@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import ticks as op
 from gleaner.operators.store import read_seen
+from gleaner.queries import QUERIES
 from gleaner.sources.pages import stream_pages
 from gleaner.sources.tables import new_dir
 from gleaner.streaming.common import write_all
@@ -95,3 +96,19 @@ def test_first_run_and_one_run_for_each_due_tick(spark):
         F.regexp_extract(F.input_file_name(), "runs/([0-9]+)/", 1).cast("bigint").alias("n")).collect())
     # Tuesday and Friday at nine: one new link each, after two in the first run
     assert found == [0, 0, 485817, 485889]
+
+
+def test_newsletter_stream_reads_tables_of_one_file_and_of_many(spark):
+    one, many = new_dir(spark, "test"), new_dir(spark, "test")
+    rows = [(n, f"http://s{n}.example.org/", site([(h, f"{t} {n}") for h, t in FIVE])) for n in range(10)]
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    pages.repartition(4).write.parquet(f"{many}/pages.parquet")
+    pages.coalesce(1).write.parquet(f"{one}/written")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    (file,) = spark.read.parquet(f"{one}/written").inputFiles()
+    fs = path(file).getFileSystem(conf)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, path(file), fs, path(f"{one}/pages.parquet"), False, conf)
+    got = [sorted(map(tuple, QUERIES["newsletter_stream"](spark, sf).collect())) for sf in (one, many)]
+    # the sources 5 to 9 were fetched
+    assert got[0] == got[1] and len(got[0]) == 5 * 5

@@ -29,7 +29,7 @@ def _rows(df, array, *keep):
 
 @query("dom_nodes")
 def dom_nodes(spark, sf):
-    nodes = dom.node_table(inputs.pages(spark, sf).select("page_id", "html"))
+    nodes = dom.node_table(inputs.pages(spark, sf).select("page_id", "html")).drop("sib_end", "nth_end")
     return nodes.withColumn("attrs", F.to_json("attrs")).withColumnRenamed("last", "last_nid")
 
 
@@ -142,11 +142,19 @@ _SELECTORS = {
     ),
 )
 def css_select(spark, sf):
-    each = _nodes(spark, sf).select(
-        "page_id", "nodes", F.explode(F.array(*[F.lit(s) for s in _SELECTORS])).alias("selector")
+    # parsed once and sent to the pages, whose nodes stay one row
+    texts = spark.createDataFrame([(s,) for s in _SELECTORS], "selector STRING")
+    parsed = texts.select(F.collect_list(F.struct("selector", selectors.parse(F.col("selector")).alias("steps"))).alias("wanted"))
+    nodes = F.col("nodes")
+    counts = F.transform(
+        "wanted",
+        lambda w: F.struct(
+            w.selector.alias("selector"),
+            F.size(selectors.select(nodes, w.steps)).cast("bigint").alias("n_matches"),
+        ),
     )
-    found = selectors.select(F.col("nodes"), selectors.parse(F.col("selector")))
-    return each.select("page_id", "selector", F.size(found).cast("bigint").alias("n_matches"))
+    found = _nodes(spark, sf).crossJoin(F.broadcast(parsed))
+    return found.select("page_id", F.explode(counts).alias("x")).select("page_id", "x.*")
 
 
 @query(

@@ -99,3 +99,13 @@ def test_page_cap(spark):
     df = spark.createDataFrame([("abcdef",), ("ab",), (None,)], "html STRING")
     got = [r.c for r in df.select(cap_page(F.col("html"), 4).alias("c")).collect()]
     assert got == ["abcd", "ab", None]
+
+
+def test_places_from_the_end(spark):
+    html = "<ul><li>a<li>b<!-- c --><p>d</p>e<li>f</ul><div><p>x</p>y<p>z</p><br></div>"
+    rows = node_table(spark.createDataFrame([(1, html)], "page_id BIGINT, html STRING")).collect()
+    for r in rows:
+        after = [x for x in rows if (x.parent, x.kind) == (r.parent, "element") and x.sib >= r.sib]
+        want = (len(after), sum(x.tag == r.tag for x in after)) if r.kind == "element" else (0, 0)
+        assert (r.sib_end, r.nth_end) == want
+    assert max(r.sib_end for r in rows) == 3

@@ -1,8 +1,10 @@
 """Tree building."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.sources import dom
 from gleaner.sources.dom import node_table, parse_html, register
 from gleaner.sources.pages import cap_page, read_page_files
 from gleaner.sources.tables import new_dir
@@ -109,3 +111,24 @@ def test_places_from_the_end(spark):
         want = (len(after), sum(x.tag == r.tag for x in after)) if r.kind == "element" else (0, 0)
         assert (r.sib_end, r.nth_end) == want
     assert max(r.sib_end for r in rows) == 3
+
+
+def test_a_worker_holds_few_pages_at_a_time(monkeypatch):
+    monkeypatch.setattr(dom, "PIECE", 1000)
+    pages = ["<ul>" + "<li>x" * (i % 7) + "</ul>" for i in range(2000)]
+    pages[500], pages[501], pages[1500] = "<p>long" * 5000, None, ""
+    batches = [pa.array(pages[:900]), pa.array([], pa.string()), pa.array(pages[900:])]
+    parts = list(dom._parse_pages(iter(batches)))
+    found = [nodes for part in parts for nodes in part.to_pylist()]
+    assert [len(nodes) for nodes in found] == [_size(page) for page in pages]
+    assert all([n["nid"] for n in nodes] == list(range(len(nodes))) for nodes in found)
+    # 1,000 bytes are a few hundred nodes at most; the long page stands alone
+    assert sorted(len(part.flatten()) for part in parts)[-2] < 1000 and len(parts) > 20
+    assert [len(part) for part in parts if len(part.flatten()) > 9000] == [1]
+
+
+def _size(page):
+    def count(node):
+        return 1 + sum(map(count, node.children))
+
+    return 0 if page is None else count(parse_html(page))

@@ -117,3 +117,17 @@ def test_many_siblings_take_no_longer_than_a_sort(spark):
     page = spark.createDataFrame([("<ul>" + "<li>x</li>" * 30000 + "</ul>",)], "html STRING")
     last = selectors.select(F.col("nodes"), selectors.parse(F.lit("ul:has(li) > li:nth-last-child(-n+2)")))
     assert with_nodes(page).select(F.size(last)).first()[0] == 2
+
+
+def test_only_nodes_that_fit_are_sorted(spark):
+    """A step ranks the nodes that fit and those found before, not all of a page."""
+    html = "<div>" + "<p>x</p>" * 300 + "<ul><li><a href=/1>a</a></ul></div>"
+    df = with_nodes(spark.createDataFrame([(html,), ("",)], "html STRING"))
+    own = F.filter("nodes", lambda n: n.tag == "a")
+    found = F.filter("nodes", lambda n: n.tag.isin("div", "ul"))
+    for counts in (selectors.found_ancestor_counts(own, found), selectors.earlier_sibling_counts(own, found),
+                   selectors.found_counts(F.transform(own, lambda n: n.parent), found)):
+        assert [len(r[0]) for r in df.select(counts).collect()] == [1, 0]
+    assert [r[0] for r in df.select(selectors.found_ancestor_counts(own, found)).collect()] == [[2], []]
+    nothing = selectors.select(F.col("nodes"), selectors.parse(F.lit("7up")))
+    assert [r[0] for r in df.select(nothing).collect()] == [[], []]

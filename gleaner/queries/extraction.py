@@ -150,10 +150,11 @@ def css_select(spark, sf):
         "wanted",
         lambda w: F.struct(
             w.selector.alias("selector"),
-            F.size(selectors.select(nodes, w.steps)).cast("bigint").alias("n_matches"),
+            F.size(selectors.select(nodes, w.steps, F.col("elements"))).cast("bigint").alias("n_matches"),
         ),
     )
-    found = _nodes(spark, sf).crossJoin(F.broadcast(parsed))
+    pages = _nodes(spark, sf).select("page_id", "nodes", F.filter(nodes, links.is_element).alias("elements"))
+    found = pages.crossJoin(F.broadcast(parsed))
     return found.select("page_id", F.explode(counts).alias("x")).select("page_id", "x.*")
 
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.blocks import blocks, rows_of, span_hashes, tidy, word_bounds, Block
+from gleaner.llm.blocks import blocks, release, rows_of, span_hashes, tidy, word_bounds, Block
 
 TRIGRAMS, SHAPES, WORDS = 3072, 7**4, 24
 TERMS = TRIGRAMS + SHAPES + WORDS
@@ -67,9 +67,14 @@ def term_counts(block: Block) -> np.ndarray:
 
 
 def weights(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    out = np.log1p(counts) * idf
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norm, out=out, where=norm > 0)
+    """Unit rows of tf-idf, in place of the counts."""
+    np.log1p(counts, out=counts)
+    counts *= idf
+    for lo in range(0, len(counts), 256):
+        rows = counts[lo : lo + 256]
+        norm = np.linalg.norm(rows, axis=1, keepdims=True)
+        np.divide(rows, norm, out=rows, where=norm > 0)
+    return counts
 
 
 def document_frequencies(df: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
@@ -159,8 +164,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # an id may stand in any number of rows: one text of each counts, the one with the least hash
     rows = rows.groupBy("_id", "_label").agg(F.min(F.struct(F.md5("_text"), "_text"))["_text"].alias("_text"))
     rows = rows.select(F.col("_id").cast("long"), "_label", "_text").mapInArrow(tidy(run), "id long, label int, counts binary").toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("counts", "ascending")])
-    counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
-    return Model(idf, counts, rows["label"].to_numpy())
+    # the driver holds these rows once in each of two forms, and only one from here on
+    counts, kept = np.empty((len(rows), TERMS), np.float32), rows["label"].to_numpy()
+    for i, row in enumerate(rows["counts"]):
+        counts[i] = np.frombuffer(row.as_buffer(), np.float16)
+    del rows
+    model = Model(idf, counts, kept)
+    del counts
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

@@ -1,5 +1,7 @@
 """Tree building."""
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +134,21 @@ def _size(page):
         return 1 + sum(map(count, node.children))
 
     return 0 if page is None else count(parse_html(page))
+
+
+def test_a_worker_is_sent_few_pages_at_a_time(spark):
+    @F.arrow_udf("long")
+    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([batch.nbytes] * len(batch))
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    pages = spark.range(0, 2000, 1, 1).select(F.rpad(F.col("id").cast("string"), 5000, "x").alias("html"))
+    try:
+        for limit, most in (("256m", dom.SENT), ("1g", dom.SENT), ("100kB", 100 << 10)):
+            spark.conf.set(name, limit)
+            assert dom.with_nodes(pages).count() == 2000
+            sent = pages.select(held("html").alias("n")).agg(F.max("n"), F.count("n")).first()
+            assert sent[0] < 1.2 * most and sent[1] == 2000
+    finally:
+        spark.conf.unset(name)

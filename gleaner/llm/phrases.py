@@ -2,16 +2,17 @@
 
 Texts (null: empty) get A-Z in lower case, are split into pieces at `.,;:!?` and line
 ends, and pieces into words at blanks and tabs. All counts are per language (null:
-`und`). A phrase found `least` times has parts found as often, so three passes do:
+`und`). A phrase found `least` times has parts found as often, so four passes do:
 
 1. words are counted;
 2. a sieve: pairs of frequent words, as 64-bit hashes. Tasks send sorted runs of hashes with
    their counts, cut by the leading bits of the hash; each cut is merged by itself;
-3. pairs that pass the sieve and triples of two such pairs are counted.
+3. the same sieve for triples of two pairs that pass it;
+4. pairs and triples that pass their sieve are counted.
 
-Words and pairs that are frequent reach the next pass as a filter of bits with a fixed largest
-size (`FILTER_BITS`). Equal hashes and false hits only let more phrases be counted: the counts
-of passes 1 and 3 are of the words themselves, and exact.
+Words, pairs and triples that are frequent reach the next passes as filters of bits with a fixed
+largest size (`FILTER_BITS`). Equal hashes and false hits only let more phrases be counted: the
+counts of passes 1 and 4 are of the words themselves, and exact.
 
 A task's `PhraseTrie` has a level for language and first word, and below it hash
 containers of the words that follow. A container of over `BURST` phrases bursts: it
@@ -231,6 +232,11 @@ class Words:
         plain = binary_hashes(self.spelled)[self.at]
         return phrase_hashes(salt, [plain]), phrase_hashes(salt[:-1], [plain[:-1], plain[1:]]), self.piece[:-1] == self.piece[1:]
 
+    def triples(self, pairs: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the triples of two pairs that `fit`; `pairs`: hashes of all pairs."""
+        at = np.flatnonzero(fit[1:] & fit[:-1])
+        return at, phrase_hashes(pairs[at], [binary_hashes(self.spelled)[self.at[at + 2]]])
+
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, pa.Array]]:
     """Words of the blocks of batches (text, lang) and each word's language."""
@@ -242,9 +248,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, pa.Array]]
                 yield words, lang.slice(block.lo, block.hi - block.lo)
 
 
-def run_counter(known: np.ndarray | None, room: int = ROOM, most_words: int = WORDS):
+def run_counter(known: np.ndarray | None, room: int = ROOM, most_words: int = WORDS, triples: np.ndarray | None = None):
     """A function for mapInArrow: batches (text, lang) to runs (lang, w1, w2, w3, n). Without
-    `known` words alone, else pairs that pass `known` and triples of two such pairs."""
+    `known` words alone, else pairs that pass `known` and triples of two such pairs, with
+    `triples` only those that pass it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, langs = Numbers(), Numbers()
@@ -278,7 +285,9 @@ def run_counter(known: np.ndarray | None, room: int = ROOM, most_words: int = WO
                 _, pairs, one_piece = words.pairs(binary_hashes(lang)[words.doc])
                 one_piece &= passes(known, pairs)
                 two = np.flatnonzero(one_piece)
-                three = np.flatnonzero(one_piece[1:] & one_piece[:-1])
+                three, hashes = words.triples(pairs, one_piece)
+                if triples is not None:
+                    three = three[passes(triples, hashes)]
                 suffix = np.concatenate([number[two + 1] << 32, (number[three + 1] << 32) | (number[three + 2] + 1)])
                 trie.add(first[np.concatenate([two, three])], suffix)
             if trie.size > trie.room:
@@ -300,9 +309,10 @@ def phrase_counts(rows: DataFrame, known: np.ndarray | None, **limits) -> DataFr
     return runs.groupBy(*COLUMNS[:-1]).agg(F.sum("n").alias("n"))
 
 
-def sieve_runs(known: np.ndarray, cuts: int, most: int, held: int = SIEVE):
+def sieve_runs(known: np.ndarray, cuts: int, most: int, held: int = SIEVE, size: int = 2):
     """A function for mapInArrow: batches (text, lang) to runs of pairs of words that pass
-    `known`: cut (leading bits of the hash), sorted hashes, counts up to `most`."""
+    `known`, or with `size` 3 of triples of two pairs that pass it: cut (leading bits of the
+    hash), sorted hashes, counts up to `most`."""
     shift = np.uint64(64 - cuts.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,8 +329,11 @@ def sieve_runs(known: np.ndarray, cuts: int, most: int, held: int = SIEVE):
 
         for words, lang in _read(batches):
             single, pairs, one_piece = words.pairs(binary_hashes(lang)[words.doc])
-            frequent = passes(known, single)
-            waiting.append(pairs[one_piece & frequent[:-1] & frequent[1:]])
+            if size == 3:
+                waiting.append(words.triples(pairs, one_piece & passes(known, pairs))[1])
+            else:
+                frequent = passes(known, single)
+                waiting.append(pairs[one_piece & frequent[:-1] & frequent[1:]])
             n += len(waiting[-1])
             if n > held:
                 yield from rows()
@@ -331,8 +344,8 @@ def sieve_runs(known: np.ndarray, cuts: int, most: int, held: int = SIEVE):
     return tidy(run)
 
 
-def sieved_pairs(rows: DataFrame, known: np.ndarray, n_words: int, least: int) -> DataFrame:
-    """h: hashes of pairs found `least` times or more."""
+def sieved_pairs(rows: DataFrame, known: np.ndarray, n_words: int, least: int, size: int = 2) -> DataFrame:
+    """h: hashes of pairs (triples) found `least` times or more, of words (pairs) that pass `known`."""
     cuts = 1
     while cuts * SIEVE_CUT < n_words:
         cuts *= 2
@@ -345,7 +358,7 @@ def sieved_pairs(rows: DataFrame, known: np.ndarray, n_words: int, least: int) -
         total = np.add.reduceat(counts[order].astype(np.int64), starts)
         return pa.table({"h": pa.array(hashes[total >= most].view(np.int64))})
 
-    runs = rows.mapInArrow(sieve_runs(known, cuts, most), "cut bigint, hashes binary, counts binary")
+    runs = rows.mapInArrow(sieve_runs(known, cuts, most, size=size), "cut bigint, hashes binary, counts binary")
     return runs.groupBy("cut").applyInArrow(tidy_group(merge), "h bigint")
 
 
@@ -365,8 +378,9 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     totals = written(singles.groupBy("lang").agg(F.sum("n").alias("total")), "word-totals")
     one = written(singles.filter(F.col("n") >= least), "frequent-words")
     n_words = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
-    pairs = written(sieved_pairs(rows, word_filter(one), n_words, least), "sieved-pairs")
-    several = written(phrase_counts(rows, bit_filter(pairs), **limits).filter(F.col("n") >= least), "frequent-phrases")
+    known = bit_filter(written(sieved_pairs(rows, word_filter(one), n_words, least), "sieved-pairs"))
+    triples = bit_filter(written(sieved_pairs(rows, known, n_words, least, 3), "sieved-triples"))
+    several = written(phrase_counts(rows, known, triples=triples, **limits).filter(F.col("n") >= least), "frequent-phrases")
     two, three = several.filter("w3 is null").drop("w3"), several.filter("w3 is not null")
 
     def with_count(rows: DataFrame, part: list[str], name: str) -> DataFrame:

@@ -106,6 +106,34 @@ def test_sieve_keeps_all_frequent_pairs(spark):
         assert got == set(phrases.phrase_hashes(np.repeat(hashes(["en"]), len(first)), [hashes(first), hashes(second)]).view(np.int64).tolist())
 
 
+def test_rare_triples_are_not_counted():
+    import numpy as np
+    import pyarrow as pa
+
+    rng, words = random.Random(8), "a b c d e f g h".split()
+    texts = [" ".join(rng.choice(words) for _ in range(60)) + ". x y z" for _ in range(40)]
+    every = Counter(p for t in texts for piece in t.split(". ") for p in zip(piece.split(), piece.split()[1:], piece.split()[2:], strict=False))
+    known = np.full(1 << 10, ~np.uint64(0))  # all pairs pass
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["en"] * 40)], ["text", "lang"])
+    found = Counter()
+    for runs in phrases.sieve_runs(known, 1, 255, size=3)(iter([batch])):
+        for hashes, counts in zip(runs["hashes"].to_pylist(), runs["counts"].to_pylist(), strict=True):
+            found.update(dict(zip(np.frombuffer(hashes, np.uint64).tolist(), counts, strict=True)))
+    assert sorted(found.values()) == sorted(every.values())
+
+    held = np.zeros(1 << 10, np.uint64)
+    for at in phrases.probes(np.array([h for h, n in found.items() if n >= 10], np.uint64), len(held) * 64):
+        np.bitwise_or.at(held, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+    counts = Counter()
+    for rows in phrases.run_counter(known, triples=held)(iter([batch])):
+        for r in rows.to_pylist():
+            counts[r["w1"], r["w2"], r["w3"]] += r["n"]
+    triples = {p: n for p, n in counts.items() if p[2] is not None}
+    frequent = {p: n for p, n in every.items() if n >= 10}
+    assert frequent.items() <= triples.items() and triples.items() <= every.items()
+    assert len(triples) < len(frequent) + 0.1 * (len(every) - len(frequent)) and len(every) > 2 * len(frequent)
+
+
 def test_scores_are_exact(spark):
     a, l, r = 10**12 + 7, 3 * 10**12 + 1, 10**12 + 9
     df = spark.createDataFrame([(a, l, r)], "a BIGINT, l BIGINT, r BIGINT")

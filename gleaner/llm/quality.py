@@ -18,13 +18,14 @@ documents have one row each. Other columns of the input aren't read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.blocks import blocks, release, rows_of, span_hashes, tidy, word_bounds, Block
+from gleaner.llm.blocks import blocks, rows_of, span_hashes, tidy, word_bounds, Block
 
 TRIGRAMS, SHAPES, WORDS = 3072, 7**4, 24
 TERMS = TRIGRAMS + SHAPES + WORDS
@@ -147,8 +148,8 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """`labels`: doc_id and quality of the rows that may be learned from. The
-    frequencies cover all of `docs`; the driver gets them and the sample's
-    counts (`SAMPLE` sparse rows)."""
+    frequencies cover all of `docs`; the driver gets them and the fitted model. One
+    task holds the sample's counts (`SAMPLE` rows) and decomposes them."""
     n, found = document_frequencies(docs, text)
     idf = np.log((1.0 + n) / (1.0 + found)).astype(np.float32) + 0.1
     sample = labelled_sample(docs, labels, key=key)
@@ -163,16 +164,22 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(sample), "_id")
     # an id may stand in any number of rows: one text of each counts, the one with the least hash
     rows = rows.groupBy("_id", "_label").agg(F.min(F.struct(F.md5("_text"), "_text"))["_text"].alias("_text"))
-    rows = rows.select(F.col("_id").cast("long"), "_label", "_text").mapInArrow(tidy(run), "id long, label int, counts binary").toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("counts", "ascending")])
-    # the driver holds these rows once in each of two forms, and only one from here on
-    counts, kept = np.empty((len(rows), TERMS), np.float32), rows["label"].to_numpy()
-    for i, row in enumerate(rows["counts"]):
-        counts[i] = np.frombuffer(row.as_buffer(), np.float16)
-    del rows
-    model = Model(idf, counts, kept)
-    del counts
-    release()
-    return model
+    kinds = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("counts", pa.binary())])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        rows = (pa.Table.from_batches(held) if held else kinds.empty_table()).sort_by([("id", "ascending"), ("label", "ascending"), ("counts", "ascending")])
+        del held  # these rows are held once in each of two forms, and only one from here on
+        counts, kept = np.empty((len(rows), TERMS), np.float32), rows["label"].to_numpy()
+        for i, row in enumerate(rows["counts"]):
+            counts[i] = np.frombuffer(row.as_buffer(), np.float16)
+        del rows
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model(idf, counts, kept))], pa.binary())], names=["model"])
+
+    rows = rows.select(F.col("_id").cast("long"), "_label", "_text").mapInArrow(tidy(run), "id long, label int, counts binary")
+    # an empty sample may be no task at all
+    model = rows.repartition(1).mapInArrow(tidy(learn), "model binary").first()
+    return pickle.loads(model[0]) if model else Model(idf, np.empty((0, TERMS), np.float32), np.empty(0, np.int32))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

@@ -104,3 +104,23 @@ def test_votes_against_plain_python(spark, odd):
 def test_penalty_makes_weights_sparse(spark, odd):
     model = langid.fit(odd)
     assert model.weights.any() and (model.weights == 0).mean() > 0.5
+
+
+def test_the_sample_is_not_sent_to_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows = [(i, " ".join(f"w{i * j % 17}" for j in range(30))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id BIGINT, quality INT")
+    sent = []
+    monkeypatch.setattr(DataFrame, "toArrow", lambda df: sent.append("toArrow") or _whole(df))
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: sent.extend(r for r in collect(df) if "counts" in r) or collect(df))
+    model = quality.fit(docs, labels)
+    assert not sent and len(model.labels) == 40 and model.vectors.shape == (40, 40)
+
+
+def _whole(df):
+    import pyarrow as pa
+
+    return pa.Table.from_pandas(df.toPandas())

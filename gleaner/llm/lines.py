@@ -32,6 +32,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gleaner.functions.text import let
 from gleaner.sources.tables import SMALL, broadcast_if_small, measured_bytes, written
 
 DEPTH, SIMILAR, MIN_DOCS = 3, 0.7, 8
@@ -40,22 +41,38 @@ LONG_DOCS, LONG_WORDS = 2, 50
 _BLANKS = " \t\r\f\x0B"
 
 
-def words(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(_BLANKS)), rf"[{_BLANKS}]+")
+def spaced(line: Column) -> Column:
+    """The words of a line with one blank between them. Most lines are so already, and
+    byte searches tell that for less than a pattern does."""
+    other = reduce(Column.__or__, [F.contains(line, F.lit(blank)) for blank in ["  ", *_BLANKS[1:]]])
+    return F.when(other, F.regexp_replace(F.btrim(line, F.lit(_BLANKS)), rf"[{_BLANKS}]+", " ")).otherwise(F.trim(line))
+
+
+def n_words(spaced_line: Column) -> Column:
+    """Words of a line as `spaced` gives it, one at least."""
+    return F.octet_length(spaced_line) - F.octet_length(F.replace(spaced_line, F.lit(" "), F.lit(""))) + 1
 
 
 def masked(line: Column) -> Column:
-    """Words of a line, those with a digit as `<*>`."""
-    return words(F.when(line.rlike("[0-9]"), F.regexp_replace(line, rf"[^{_BLANKS}0-9]*+[0-9][^{_BLANKS}]*+", "<*>")).otherwise(line))
+    """A line with `<*>` for its words with a digit."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, rf"[^{_BLANKS}0-9]*+[0-9][^{_BLANKS}]*+", "<*>")).otherwise(line)
 
 
-def line_table(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH) -> DataFrame:
-    """__id, __sum (of the text), _at, _words (masked), _leaf (a hash) of each line with words."""
-    lines = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).alias("__id"), F.xxhash64(F.col(text)).alias("__sum"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("_at", "_line")
+def spaced_lines(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """__id, __sum (of the text), _at, _line (as `spaced` gives it) of each line. Hashing and
+    respacing come before lines become rows: rows then carry no text, and filters on them
+    don't respace once more (nor does one that Spark would infer without `outer`)."""
+    lines = F.transform(F.split(F.col(text), "\n", -1), spaced)
+    texts = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(key).alias("__id"), F.xxhash64(F.col(text)).alias("__sum"), lines.alias("__lines")
     )
-    lines = lines.filter(F.col("_line").rlike(rf"[^{_BLANKS}]")).select("__id", "__sum", "_at", masked(F.col("_line")).alias("_words"))
-    return lines.withColumn("_leaf", F.xxhash64(F.size("_words"), F.slice("_words", 1, depth)))
+    return texts.select("__id", "__sum", F.posexplode_outer("__lines").alias("_at", "_line"))
+
+
+def line_table(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH) -> DataFrame:
+    """__id, __sum (of the text), _at, _line (masked, spaced), _leaf (a hash) of each line with words."""
+    lines = spaced_lines(docs, text, key).filter("_line != ''").withColumn("_line", masked(F.col("_line")))
+    return lines.withColumn("_leaf", F.xxhash64(n_words(F.col("_line")), F.substring_index("_line", " ", depth)))
 
 
 def leaf_templates(lines: DataFrame) -> DataFrame:
@@ -98,8 +115,9 @@ def recurring(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs
     """__id, __sum, __drop: places of the lines that a text loses. `long_docs`: in so
     many documents an equal line of `long_words` words or more recurs (None: no such rule)."""
     lines = line_table(docs, text, key, depth)
-    shared = written(shared_leaves(lines.select("_leaf", F.xxhash64("_words").alias("_line"), "__id"), min_docs), "leaves")
-    lines = written(lines.join(broadcast_if_small(shared), "_leaf"), "lines")
+    shared = written(shared_leaves(lines.select("_leaf", F.xxhash64("_line").alias("_line"), "__id"), min_docs), "leaves")
+    lines = lines.join(broadcast_if_small(shared), "_leaf").withColumn("_words", F.split("_line", " ")).drop("_line")
+    lines = written(lines, "lines")
     joined = join_templates(lines, written(leaf_templates(lines), "modes"))
     same = F.size(F.filter(F.zip_with("_words", "_places", lambda a, b: a == b), lambda x: x))
     member = ~F.col("_several") | (same >= F.lit(similar) * F.size("_words"))
@@ -163,22 +181,25 @@ def further_templates(rest: DataFrame, min_docs: int, depth: int, similar: float
 def repeated_long_lines(docs: DataFrame, text: str, key: str, least_words: int, min_docs: int) -> DataFrame:
     """__id, __sum, _at of long lines that equal a line of an earlier document word
     for word, numbers too, and stand in enough documents."""
-    lines = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).alias("__id"), F.xxhash64(F.col(text)).alias("__sum"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("_at", "_line")
-    )
-    lines = lines.filter(F.length("_line") >= 2 * least_words - 1).select("__id", "__sum", "_at", words(F.col("_line")).alias("_words"))
-    lines = lines.filter(F.size("_words") >= least_words).select("__id", "__sum", "_at", F.xxhash64("_words").alias("_leaf"), F.xxhash64(F.lit(1), "_words").alias("_own"))
+    line = F.col("_line")
+    lines = spaced_lines(docs, text, key).filter((F.octet_length(line) >= 2 * least_words - 1) & (n_words(line) >= least_words))
+    lines = lines.select("__id", "__sum", "_at", F.xxhash64(line).alias("_leaf"), F.xxhash64(F.lit(1), line).alias("_own"))
     lines = written(lines, "long-lines")
     return later(lines, written(in_enough(lines, ["_leaf", "_own"], min_docs), "recurring"), ["_leaf", "_own"])
 
 
+def without(lines: Column, drop: Column) -> Column:
+    """Lines but those at the places `drop`, joined."""
+    kept = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform(drop, lambda x: x + 1))
+    return F.array_join(F.transform(kept, lambda p: F.element_at(lines, p)), "\n")
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", dropped: str = "n_dropped", **parameters) -> DataFrame:
     """All rows and columns of `docs`; the text without recurring lines, and the
     column `dropped` with their number (a column of that name is replaced)."""
     drops = recurring(docs, text, key, **parameters)
     rows = docs.withColumn("__sum", F.xxhash64(F.col(text)))
     joined = rows.join(broadcast_if_small(drops, 16 << 20), (rows[key] == drops["__id"]) & (rows["__sum"] == drops["__sum"]), "left").drop("__id", "__sum")
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform("__drop", lambda x: x + 1))
-    rest = F.array_join(F.transform(kept, lambda p: F.element_at(lines, p)), "\n")
+    # split once a text, not once a line of it
+    rest = let(F.split(F.col(text), "\n", -1), lambda lines: without(lines, F.col("__drop")))
     return joined.withColumns({text: F.when(F.col("__drop").isNull(), F.col(text)).otherwise(rest), dropped: F.coalesce(F.size("__drop"), F.lit(0)).cast("long")}).drop("__drop")

@@ -1,8 +1,11 @@
 """Line templates on small fixtures; the SQL twin is held against the sample tables."""
 
 import random
+import re
 from hashlib import md5
 
+from pyspark.sql import functions as F
+
 from gleaner.llm import lines
 
 SCHEMA = "doc_id BIGINT, text STRING, _id STRING"
@@ -91,6 +94,30 @@ def test_number_of_tables_does_not_grow_with_lines(spark, monkeypatch):
         assert {i: (n, md5(t.encode()).hexdigest()) for i, (t, n) in got.items()} == in_duckdb(rows)
 
 
+def test_a_text_is_split_once_and_not_carried_by_its_lines(spark):
+    rows = [(i, f"own {'abc'[i]}\nsame words here\nlast {'xyz'[i]}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    table = plan(lines.line_table(docs))
+    assert table.count("split(") == 1
+    above = table[: table.index("Generate")]
+    assert "xxhash64(text" not in above and "text#" not in above
+    # in the text that is put together again, no split inside the function of each line
+    rest = plan(lines.dedup_lines(docs, min_docs=3))
+    assert rest.count("split(") == 1 and "element_at(split(" not in rest
+    assert kept(spark, rows) == {0: (rows[0][1], 0), 1: ("own b\nlast y", 1), 2: ("own c\nlast z", 1)}
+
+
+def test_words_of_odd_lines(spark):
+    odd = ["", " ", "a", " a  b ", "a\tb", "\ta b\r", "x\x0B\x0Cy  z", "ä  1ö 2\t", "a\u00a0b", "1", "a 1b2 <*> 3", "a\x00 b", "\u20281 2"]
+    df = spark.createDataFrame([(t,) for t in odd], "t STRING").withColumn("own", lines.spaced(F.col("t")))
+    got = df.select("t", "own", lines.masked(F.col("own")).alias("masked"), lines.n_words(F.col("own")).alias("n")).collect()
+    for r in got:
+        words = re.findall(r"[^ \t\r\f\x0B]+", r.t)
+        assert r.own == " ".join(words) and r.n == max(len(words), 1)
+        assert r.masked == " ".join("<*>" if re.search("[0-9]", w) else w for w in words)
+
+
 def test_few_documents_and_repeats_inside_one(spark):
     assert all(n == 0 for _, n in kept(spark, [(1, "same line here\n" * 9), (2, "same line here")]).values())
 
